@@ -169,7 +169,7 @@ def read_documents(manifest: DataFrame, length: int = LENGTH, batch: int = BATCH
                 shard.close()
 
     _shared.ship(manifest.sparkSession)
-    spread = manifest.select("uri", "base").repartition("uri")
+    spread = manifest.select("uri", "base").repartition(max(1, manifest.count()), "uri")  # a number: small rows stay spread
     return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

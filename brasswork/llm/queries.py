@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrowfile import op5_arrowfile
+from .chat import op8_chat
 from .fingerprint import op6_fingerprint
+from .jaccardjoin import op4_jaccardjoin
+from .mixing import op2_mixing
+from .neighbours import op10_neighbours
 from .packing import op1_packing
+from .quality import op3_quality
+from .surrogates import op7_surrogates
+from .urlfilter import op9_urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
+    "op4_jaccardjoin": op4_jaccardjoin,
     "op5_arrowfile": op5_arrowfile,
     "op6_fingerprint": op6_fingerprint,
+    "op7_surrogates": op7_surrogates,
+    "op8_chat": op8_chat,
+    "op9_urlfilter": op9_urlfilter,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
