@@ -79,6 +79,21 @@ def duplicates(relation, key: str):
     return relation.where(lambda d: f"coalesce({key}, '') <> ''").agg((key,), lambda d: {"times": "count(*)"}).where(lambda d: "times > 1")
 
 
+def manifest_counts(d: Dialect) -> dict[str, str]:
+    """A manifest's declared totals against its lists: the names of those that disagree."""
+    listed = " + ".join(f"listed_{o}" for o in V.OUTCOMES)
+    cases = [("declared_total <> declared_eligible + declared_ineligible", "total_processed"), (f"declared_eligible <> {listed}", "eligible_sum")]
+    cases += [(f"declared_{o} <> listed_{o}", f"{o}_count") for o in V.OUTCOMES]
+    return {"failed_checks": d.compact(*[(c, f"'{n}'") for c, n in cases])}
+
+
+def missing_paths(references, listing):
+    """Referenced artifact paths that a listing of files doesn't have; nothing referenced is nothing missing."""
+    gold = references.select(lambda d: {"path": "gold_artifact_path"})
+    exports = references.where(lambda d: "export_artifact_path IS NOT NULL").select(lambda d: {"path": "export_artifact_path"})
+    return gold.union(exports).join(listing, "anti", ("path",))
+
+
 CRITICAL_CHECKS = ("delivery_event_exists", "delivery_event_parseable", "delivery_event_schema_version", "cross_id_consistency", "share_manifest_has_setup_sql", "share_manifest_has_c2_queries")
 
 

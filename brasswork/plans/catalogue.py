@@ -147,6 +147,15 @@ def _governance() -> Relation:
     return whole.add(B.governance_rates).add(lambda d: {"schema_versions": "2", "environments": "1", "missing_provenance": "false"}).add(B.governance_flags).add(B.governance_health)
 
 
+def _manifest() -> Relation:
+    """Manifests by customer: what they declare and what their lists hold, wrong by the customer's number."""
+    c = "c_custkey"
+    listed = {f"listed_{o}": f"{c} % {5 + i}" for i, o in enumerate(V.OUTCOMES)}
+    declared = {f"declared_{o}": f"{c} % {5 + i} + CASE WHEN {c} % {17 + i} = 0 THEN 1 ELSE 0 END" for i, o in enumerate(V.OUTCOMES)}
+    total = " + ".join(listed.values())
+    return Relation("customer").select(lambda d: {"batch_id": c, **listed, **declared, "declared_eligible": f"{total} + CASE WHEN {c} % 31 = 0 THEN 2 ELSE 0 END", "declared_ineligible": f"{c} % 3", "declared_total": f"{total} + {c} % 3"})
+
+
 def _counts(relation: Relation, *keys: str) -> Relation:
     return relation.agg(keys, lambda d: {"n": "count(*)"})
 
@@ -217,6 +226,14 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "governance_health": lambda: _governance().select(lambda d: {k: k for k in ("overall_health", "export_rate", "quarantine_share", "queue_pressure")}),
     "routing_distinct": lambda: outcomes().agg(("routing_label",), lambda d: {"n": "count(*)"}).select(lambda d: {"routing_label": "routing_label"}),
     "metric_drift": _run_metrics,
+    "orphan_flags": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"layer": "'gold'", "issue": "'orphaned_gold'", "record_id": "gold_record_id"}).union(E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"layer": "'silver'", "issue": "'orphaned_silver'", "record_id": "extraction_id"})),
+    "manifest_count_checks": lambda: _manifest().add(B.manifest_counts).select(lambda d: {"batch_id": "batch_id", "failed_checks": d.join("failed_checks", ",")}),
+    "missing_paths": lambda: B.missing_paths(outcomes().add(B.references), outcomes().where(lambda d: "ord % 13 <> 0").add(B.references).select(lambda d: {"path": "gold_artifact_path"}).union(outcomes().where(lambda d: "ord % 11 <> 0").add(B.references).select(lambda d: {"path": "coalesce(export_artifact_path, '')"})).agg(("path",), lambda d: {"k": "count(*)"}).select(lambda d: {"path": "path"})),
+    "latest_delivery_events": lambda: Relation("events").select(lambda d: {"delivery_event_id": "CAST(event_id AS STRING)", "generated_at": "ts", "event_id": "event_id"}).top("generated_at DESC, event_id DESC", 5).select(lambda d: {"delivery_event_id": "delivery_event_id"}),
+    "export_ready_sample": lambda: outcomes().where(lambda d: "export_ready").select(lambda d: {"document_id": "document_id", "routing_label": "routing_label"}).top("document_id", 10),
+    "metric_rows": lambda: all_gold().agg((), E.gold_metrics).select(lambda d: {"pairs": d.nonnull([f"concat('{k}=', {d.fixed(f'CAST({k} AS DOUBLE)', 4)})" for k in ("classification_success_rate", "quarantine_rate", "export_ready_rate", "mean_classification_confidence")])}).explode("pairs", "pair").select(lambda d: {"pair": "pair"}),
+    "bronze_source_links": lambda: E.link_rate(trace()[0].select(lambda d: {"document_id": "document_id"}), Relation("events").where(lambda d: "event_type = 'error' AND event_id % 4 <> 0").select(lambda d: {"document_id": "CAST(event_id AS STRING)"}), "document_id", "bronze_to_source").select(lambda d: {"bronze_to_source_rate": "bronze_to_source_rate", "unlinked": "orphaned_bronze_count"}),
+    "review_rates": lambda: outcomes().add(B.review).agg((), B.queue_counts).select(lambda d: {"review_queue_rate": "round(total_entries / CAST(nullif(total_records_reviewed, 0) AS DOUBLE), 4)", "entries": "total_entries"}),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()}

@@ -48,6 +48,10 @@ class Relation:
     def join(self, other: "Relation", how: str, on: tuple[str, ...]) -> "Relation":
         return self._then("join", other, how, on)
 
+    def top(self, order: str, n: int) -> "Relation":
+        """The first n rows of an order that leaves no ties."""
+        return self._then("top", order, n)
+
     def layer(self, name: str) -> "Relation":
         """A layer boundary: Spark stores the rows as a table once per session and input, and goes on from there."""
         return self._then("layer", name)
@@ -73,6 +77,8 @@ class Relation:
                 df = df.groupBy(*args[0]).agg(*[F.expr(v).alias(k) for k, v in args[1](SPARK).items()])
             elif kind == "explode":
                 df = df.withColumn(args[1], F.explode(args[0]))
+            elif kind == "top":
+                df = df.orderBy(*[F.expr(o.removesuffix(" DESC")).desc() if o.endswith(" DESC") else F.expr(o) for o in args[0].split(", ")]).limit(args[1])
             elif kind == "layer" and sf_dir is not None:
                 df = layers.store(df, sf_dir, args[0])
             elif kind == "union":
@@ -97,6 +103,8 @@ class Relation:
                 out = f"SELECT {keys}{', '.join(f'{v} AS {k}' for k, v in args[1](DUCK).items())} FROM ({out})" + (f" GROUP BY {', '.join(args[0])}" if args[0] else "")
             elif kind == "explode":
                 out = f"SELECT *, unnest({args[0]}) AS {args[1]} FROM ({out})"
+            elif kind == "top":
+                out = f"SELECT * FROM ({out}) ORDER BY {args[0]} LIMIT {args[1]}"
             elif kind == "union":
                 out = " UNION ALL BY NAME ".join(f"(SELECT * FROM ({x}))" for x in [out, *[r.sql() for r in args[0]]])
             elif kind == "join":
