@@ -19,6 +19,7 @@ doc_id that isn't null; repeated rows each give a row; an empty table gives no r
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from ._shingles import mixed, shingles
 WIDTH = 3
 PERCENT = 90
 #: Counters of the table of token counts, dealt in chunks; its size doesn't depend on the input.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 21
 CHUNKS = 64
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 _LEAST = -(2**63)
@@ -44,17 +45,27 @@ def _sets(texts: list[str], width: int) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(starts[:-1], starts[1:])]
 
 
-def _node(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def _node(s: np.ndarray) -> int:
+    """A set's number: 64 bits of a cryptographic hash of its sorted tokens."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _slices(batch: pd.DataFrame, most: int = 3_000_000) -> Iterator[pd.DataFrame]:
+def _slices(batch: pd.DataFrame, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Parts of a batch with so many characters at most, or one row."""
     at = (batch["text"].str.len().cumsum() // most).to_numpy()
     for _, part in batch.groupby(at, sort=False):
         yield part
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Mostly small counts, squeezed: as bytes by place value."""
+    return zlib.compress(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
 def token_classes(docs: DataFrame, width: int) -> bytes:
     """How frequent tokens are: a byte for each of `COUNTERS` hashed counters over all documents' sets."""
 
@@ -66,11 +77,13 @@ def token_classes(docs: DataFrame, width: int) -> bytes:
                     np.add.at(counts, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
         task = TaskContext.get().partitionId()
         if counts.any():
-            yield pd.DataFrame({"chunk": np.arange(CHUNKS), "task": task, "counts": [c.astype("<i8").tobytes() for c in counts.reshape(CHUNKS, -1)]})
+            yield pd.DataFrame({"chunk": np.arange(CHUNKS), "task": task, "counts": [_packed(c) for c in counts.reshape(CHUNKS, -1)]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype="<i8") for c in part["counts"])
-        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "task": [part["task"].iloc[0] // 64], "counts": [total.tobytes()]})
+        total = np.zeros(COUNTERS // CHUNKS, dtype=np.int64)
+        for c in part["counts"]:
+            total += _unpacked(c)
+        return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "task": [part["task"].iloc[0] // 64], "counts": [_packed(total)]})
 
     schema = "chunk int, task int, counts binary"
     part = docs.mapInPandas(count, schema)
@@ -78,7 +91,7 @@ def token_classes(docs: DataFrame, width: int) -> bytes:
     rows = part.groupBy("chunk").applyInPandas(add, schema).collect()  # CHUNKS rows of a fixed size
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS))
     for r in rows:
-        counts[r["chunk"]] = np.frombuffer(r["counts"], dtype="<i8")
+        counts[r["chunk"]] = _unpacked(r["counts"])
     counts = counts.ravel()
     usual = max(1.0, counts.mean())
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, usual) / usual)), 0, 63).astype(np.uint8).tobytes()
@@ -105,6 +118,9 @@ def _starred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token = b["token"].to_numpy()
         if not len(token):
             continue
+        nid = b["nid"].to_numpy()
+        own = np.concatenate([[True], (token[1:] != token[:-1]) | (nid[1:] != nid[:-1])])  # copies of a set are in a row
+        b, token = b[own].reset_index(drop=True), token[own]
         new = np.concatenate([[True], token[1:] != token[:-1]])
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         size = np.bincount(first, minlength=len(b))[first]
@@ -159,15 +175,10 @@ def _crossed(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that share prefix tokens under the other orders and whose sets are alike enough."""
-    short = sets.select("nid", "second", "third")
-    near = pairs.join(short.withColumnRenamed("nid", "x"), "x").join(short.select(F.col("nid").alias("y"), F.col("second").alias("second_y"), F.col("third").alias("third_y")), "y")
-    near = near.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y")
-    whole = sets.select("nid", "tokens")
-    both = near.join(whole.withColumnRenamed("nid", "x"), "x").join(whole.select(F.col("nid").alias("y"), F.col("tokens").alias("tokens_y")), "y")
-    same = F.size(F.array_intersect("tokens", "tokens_y"))
-    return both.where(100 * same >= percent * (F.size("tokens") + F.size("tokens_y") - same)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def _texts(keyed: DataFrame, least: DataFrame) -> DataFrame:
+    """Texts of the documents whose ids are in `least`; by a broadcast of ids where few, else by a shuffle."""
+    wanted = least.select(F.coalesce("least", F.lit(_LEAST)).alias("wanted")).distinct()
+    return _shared.with_small(keyed, wanted, ["wanted"], 2_000_000, "left_semi").select("text")
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -182,49 +193,63 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         for batch in batches:
             for part in _slices(batch):
                 sets = _sets(part["text"].tolist(), width)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n": [len(s) for s in sets], "node": [_node(s) for s in sets], "first": [_prefix(s, classes, SEEDS[0], percent) if len(s) else [] for s in sets]}).assign(doc_id=part["doc_id"].astype("Int64").to_numpy())
-
-    signed = _shared.written(kept.mapInPandas(prefixes, "doc_id long, n int, node binary, first array<long>"), "signed")
-    nodes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("first").alias("first"))
-    nodes = _shared.written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-
-    postings = nodes.select("nid", "n", F.posexplode("first").alias("pos", "token")).select("token", "nid", "n", (F.col("n") - F.col("pos")).cast("int").alias("r"))
-    sorted_ = postings.repartition("token").sortWithinPartitions("token", F.desc("r"), "n", "nid")
-    shared = _shared.written(sorted_.mapInPandas(_starred, "token long, nid long, n int, r int, pivot long, pivot_n int, pivot_r int"), "shared")
-
-    # The sets of nodes that share a prefix token with another, from the texts of their smallest documents.
-    active = _shared.written(shared.select("nid").distinct().join(nodes.select("nid", "node", "least"), "nid"), "active")
-    wanted = active.select(F.coalesce("least", F.lit(_LEAST)).alias("wanted")).distinct()
+                made = {"n": [len(s) for s in sets], "nid": [_node(s) for s in sets]}
+                made["first"] = [_prefix(s, classes, SEEDS[0], percent) if len(s) else [] for s in sets]
+                # Half of a token's bits do for the other orders: a false agreement only costs a comparison.
+                made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if len(s) else [] for s in sets]
+                made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if len(s) else [] for s in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy()} | made)
+
+    schema = "doc_id long, n int, nid long, first array<long>, second array<int>, third array<int>"
+    signed = _shared.written(kept.mapInPandas(prefixes, schema), "signed")
+    full = signed.where("n > 0")
+    nodes = _shared.written(full.groupBy("nid").agg(F.min("doc_id").alias("least")), "nodes")
+
+    postings = full.select("nid", "n", F.posexplode("first").alias("pos", "token")).select("token", "nid", "n", (F.col("n") - F.col("pos")).cast("int").alias("r"))
+    in_order = postings.repartition("token").sortWithinPartitions("token", F.desc("r"), "n", "nid")
+    shared = _shared.written(in_order.mapInPandas(_starred, "token long, nid long, n int, r int, pivot long, pivot_n int, pivot_r int"), "shared")
     keyed = kept.withColumn("wanted", F.coalesce("doc_id", F.lit(_LEAST)))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = np.frombuffer(table, dtype=np.uint8)
         for batch in batches:
             for part in _slices(batch):
                 sets = [s for s in _sets(part["text"].tolist(), width) if len(s)]
-                yield pd.DataFrame({"node": [_node(s) for s in sets], "tokens": [s.view(np.int64) for s in sets], "second": [_prefix(s, classes, SEEDS[1], percent) for s in sets], "third": [_prefix(s, None, SEEDS[2], percent) for s in sets]})
-
-    texts = _shared.with_small(keyed, wanted, ["wanted"], 2_000_000, "left_semi").select("text")
-    sets = texts.mapInPandas(sets_of, "node binary, tokens array<long>, second array<long>, third array<long>")
-    sets = _shared.with_small(sets, active.select("nid", "node"), ["node"], 1_000_000).select("nid", "tokens", "second", "third").dropDuplicates(["nid"])
-    sets = _shared.written(sets, "sets")
+                yield pd.DataFrame({"nid": [_node(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) that share prefix tokens under the other orders too and whose sets are alike enough."""
+        ends = _shared.written(pairs.select(F.col("x").alias("nid")).union(pairs.select("y")).distinct(), "ends")
+        short = _shared.written(_shared.with_small(full.select("nid", "second", "third"), ends, ["nid"], 2_000_000, "left_semi").dropDuplicates(["nid"]), "short")
+        near = pairs.join(short.withColumnRenamed("nid", "x"), "x").join(short.select(F.col("nid").alias("y"), F.col("second").alias("second_y"), F.col("third").alias("third_y")), "y")
+        near = _shared.written(near.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "near")
+        ends = near.select(F.col("x").alias("nid")).union(near.select("y")).distinct().join(nodes, "nid")
+        ends = _shared.written(ends, "ends")
+        sets = _shared.with_small(_texts(keyed, ends).mapInPandas(sets_of, "nid long, tokens array<long>"), ends.select("nid"), ["nid"], 2_000_000)
+        sets = _shared.written(sets.dropDuplicates(["nid"]), "sets")
+        both = near.join(sets.withColumnRenamed("nid", "x"), "x").join(sets.select(F.col("nid").alias("y"), F.col("tokens").alias("tokens_y")), "y")
+        same = F.size(F.array_intersect("tokens", "tokens_y"))
+        alike = 100 * same >= percent * (F.size("tokens") + F.size("tokens_y") - same)
+        return _shared.written(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
     feasible = (100 + percent) * F.least("r", "pivot_r") >= percent * (F.col("n") + F.col("pivot_n"))
     stars = shared.where((F.col("nid") != F.col("pivot")) & feasible).select(F.least("nid", "pivot").alias("x"), F.greatest("nid", "pivot").alias("y")).distinct()
-    links = _shared.written(_verified(stars, sets, percent), "links")
+    links = verified(_shared.written(stars, "stars"))
     labels = _components.components(links)
 
     named = shared.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", "n", "r", "pivot", F.coalesce("label", "nid").alias("label"))
     crossed = named.repartition("token").sortWithinPartitions("token", "nid").mapInPandas(_crossed(percent), "x long, y long").distinct()
-    more = _shared.written(_verified(crossed, sets, percent), "links")
-    if more.limit(1).count():
-        labels = _components.components(links.union(more))
-
-    least = nodes.select("nid", "least").join(labels.withColumnRenamed("node", "nid"), "nid")
+    crossed = _shared.written(crossed, "crossed")
+    if crossed.limit(1).count():
+        more = verified(crossed)
+        if more.limit(1).count():
+            labels = _components.components(links.union(more))
+
+    # The smallest document of each component, then of each set, then of each document.
+    least = nodes.join(labels.withColumnRenamed("node", "nid"), "nid")
     whole = least.groupBy("label").agg(F.min("least").alias("found"))
     found = least.select("nid", "label").join(whole, "label").select("nid", "found")
-    by_node = nodes.select("nid", "node", "least").join(found, "nid", "left").select("node", F.coalesce("found", "least").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node").join(by_node, "node", "left")
+    by_node = nodes.join(found, "nid", "left").select("nid", F.coalesce("found", "least").alias("component_id"))
+    out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "nid").join(by_node, "nid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
