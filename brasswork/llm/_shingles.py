@@ -15,7 +15,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 _STARTED = np.uint64(0x632BE59BD9B4E019)
 #: Bytes that are hashed at once.
-CHUNK = 4_000_000
+CHUNK = 600_000
 _powers: list[np.ndarray] = []
 
 

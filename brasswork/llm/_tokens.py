@@ -11,7 +11,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept by a worker's memo. The frequent ones come early; a full memo takes no more, which changes speed only.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 
 # The splitter of the vocabulary whose words go to the library's model directly.
 KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
