@@ -43,15 +43,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(since: int = 0) -> list[tuple[SparkSession, str]]:
+    """Paths made so far, from the given number on."""
+    return _written[since:]
+
+
+def drop(paths: list[tuple[SparkSession, str]]) -> None:
+    """Remove tables that nothing reads any more."""
+    for entry in paths:
+        if entry in _written:
+            _written.remove(entry)
+        spark, path = entry
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session is gone; the folder's owner clears it
-            return
+    try:
+        drop(list(_written))
+    except Exception:  # the session is gone; the folder's owner clears it
+        return
 
 
 def ship(spark: SparkSession) -> None:
@@ -77,6 +89,18 @@ def take(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[df[k].cast(v).alias(k) for k, v in kinds.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working column names that `df` doesn't have."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_small(df: DataFrame, small: DataFrame, on: list[str], most_rows: int = 200_000, how: str = "inner") -> DataFrame:
     """Join with a side that is broadcast only if a count proves it small; a shuffled join otherwise."""
     return df.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)

@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from . import _shared
 
 #: Labelled rows, and pool rows, that training uses at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 ROUNDS = 5
 #: A pseudo-label needs this probability, and at most so many are added a round and class.
 SURE = 0.97
-ADDED = 400
+ADDED = 200
 #: Documents with a smaller combined probability of good quality are rejected.
 CUT = 0.35
-SOURCES = 64
+LANGS, SOURCES = 16, 64
 
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[[32, *range(9, 14)]] = 1
@@ -76,15 +76,28 @@ def traits(text: str) -> list[float]:
 
 
 def metadata(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
-    """One-hot language and source (hashed) and length traits."""
-    out = [0.0] * (16 + SOURCES + 3)
-    out[zlib.crc32((lang or "").encode()) % 16] = 1.0
-    out[16 + zlib.crc32((source or "").encode()) % SOURCES] = 1.0
-    size = math.log1p(max(0.0, n_chars or 0.0))
-    out[-3:] = [size / 5, max(0.0, 5 - size), max(0.0, size - 9)]
+    """Hashed language and source, and the length, as `metadata_matrix` spreads them."""
+    return [zlib.crc32((lang or "").encode()) % LANGS, zlib.crc32((source or "").encode()) % SOURCES, max(0.0, n_chars or 0.0)]
+
+
+def metadata_matrix(rows: np.ndarray) -> np.ndarray:
+    """One-hot language and source and length traits."""
+    out = np.zeros((len(rows), LANGS + SOURCES + 3))
+    at = np.arange(len(rows))
+    out[at, rows[:, 0].astype(int)] = 1
+    out[at, LANGS + rows[:, 1].astype(int)] = 1
+    size = np.log1p(rows[:, 2])
+    out[:, -3:] = np.c_[size / 5, np.maximum(0, 5 - size), np.maximum(0, size - 9)]
     return out
 
 
+def _matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of the two views."""
+    if not len(frame):
+        return np.zeros((0, _TRAITS)), np.zeros((0, LANGS + SOURCES + 3))
+    return np.stack(frame["traits"].to_list()).astype(float), metadata_matrix(np.stack(frame["meta"].to_list()).astype(float))
+
+
 class Logistic:
     """Ridge logistic regression by Newton steps; classes weigh alike."""
 
@@ -178,21 +191,18 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     rows = _shared.written(traced(docs), "traits")
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("y"))
     order = [F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "mark"]
-    labelled = rows.join(known, "doc_id").orderBy(*order).limit(sample).toPandas()  # at most `sample` rows of short vectors
+    labelled = rows.join(known, "doc_id").orderBy(*order).limit(sample).select("y", "traits", "meta").toPandas()  # at most `sample` rows of short vectors
     pool = rows.join(known, "doc_id", "left_anti").orderBy(*order).limit(sample).select("traits", "meta").toPandas()
     if labelled["y"].nunique() < 2:
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "mark", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("keep"))
 
-    def matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array(frame[c].tolist(), dtype=float).reshape(len(frame), -1) if len(frame) else np.zeros((0, w)) for c, w in (("traits", _TRAITS), ("meta", 16 + SOURCES + 3)))
-
-    views = Views().fit(matrix(labelled), labelled["y"].to_numpy(dtype=float), matrix(pool), rounds)
+    views = Views().fit(_matrix(labelled), labelled["y"].to_numpy(dtype=float), _matrix(pool), rounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                t, m, s = views.score(tuple(np.array(b[c].tolist(), dtype=float) for c in ("traits", "meta")))
+                t, m, s = views.score(_matrix(b))
                 yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "mark": b["mark"], "text_score": t, "meta_score": m, "score": s, "keep": s >= cut})
 
     return rows.mapInPandas(run, "doc_id long, mark long, text_score double, meta_score double, score double, keep boolean")
@@ -200,11 +210,13 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
-    out = scores(docs, labels, **options).where(~F.col("keep")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct()
-    marked = docs.withColumn("_mark", _mark()).withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "_mark"))
-    out = out.withColumn("_key", F.xxhash64("_id", "_of"))
+    mark, key, id_, of, out_key = _shared.fresh(docs, "_mark", "_key", "_id", "_of", "_out")
+    out = scores(docs, labels, **options).where(~F.col("keep")).select(F.col("doc_id").alias(id_), F.col("mark").alias(of)).distinct()
+    out = out.withColumn(out_key, F.xxhash64(id_, of))
+    marked = docs.withColumn(mark, _mark()).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), mark))
     small = out.count() <= 1_000_000
-    joined = marked.join(F.broadcast(out) if small else out, (marked["_key"] == out["_key"]) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left_anti")
+    same = (F.col(key) == F.col(out_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(of))
+    joined = marked.join(F.broadcast(out) if small else out, same, "left_anti")
     return joined.select(*docs.columns)
 
 
