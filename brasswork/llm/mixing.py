@@ -94,8 +94,8 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 
     Ordered by (block, place) it is the stream. `budget` is in tokens; None shows each document at least once.
     """
-    docs = docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_tokens": token_count(F.col("text").cast("string")), "_mark": F.xxhash64("doc_id", "text")})
-    thin = _shared.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.col("_mark").alias("mark")), "mixrows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), token_count(F.col("text").cast("string")).alias("tokens"), F.xxhash64("doc_id", "text").alias("mark"))
+    thin = _shared.written(rows, "mixrows")
     by = _shared.written(shares(thin), "mixshares")
     a = exponent(by, entropy, repeats)
     w = weights(by, a)
@@ -125,12 +125,18 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, as often as the mixture shows them, with all their columns."""
     placed = mix(docs, **options)
-    times = placed.groupBy("doc_id", "mark", "copy").agg(F.count("*").cast("int").alias("times")).withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark").withColumnRenamed("copy", "_copy")
-    marked = docs.withColumn("_of", F.xxhash64("doc_id", "text"))
-    # Copies of a row are alike but for their source, so any order of theirs will do.
-    told = marked.withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "_of").orderBy(F.coalesce(F.col("source").cast("string"), F.lit("")))))
-    joined = told.join(times, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_of") == F.col("_mark")) & (F.col("_number") == F.col("_copy")))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    of, number, id_, mark, copy, times, again = _shared.fresh(docs, "_of", "_number", "_id", "_mark", "_copy", "_times", "_again")
+    counts = placed.groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.col("copy").alias(copy)).agg(F.count("*").cast("int").alias(times))
+    counts = _shared.written(counts, "mixcounts")
+    told = docs.withColumn(of, F.xxhash64("doc_id", "text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(of) == F.col(mark))
+    if counts.where(F.col(copy) > 1).limit(1).count():
+        # Copies of a row are alike but for their source, so any order of theirs will do.
+        told = told.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", of).orderBy(F.coalesce(F.col("source").cast("string"), F.lit("")))))
+        same = same & (F.col(number) == F.col(copy))
+    small = counts.count() <= 1_000_000
+    joined = told.join(F.broadcast(counts) if small else counts, same)
+    return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,15 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id (one row of it)."""
     found = jaccardjoin.join(docs, WIDTH, PERCENT)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast("long").alias("_keep")).distinct()
+    (key,) = _shared.fresh(docs, "_keep")
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast("long").alias(key)).distinct()
     # A null id can't be a group's smallest unless all are null; such rows stay.
-    kept = _shared.with_small(docs.withColumn("_keep", F.col("doc_id").cast("long")), first, ["_keep"], 2_000_000, "left_semi")
-    without = docs.where("doc_id is null")
-    kept = kept.drop("_keep")
+    kept = _shared.with_small(docs.withColumn(key, F.col("doc_id").cast("long")), first, [key], 2_000_000, "left_semi")
+    kept = kept.select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(without).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +48,31 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+_done: list = []
+
+
+def _cleared(stage):
+    """A stage that first removes its predecessor's working tables: the predecessor's result is written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _shared.drop(_done)
+        _done.clear()
+        before = len(_shared.made())
+        out = stage(spark, docs, sf_dir)
+        if stage is not stage_packing:
+            _done.extend(_shared.made(before))
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", stage_quality),
-    ("jaccard", stage_jaccard),
-    ("pii", stage_pii),
-    ("mixing", stage_mixing),
-    ("packing", stage_packing),
+    ("quality", _cleared(stage_quality)),
+    ("jaccard", _cleared(stage_jaccard)),
+    ("pii", _cleared(stage_pii)),
+    ("mixing", _cleared(stage_mixing)),
+    ("packing", _cleared(stage_packing)),
 ]
 
 #: SQL can't express the classifier's training or the packing's linear program.
