@@ -5,11 +5,11 @@ URLs, predict each character from up to `ORDER` characters before it; shorter co
 
     p_k(c | ctx_k) = (n(ctx_k c) + BETA * p_(k-1)(c)) / (n(ctx_k) + BETA),   p_(-1) = 1 / 256
 
-Counts are over all URLs. They live in `BUCKETS` hashed counters a model, `WIDTH` bytes each, so the models have a
-fixed size (4 * BUCKETS * WIDTH bytes) whatever the input. They reach the scoring projection as one binary literal:
-scoring neither joins nor shuffles. The score is
-the length-normalised difference of the log-likelihoods; the cut between the classes is calibrated where their score
-distributions (mean and deviation) err equally.
+Counts are over all URLs: the n-grams of ORDER + 1 characters are counted once, per class, and all shorter n-grams and
+contexts are sums over that table. It gives each n-gram its log-ratio; a URL's score is the mean of its n-grams', i.e.
+the length-normalised difference of the log-likelihoods. The n-grams reach the URLs by a broadcast only if a count
+proves their table small, by a shuffled join otherwise. URLs with the same text are scored once. The cut between the
+classes is calibrated where their score distributions (mean and deviation) err equally.
 
 Seed words label the examples: a URL whose host has one of them as a part between dots and hyphens is rejected, any
 other is accepted. Rules take precedence; the longest rule that fits wins.
@@ -23,15 +23,13 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _shared
 
 ORDER = 4
 BETA = 1.0
-BUCKETS = 1 << 16
-WIDTH = 6
 
 # The rules of the registered query, (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -67,53 +65,35 @@ def _padded(text: Column) -> Column:
     return F.concat(F.lit("\u0002" * ORDER), F.lower(text), F.lit("\u0003"))
 
 
-def _bucket(kind: str, k: Column, part: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(kind), k, part), F.lit(BUCKETS)).cast("int")
-
-
-def train(examples: DataFrame) -> bytes:
-    """Models of (text, rejected) rows: big-endian counts of n-grams and contexts, accepted class first."""
-    texts = examples.groupBy("rejected", "text").agg(F.count("*").alias("n")).withColumn("s", _padded(F.col("text")))
+def _grams(texts: DataFrame) -> DataFrame:
+    """Adds gram: each character of a text behind the ORDER characters before it."""
     s = F.col("s")
-
-    def at(i: Column) -> Column:
-        def order(k: Column) -> Column:
-            return F.array(_bucket("n", k, s.substr(i - k, k + 1)), _bucket("c", k, s.substr(i - k, k)) + BUCKETS)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), order))
-
     places = F.sequence(F.lit(ORDER + 1), F.length(s))
-    counted = texts.select("rejected", "n", F.explode(F.flatten(F.transform(places, at))).alias("bucket"))
-    counted = counted.groupBy("rejected", "bucket").agg(F.sum("n").alias("n"))
-    # At most 4 * BUCKETS rows from here on, whatever the input.
-    slot = (F.col("rejected").cast("int") * 2 * BUCKETS + F.col("bucket")).cast("int")
-    filled = counted.select(slot.alias("slot"), "n")
-    every = filled.sparkSession.range(4 * BUCKETS).select(F.col("id").cast("int").alias("slot"), F.lit(0).cast("long").alias("n"))
-    dense = filled.unionByName(every).groupBy("slot").agg(F.sum("n").alias("n"))
-    digits = F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: F.lpad(F.hex(x["n"]), 2 * WIDTH, "0"))
-    return bytes(dense.agg(F.unhex(F.array_join(digits, "")).alias("counts")).first()["counts"])
-
-
-def log_ratio(text: Column, model: bytes) -> Column:
-    """Length-normalised log-likelihood of `text` under the accepted model minus that under the rejected one."""
-    s, held = _padded(text), F.lit(model)
-
-    def count(slot: Column) -> Column:
-        return F.conv(F.hex(F.substring(held, slot * WIDTH + 1, F.lit(WIDTH))), 16, 10).cast("double")
-
-    def one(i: Column) -> Column:
-        def model(base: int) -> Column:
-            def order(p: Column, k: Column) -> Column:
-                seen = count(_bucket("n", k, s.substr(i - k, k + 1)) + base)
-                ctx = count(_bucket("c", k, s.substr(i - k, k)) + BUCKETS + base)
-                return (seen + BETA * p) / (ctx + BETA)
-
-            return F.log(F.aggregate(F.sequence(F.lit(0), F.lit(ORDER)), F.lit(1 / 256), order))
-
-        return model(0) - model(2 * BUCKETS)
-
-    total = F.aggregate(F.sequence(F.lit(ORDER + 1), F.length(s)), F.lit(0.0), lambda a, i: a + one(i))
-    return total / (F.length(s) - ORDER)
+    return texts.withColumn("s", _padded(F.col("text"))).withColumn("gram", F.explode(F.transform(places, lambda i: s.substr(i - ORDER, F.lit(ORDER + 1))))).drop("s")
+
+
+def train(texts: DataFrame) -> DataFrame:
+    """gram and ratio (log of its last character's probability under the accepted model less that under the rejected one)
+    of (text, rejected, n) rows."""
+    classes = {"a": ~F.col("rejected"), "r": F.col("rejected")}
+    counted = _grams(texts).groupBy("gram").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in classes.items()])
+    counted = _shared.written(counted, "urlgrams")
+    last = F.substring("gram", ORDER + 1, 1)
+    ones = counted.groupBy(last.alias("last")).agg(*[F.sum(k).alias(f"{k}n0") for k in classes])
+    grams = _shared.with_small(counted.withColumn("last", last), ones, ["last"])
+    totals = counted.agg(*[F.sum(k).alias(k) for k in classes])
+    p = {k: F.lit(1 / 256) for k in classes}
+    for order in range(ORDER + 1):
+        for k in classes:
+            if order == 0:
+                seen, context = F.col(f"{k}n0"), totals.select(k).scalar()
+            else:
+                tail, before = F.substring("gram", ORDER + 1 - order, order + 1), F.substring("gram", ORDER + 1 - order, order)
+                seen = F.col(k) if order == ORDER else F.sum(k).over(Window.partitionBy(tail))
+                context = F.sum(k).over(Window.partitionBy(before))
+            grams = grams.withColumns({f"{k}_seen{order}": seen, f"{k}_context{order}": context})
+            p[k] = (F.col(f"{k}_seen{order}") + BETA * p[k]) / (F.col(f"{k}_context{order}") + BETA)
+    return grams.select("gram", (F.log(p["a"]) - F.log(p["r"])).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
@@ -123,9 +103,11 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     rule, verdict = judge_by_rules(F.col("host"), F.col("path"), rules)
     text = F.concat("host", "path")
     parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), rejected_by_seeds(F.col("host"), seeds).alias("rejected"), text.alias("text"))
-    model = train(parsed.where("text <> ''").select("text", "rejected"))
-    score = F.when(F.col("text") != "", log_ratio(F.col("text"), model))
-    scored = _shared.written(parsed.withColumn("score", score), "urlscores")
+    parsed = _shared.written(parsed, "urls")
+    texts = _shared.written(parsed.where("text <> ''").groupBy("text", "rejected").agg(F.count("*").alias("n")), "urltexts")
+    model = _shared.written(train(texts), "urlmodel")
+    scores = _shared.with_small(_grams(texts.select("text")), model, ["gram"], 500_000).groupBy("text").agg(F.avg("ratio").alias("score"))
+    scored = _shared.written(_shared.with_small(parsed, _shared.written(scores, "urlscores"), ["text"], how="left"), "urlscored")
     cut = scored.agg(*[f(F.when(F.col("rejected") == c, F.col("score"))).alias(n + k) for c, k in ((False, "a"), (True, "r")) for f, n in ((F.avg, "mean_"), (F.stddev_pop, "dev_"))])
     both = (F.col("mean_a") * F.col("dev_r") + F.col("mean_r") * F.col("dev_a")) / F.nullif(F.col("dev_a") + F.col("dev_r"), F.lit(0.0))
     cut = cut.select(F.coalesce(both, (F.col("mean_a") + F.col("mean_r")) / 2).alias("cut"))
