@@ -37,9 +37,16 @@ PERCENT = 90
 COUNTERS = 1 << 21
 CHUNKS = 64
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
+#: Bins of a set's histogram, by which pairs are bounded before their sets are fetched.
+BINS = 256
 _LEAST = -(2**63)
 
 
+def _bins(s: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each bin; two sets share at most the sum of the smaller counts."""
+    return np.bincount((mixed(s) >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32)
+
+
 def _sets(texts: list[str], width: int) -> list[np.ndarray]:
     hashes, starts = shingles(texts, width)
     return [np.unique(hashes[a:b]) for a, b in zip(starts[:-1], starts[1:])]
@@ -198,9 +205,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
                 # Half of a token's bits do for the other orders: a false agreement only costs a comparison.
                 made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if len(s) else [] for s in sets]
                 made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if len(s) else [] for s in sets]
+                made["bins"] = [_bins(s) for s in sets]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy()} | made)
 
-    schema = "doc_id long, n int, nid long, first array<long>, second array<int>, third array<int>"
+    schema = "doc_id long, n int, nid long, first array<long>, second array<int>, third array<int>, bins array<int>"
     signed = _shared.written(kept.mapInPandas(prefixes, schema), "signed")
     full = signed.where("n > 0")
     nodes = _shared.written(full.groupBy("nid").agg(F.min("doc_id").alias("least")), "nodes")
@@ -222,6 +230,13 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         short = _shared.written(_shared.with_small(full.select("nid", "second", "third"), ends, ["nid"], 2_000_000, "left_semi").dropDuplicates(["nid"]), "short")
         near = pairs.join(short.withColumnRenamed("nid", "x"), "x").join(short.select(F.col("nid").alias("y"), F.col("second").alias("second_y"), F.col("third").alias("third_y")), "y")
         near = _shared.written(near.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "near")
+        # An upper bound of the overlap, from histograms a tenth of the size of the sets, before those are fetched.
+        ends = near.select(F.col("x").alias("nid")).union(near.select("y")).distinct()
+        held = _shared.with_small(full.select("nid", "n", "bins"), ends, ["nid"], 2_000_000, "left_semi").dropDuplicates(["nid"])
+        held = _shared.written(held, "held")
+        both = near.join(held.withColumnRenamed("nid", "x"), "x").join(held.select(F.col("nid").alias("y"), F.col("n").alias("n_y"), F.col("bins").alias("bins_y")), "y")
+        most = F.aggregate(F.zip_with("bins", "bins_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+        near = _shared.written(both.where((100 + percent) * most >= percent * (F.col("n") + F.col("n_y"))).select("x", "y"), "near")
         ends = near.select(F.col("x").alias("nid")).union(near.select("y")).distinct().join(nodes, "nid")
         ends = _shared.written(ends, "ends")
         sets = _shared.with_small(_texts(keyed, ends).mapInPandas(sets_of, "nid long, tokens array<long>"), ends.select("nid"), ["nid"], 2_000_000)
