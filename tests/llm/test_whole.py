@@ -1,0 +1,36 @@
+"""Operators on inputs that are too large or too awkward for their usual tests: nothing may be cut or lost."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from brasswork.llm import surrogates
+
+
+def test_surrogates_of_many_names_and_short_secrets_stay_apart(spark):
+    n = 20_000  # with four syllables, some 37 pairs of family names share a surrogate under any key
+    digits = F.lpad(F.col("id").cast("string"), 6, "0")
+    name = F.initcap(F.translate(digits, "0123456789", "abdefgklmn"))
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr. "), name, F.lit(" came. token="), digits).alias("text"))
+    out = surrogates.replace(rows)
+    parts = out.select(F.regexp_extract("text", r"Mr\. (\w+) came", 1).alias("name"), F.regexp_extract("text", "token=(.*)$", 1).alias("token"))
+    assert parts.select("name").distinct().count() == n and parts.select("token").distinct().count() == n
+    assert parts.where("name = '' or length(token) <> 6").count() == 0
+
+
+def test_scrambling_is_a_permutation_without_fixed_points(spark):
+    # All texts of small shapes: hexadecimal, plain low texts that mustn't turn hexadecimal, and marks between signs.
+    low = [a + b for a in "0123456789abcdefghijklmnopqrstuvwxyz" for b in "0123456789abcdefghijklmnopqrstuvwxyz"]
+    texts = low + [f"{a}-{b}" for a in "XYZABC" for b in "0123456789"] + [f"--{a}--" for a in "abcdefghijklmnopqrstuvwxyz"]
+    made = spark.createDataFrame([(t,) for t in texts], "x string").select("x", surrogates._scrambled(F.lit("k"), F.col("x"), "t", hexa=True).alias("y")).collect()
+    assert len({r.y for r in made}) == len(texts) and all(r.x != r.y and len(r.x) == len(r.y) for r in made)
+    hexa = re.compile("^[0-9a-f]+$")
+    assert all(bool(hexa.match(r.x)) == bool(hexa.match(r.y)) for r in made)
+
+
+def test_values_without_signs_stay_and_spacing_of_an_iban_does_not_matter(spark):
+    rows = [(1, "password: ------ and DE89 3704 0044 0532 0130 00"), (2, "DE89370400440532013000")]
+    got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].startswith("password: ------ and DE") and got[1].split("and ")[1].replace(" ", "") == got[2] != rows[1][1]
