@@ -182,7 +182,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "cisa_remediation": lambda: _counts(fields(V.ADVISORY, ("remediation_available",)).select(lambda d: {"remediation_available": "remediation_available"}), "remediation_available"),
     "incident_severity": lambda: _counts(fields(V.INCIDENT, ("severity", "status")).select(lambda d: {"severity": "severity", "status": "status"}), "severity", "status"),
     "norm_dates": lambda: Relation("orders").select(lambda d: {"key": "o_orderkey", "raw": f"CASE o_orderkey % 4 WHEN 0 THEN {R._long_date('o_orderdate')} WHEN 1 THEN concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING)) WHEN 2 THEN '14 March 2025' ELSE 'Foo 3, 2020' END"}).select(lambda d: {"key": "key", "with_slashes": iso_date(d, "raw", True), "without": iso_date(d, "raw", False)}),
-    "summary_sentences": lambda: Relation("documents").select(lambda d: {"doc_id": "doc_id", "summary": d.sentences("left(text, 2000)")}),
+    "summary_sentences": lambda: Relation("documents").select(lambda d: {"doc_id": "doc_id", "summary": d.sentences("text")}),
     **{f"{n}_validation": (lambda k=k: silver_of(k).select(_texts(("document_id", "field_coverage_pct", "validation_status", "validation_errors")))) for n, k in (("fda", V.LETTER), ("cisa", V.ADVISORY), ("incident", V.INCIDENT))},
     "silver_coverage": lambda: all_silver().agg(("domain", "field_coverage_pct"), lambda d: {"n": "count(*)"}),
     "silver_metrics": lambda: all_silver().agg((), E.silver_metrics),
