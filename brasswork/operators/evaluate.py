@@ -101,12 +101,16 @@ def flagged(relation, flags):
     return relation.add(flags).where(lambda d: f"{d.size('review_reasons')} > 0")
 
 
-def required_null_rate(d: Dialect, names) -> dict[str, str]:
-    """Empty required slots among all; a name that the rows don't have counts as empty."""
+def empty_slots(d: Dialect, names) -> str:
+    """The number of a row's empty slots; a name that the row doesn't have (with a dash before it) is one."""
     from .silver import populated
 
-    total = " + ".join("1" if n.startswith("-") else f"CASE WHEN {populated(d, n)} THEN 0 ELSE 1 END" for n in names)
-    return {"required_field_null_rate": f"round(sum({total}) / CAST(nullif(count(*) * {len(names)}, 0) AS DOUBLE), 4)"}
+    return " + ".join("1" if n.startswith("-") else f"CASE WHEN {populated(d, n)} THEN 0 ELSE 1 END" for n in names)
+
+
+def required_null_rate(d: Dialect, names) -> dict[str, str]:
+    """Empty required slots among all; a name that the rows don't have counts as empty."""
+    return {"required_field_null_rate": f"round(sum({empty_slots(d, names)}) / CAST(nullif(count(*) * {len(names)}, 0) AS DOUBLE), 4)"}
 
 
 def orphans(child, parent, key: str):

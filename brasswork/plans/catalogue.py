@@ -113,6 +113,31 @@ def _lineage() -> Relation:
     return joined.select(lambda d: {"document_id": "document_id", "silver_exists": "in_silver IS NOT NULL", "gold_exists": "in_gold IS NOT NULL", "export_ready": "export_ready", "routing_label": "routing_label", "full_lineage": "CASE WHEN in_silver IS NOT NULL AND in_gold IS NOT NULL THEN 'complete' ELSE 'incomplete' END"})
 
 
+def _beside(first: Relation, *others: Relation) -> Relation:
+    """One-row relations as one row."""
+    whole = first.add(lambda d: {"one": "1"})
+    for other in others:
+        whole = whole.join(other.add(lambda d: {"one": "1"}), "inner", ("one",))
+    return whole
+
+
+def _warned(whole: Relation, targets) -> Relation:
+    return whole.add(lambda d: E.warnings(d, targets)).select(lambda d: {"threshold_warnings": d.join("threshold_warnings", "; ")})
+
+
+def _bronze_p() -> Relation:
+    return E.nearest(R.natural().where(lambda d: "parse_status IN ('success', 'partial')"), "char_count", {"p10_char_count": 10, "p25_char_count": 25})
+
+
+def _required_nulls() -> Relation:
+    """The reference's rate over all records: the letters' required fields, which records of other domains don't have."""
+    names = V.REQUIRED[V.LETTER]
+    held = {k: [n if n in V.REQUIRED[k] + V.OPTIONAL[k] else f"-{n}" for n in names] for k in V.DOMAINS}
+    empty = lambda k: lambda d: {"empty_slots": E.empty_slots(d, held[k])}
+    parts = [silver_of(k).select(empty(k)) for k in V.DOMAINS]
+    return parts[0].union(*parts[1:]).agg((), lambda d: {"required_field_null_rate": f"round(sum(empty_slots) / CAST(nullif(count(*) * {len(names)}, 0) AS DOUBLE), 4)"})
+
+
 def _trace_rates() -> Relation:
     bronze, silver, gold = trace()
     a = E.link_rate(gold, silver, "extraction_id", "gold_to_silver").add(lambda d: {"one": "1"})
@@ -170,9 +195,9 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "bronze_file_hash": lambda: R.natural().select(lambda d: {"document_id": "document_id", "file_hash": "file_hash"}),
     "bronze_constraints": lambda: R.natural().select(lambda d: {"document_id": "document_id", "violations": d.join(d.compact((f"NOT {d.isin(d.coalesce(f'lower({d.extract("file_name", "([.][^./]+)$", "")})', "''"), V.EXTENSIONS)}", "'extension'"), (f"NOT {d.has('file_hash', '^[0-9a-f]{64}$', '')}", "'file_hash'"), ("parse_status = 'failed' AND (parse_error IS NULL OR parsed_text IS NOT NULL)", "'failed_shape'"), ("parse_status <> 'failed' AND char_count IS NULL", "'char_count'")), ",")}),
     "bronze_metrics": lambda: R.natural().agg((), E.bronze_metrics),
-    "bronze_percentiles": lambda: E.nearest(R.natural().where(lambda d: "parse_status IN ('success', 'partial')"), "char_count", {"p10_char_count": 10, "p25_char_count": 25}),
+    "bronze_percentiles": _bronze_p,
     "bronze_flags": lambda: E.flagged(R.natural(), E.bronze_flags).select(_texts(("document_id", "parse_status", "char_count", "review_reasons"))),
-    "bronze_thresholds": lambda: R.natural().agg((), E.bronze_metrics).add(lambda d: {"p10_char_count": "CAST(NULL AS BIGINT)"}).add(lambda d: E.warnings(d, V.BRONZE_TARGETS)).select(lambda d: {"threshold_warnings": d.join("threshold_warnings", "; ")}),
+    "bronze_thresholds": lambda: _warned(_beside(R.natural().agg((), E.bronze_metrics), _bronze_p()), V.BRONZE_TARGETS),
     # Silver
     "fda_fields": lambda: fields(V.LETTER),
     "cisa_fields": lambda: fields(V.ADVISORY),
@@ -190,7 +215,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "silver_required_nulls": lambda: silver_of(V.LETTER).agg((), lambda d: E.required_null_rate(d, V.REQUIRED[V.LETTER])),
     "silver_error_frequency": lambda: all_silver().explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)"}),
     "silver_flags": lambda: E.flagged(all_silver(), E.silver_flags).select(_texts(("document_id", "validation_status", "review_reasons"))),
-    "silver_thresholds": lambda: all_silver().agg((), E.silver_metrics).add(lambda d: {"p25_field_coverage_pct": "CAST(NULL AS DOUBLE)", "required_field_null_rate": "CAST(NULL AS DOUBLE)"}).add(lambda d: E.warnings(d, V.SILVER_TARGETS)).select(lambda d: {"threshold_warnings": d.join("threshold_warnings", "; ")}),
+    "silver_thresholds": lambda: _warned(_beside(all_silver().agg((), E.silver_metrics), E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}), _required_nulls()), V.SILVER_TARGETS),
     # Gold
     "gold_signals": lambda: silver_of(V.INCIDENT).add(lambda d: signals(d, V.INCIDENT)).select(lambda d: {"document_id": "document_id", "signals": "signals"}),
     "gold_confidence": lambda: all_gold().select(lambda d: {k: k for k in ("document_id", "document_type_label", "classification_confidence")}),
