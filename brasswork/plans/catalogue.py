@@ -158,18 +158,26 @@ def _run_metrics() -> Relation:
     return moved.add(lambda d: {"drift": "round(metric - before, 4)"}).select(lambda d: {"run": "run", "metric": "metric", "drift": "drift", "dropped": "coalesce(drift < -0.10, false)"})
 
 
+def _drift() -> Relation:
+    """One row with the drift of the layers: schema versions, and whether run ids are missing or placeholders.
+
+    Environments stay one: records carry no environment, and the reference counts only the one that a run is given.
+    """
+    parts = [r.select(lambda d: {"schema_version": "schema_version"}) for r in trace()]
+    versions = parts[0].union(*parts[1:]).where(lambda d: "coalesce(schema_version, '') <> ''").agg(("schema_version",), lambda d: {"n": "count(*)"}).agg((), lambda d: {"schema_versions": "count(*)"})
+    runs = _coverage_of_layers().select(lambda d: {"missing_provenance": "coalesce(run_id_coverage < 1, false) OR placeholder_runs > 0"})
+    return _beside(versions, runs).select(lambda d: {"schema_versions": "schema_versions", "environments": "1", "missing_provenance": "missing_provenance"})
+
+
 def _governance() -> Relation:
     """One row with the quality, handoff, queue and lineage figures that governance reads."""
-    one = lambda r: r.add(lambda d: {"one": "1"})
-    bronze = one(R.natural().agg((), E.bronze_metrics).select(lambda d: {"parse_success_rate": "parse_success_rate"}))
-    silver = one(all_silver().agg((), E.silver_metrics).select(lambda d: {"schema_validity_rate": "schema_validity_rate"}))
-    gold = one(all_gold().agg((), E.gold_metrics).select(lambda d: {"gold_export_ready_rate": "export_ready_rate"}))
-    batch = one(outcomes().agg((), B.report))
-    queue = one(outcomes().add(B.review).agg((), B.queue_counts))
-    whole = bronze
-    for other in (silver, gold, batch, queue, one(_trace_rates())):
-        whole = whole.join(other, "inner", ("one",))
-    return whole.add(B.governance_rates).add(lambda d: {"schema_versions": "2", "environments": "1", "missing_provenance": "false"}).add(B.governance_flags).add(B.governance_health)
+    bronze = R.natural().agg((), E.bronze_metrics).select(lambda d: {"parse_success_rate": "parse_success_rate"})
+    silver = all_silver().agg((), E.silver_metrics).select(lambda d: {"schema_validity_rate": "schema_validity_rate"})
+    gold = all_gold().agg((), E.gold_metrics).select(lambda d: {"gold_export_ready_rate": "export_ready_rate"})
+    batch = outcomes().agg((), B.report)
+    queue = outcomes().add(B.review).agg((), B.queue_counts)
+    whole = _beside(bronze, silver, gold, batch, queue, _trace_rates(), _drift())
+    return whole.add(B.governance_rates).add(B.governance_flags).add(B.governance_health)
 
 
 def _manifest() -> Relation:

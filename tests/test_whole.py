@@ -33,3 +33,13 @@ def test_all_bronze_and_silver_thresholds_can_warn(spark, tmp_path):
     low = C.E.nearest(C.all_silver().add(lambda d: {"low": "field_coverage_pct / 4"}), "low", {"p25_field_coverage_pct": 25})
     whole = C._beside(C.all_silver().agg((), C.E.silver_metrics), low, C._required_nulls())
     assert "p25_field_coverage_pct" in C._warned(whole, V.SILVER_TARGETS).frame(spark, SF).collect()[0][0]
+
+
+def test_governance_reads_drift_from_the_layers(spark, tmp_path):
+    flags = C.QUERIES["governance_flags"](spark, SF).collect()[0][0].split(",")
+    assert "warning:missing_provenance" in flags and "warning:mixed_schema_versions" in flags and "warning:mixed_environments" not in flags
+    # No Gold rows (numbers by fives) leave one schema version; numbers off 9 and 10 have real runs only.
+    for name, ids, expected in (("one", (5, 25), (1, 1, False)), ("null", (10, 20), (1, 1, True)), ("placeholder", (45,), (1, 1, True)), ("two", (1, 2), (2, 1, False)), ("none", (), (0, 1, False))):
+        spark.createDataFrame([(i, "error") for i in ids], "event_id long, event_type string").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = C._drift().frame(spark, f"{tmp_path}/{name}").collect()[0]
+        assert (got.schema_versions, got.environments, got.missing_provenance) == expected, name
