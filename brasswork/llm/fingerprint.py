@@ -6,8 +6,8 @@ over random byte values, prefix sums for all words of a batch at once), and `PER
 (multiply, add, take the high half) are minimised over the shingles. Likeness is the share of equal minima.
 
 `near_duplicates` joins bands of the signatures in Spark and verifies Jaccard on the shingle sets; inside a bucket
-each fingerprint is compared with the bucket's smallest one only, and buckets recur over bands, so groups of copies
-never expand into all pairs.
+each fingerprint is compared with the bucket's smallest one first, and with those that are still in another component
+after that, so groups of copies never expand into all pairs and no pair of bucket-mates is missed.
 
 Defined results: null text is an empty text; a text without words has the all-ones signature, which is like only
 itself; a null doc_id comes first; repeated doc_ids follow one another by text; one document alone is its own
@@ -159,12 +159,31 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS
     nodes = _shared.written(nodes, "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1")
-    pairs = buckets.join(heads, "band").where("node <> head").select("node", "head").distinct()
     words = nodes.select("node", "words")
-    both = pairs.join(words, "node").join(words.select(F.col("node").alias("head"), F.col("words").alias("other")), "head")
-    same = F.size(F.array_intersect("words", "other"))
-    links = both.where(100 * same >= percent * (F.size("words") + F.size("other") - same)).select(F.col("node").alias("a"), F.col("head").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sets are alike enough."""
+        both = pairs.join(words.withColumnRenamed("node", "a"), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("other")), "b")
+        same = F.size(F.array_intersect("words", "other"))
+        return _shared.written(both.where(100 * same >= percent * (F.size("words") + F.size("other") - same)).select("a", "b"), "links")
+
+    headed = buckets.join(heads.select("band", "head"), "band")
+    links = verified(headed.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
     labels = _components.components(links)
+
+    # Bucket-mates that the heads left in different components, unless their sizes rule a link out.
+    named = headed.join(nodes.select("node", F.size("words").alias("n")), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = _shared.written(named, "named")
+    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    named = named.join(mixed, "band", "left_semi").where("node <> head")
+    one, two = named.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), named.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    crossed = _shared.written(one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sized).select("a", "b").distinct(), "crossed")
+    if crossed.limit(1).count():
+        more = verified(crossed)
+        if more.limit(1).count():
+            labels = _components.components(links.union(more))
+
     least = nodes.select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("component_id"))
     named = labels.join(least, "label").select("node", F.col("component_id").alias("found"))
     alone = nodes.select("node", "least")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
-from brasswork.llm import surrogates
+from brasswork.llm import fingerprint, surrogates
+
+from .test_documents import brute
 
 
 def test_surrogates_of_many_names_and_short_secrets_stay_apart(spark):
@@ -34,3 +37,19 @@ def test_values_without_signs_stay_and_spacing_of_an_iban_does_not_matter(spark)
     rows = [(1, "password: ------ and DE89 3704 0044 0532 0130 00"), (2, "DE89370400440532013000")]
     got = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].startswith("password: ------ and DE") and got[1].split("and ")[1].replace(" ", "") == got[2] != rows[1][1]
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    # Families of a text, a near copy (two words edited) and 40 texts that are a little too far off (three words edited),
+    # some of which come first in every bucket.
+    rng, rows = random.Random(7), []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(130)]
+        for edits in (0, 2, *[3] * 40):
+            words = list(base)
+            for at in rng.sample(range(1, 13), edits):
+                words[at * 10] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in fingerprint.near_duplicates(docs).collect())
+    assert got == [(doc_id, least) for doc_id, _, least in brute(rows, 5, 80)]
