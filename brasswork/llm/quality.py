@@ -2,8 +2,8 @@
 
 The text view sees numeric traits of a document's whole text (shares of signs, capitals, digits, repeated words and
 lines, endings of words, lengths); the metadata view sees language, source and length. Two logistic regressions are
-trained on a bounded sample of labelled rows (`SAMPLE`, by a hash of doc_id; so is the pool of unlabelled rows). In
-each round, each view labels the pool's documents that it is most confident of, and the *other* view learns from
+trained on a bounded sample of labelled rows (`SAMPLE`, by a hash of doc_id). In each round, each view scores all
+unlabelled rows and labels the `ADDED` of each class that it is most confident of, and the *other* view learns from
 them. Both views are then calibrated on held-out labelled rows (Platt), and their calibrated log-odds are combined by
 a third regression on the same rows. All documents are scored; those below `CUT` are rejected.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-#: Labelled rows, and pool rows, that training uses at most.
-SAMPLE = 10_000
+#: Labelled rows that training uses at most.
+SAMPLE = 20_000
 ROUNDS = 5
 #: A pseudo-label needs this probability, and at most so many are added a round and class.
 SURE = 0.97
-ADDED = 200
+ADDED = 400
 #: Documents with a smaller combined probability of good quality are rejected.
 CUT = 0.35
 LANGS, SOURCES = 16, 64
@@ -132,29 +132,21 @@ def _p(odds: np.ndarray) -> np.ndarray:
 class Views:
     """The two classifiers, their calibrations and the combination."""
 
-    def fit(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> "Views":
+    def fit(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray, sure: Callable[[list[Logistic]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]], rounds: int = ROUNDS) -> "Views":
+        """`sure` gives, for each view's model, the unlabelled rows it is most confident of: both inputs and labels."""
         held = np.arange(len(y)) % 4 == 3
         if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
             held = np.zeros(len(y), dtype=bool)
         train = [[x[v][~held], y[~held]] for v in (0, 1)]
-        free = np.ones(len(pool[0]), dtype=bool)
         self.model = [Logistic().fit(*t) for t in train]
         for _ in range(rounds):
-            given = []
-            for v in (0, 1):
-                odds = self.model[v].odds(pool[v]) if len(pool[v]) else np.zeros(0)
-                picks = []
-                for sign in (1, -1):
-                    order = np.argsort(-sign * odds, kind="stable")
-                    picks += [i for i in order if free[i] and _p(sign * odds[i]) >= SURE][:ADDED]
-                given.append((np.array(picks, dtype=int), odds))
-            if not any(len(g[0]) for g in given):
+            given = sure(self.model)
+            if not any(len(g[2]) for g in given):
                 break
-            for v, (picks, odds) in enumerate(given):
+            for v, g in enumerate(given):
                 other = 1 - v
-                train[other][0] = np.r_[train[other][0], pool[other][picks]]
-                train[other][1] = np.r_[train[other][1], (odds[picks] > 0).astype(float)]
-                free[picks] = False
+                train[other][0] = np.r_[train[other][0], g[other]]
+                train[other][1] = np.r_[train[other][1], g[2]]
             self.model = [Logistic().fit(*t) for t in train]
         use = held if held.any() else np.ones(len(y), dtype=bool)
         raw = [m.odds(x[v][use]) for v, m in enumerate(self.model)]
@@ -186,18 +178,53 @@ def _mark():
     return F.xxhash64("text", "lang", "source", "n_chars")
 
 
+def confident(pool: DataFrame) -> Callable[[list[Logistic]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """For `Views.fit`: scores all rows of `pool` (row, tie, traits, meta) and takes each row once."""
+    taken: set[int] = set()
+
+    def sure(model: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        gone = np.array(sorted(taken), dtype=np.int64)
+        order = ["odds", "tie", "row"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: list[pd.DataFrame] = []  # of this task: at most ADDED rows a view and class
+            for b in batches:
+                b = b[~np.isin(b["row"].to_numpy(), gone)]
+                if not len(b):
+                    continue
+                x = _matrix(b)
+                for v in (0, 1):
+                    odds = model[v].odds(x[v])
+                    for sign in (1, -1):
+                        ok = _p(sign * odds) >= SURE
+                        best.append(b[ok].assign(view=v, sign=sign, odds=sign * odds[ok]))
+                whole = pd.concat(best).sort_values(order, ascending=[False, True, True])
+                best = [whole.groupby(["view", "sign"], sort=False).head(ADDED)]
+            if best:
+                yield best[0][["view", "sign", "odds", "tie", "row", "traits", "meta"]]
+
+        found = _shared.written(pool.mapInPandas(run, "view int, sign int, odds double, tie long, row long, traits array<float>, meta array<float>"), "sure")
+        tops = [found.where((F.col("view") == v) & (F.col("sign") == sign)).orderBy(F.desc("odds"), "tie", "row").limit(ADDED) for v in (0, 1) for sign in (1, -1)]
+        picks = tops[0].union(tops[1]).union(tops[2]).union(tops[3]).toPandas()  # at most 4 * ADDED short rows
+        taken.update(picks["row"].tolist())
+        return [(*_matrix(own), (own["sign"] > 0).to_numpy(dtype=float)) for own in (picks[picks["view"] == v] for v in (0, 1))]
+
+    return sure
+
+
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, cut: float = CUT) -> DataFrame:
     """doc_id, mark, text_score, meta_score, score, keep of every row of (doc_id, text, lang, source, n_chars)."""
-    rows = _shared.written(traced(docs), "traits")
+    rows = _shared.written(traced(docs).withColumn("row", F.monotonically_increasing_id()), "traits")
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("y"))
     order = [F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "mark"]
     labelled = rows.join(known, "doc_id").orderBy(*order).limit(sample).select("y", "traits", "meta").toPandas()  # at most `sample` rows of short vectors
-    pool = rows.join(known, "doc_id", "left_anti").orderBy(*order).limit(sample).select("traits", "meta").toPandas()
     if labelled["y"].nunique() < 2:
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "mark", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("keep"))
 
-    views = Views().fit(_matrix(labelled), labelled["y"].to_numpy(dtype=float), _matrix(pool), rounds)
+    pool = rows.join(known, "doc_id", "left_anti").select("row", F.xxhash64(F.lit("sample"), "doc_id").alias("tie"), "traits", "meta")
+    sure = confident(_shared.written(pool, "pool"))
+    views = Views().fit(_matrix(labelled), labelled["y"].to_numpy(dtype=float), sure, rounds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

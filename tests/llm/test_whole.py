@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from brasswork.llm import fingerprint, surrogates
+from brasswork.llm import fingerprint, quality, surrogates
 
 from .test_documents import brute
 
@@ -53,3 +54,33 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in fingerprint.near_duplicates(docs).collect())
     assert got == [(doc_id, least) for doc_id, _, least in brute(rows, 5, 80)]
+
+
+def test_views_learn_from_all_unlabelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    good = [" ".join(rng.choice(["the", "river", "flows", "past", "stone", "houses", "and", "trees."], 60)) for _ in range(300)]
+    bad = [" ".join(w + "$$$" for w in t.split()) for t in good]
+    rows = [(i, t, "en", f"s{i < 300}", len(t)) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(280, 320)], "doc_id long, quality int, toxic int")
+    seen, fit = [], quality.Logistic.fit
+    monkeypatch.setattr(quality.Logistic, "fit", lambda self, x, y: (seen.append(len(x)), fit(self, x, y))[1])
+    got = {r.doc_id: r.keep for r in quality.scores(docs, labels, sample=40).collect()}
+    assert all(got[i] == (i < 300) for i in got)
+    assert max(seen) > 400  # 30 labelled rows and most of the 560 others, not `sample` of them
+
+    # The picks of one round are the surest of all rows, and no row is picked again.
+    traced = quality.traced(docs).withColumn("row", F.col("doc_id")).withColumn("tie", F.xxhash64("doc_id")).localCheckpoint()
+    held = traced.orderBy("doc_id").toPandas()
+    x, y = quality._matrix(held), (held["doc_id"] < 300).to_numpy(dtype=float)
+    models = [fit(quality.Logistic(), v, y) for v in x]
+    monkeypatch.setattr(quality, "ADDED", 50)
+    sure = quality.confident(traced.select("row", "tie", "traits", "meta"))
+    first, second = sure(models), sure(models)
+    for v in (0, 1):
+        odds = models[v].odds(x[v])
+        for sign in (1, -1):
+            own = first[v][v][first[v][2] == (sign > 0)]
+            best = np.sort(sign * odds)[::-1]
+            assert np.allclose(np.sort(sign * models[v].odds(own))[::-1], best[best > np.log(0.97 / 0.03)][:50])
+    assert not {tuple(r) for r in first[0][0]} & {tuple(r) for r in second[0][0]}
