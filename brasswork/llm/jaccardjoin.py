@@ -188,11 +188,11 @@ def _texts(keyed: DataFrame, least: DataFrame) -> DataFrame:
     return _shared.with_small(keyed, wanted, ["wanted"], 2_000_000, "left_semi").select("text")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every (doc_id, text) row."""
+def _linked(docs: DataFrame, width: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's number (`marked`: and a hash of their text), sets with their least doc_id, labels of linked sets."""
     spark = docs.sparkSession
     _shared.ship(spark)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"), *([F.xxhash64(F.col("text").cast("string")).alias("mark")] if marked else []))
     table = token_classes(kept.select("text"), width)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,9 +206,10 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
                 made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if len(s) else [] for s in sets]
                 made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if len(s) else [] for s in sets]
                 made["bins"] = [_bins(s) for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy()} | made)
+                own = {"doc_id": part["doc_id"].astype("Int64").to_numpy()} | ({"mark": part["mark"].to_numpy()} if marked else {})
+                yield pd.DataFrame(own | made)
 
-    schema = "doc_id long, n int, nid long, first array<long>, second array<int>, third array<int>, bins array<int>"
+    schema = f"doc_id long, {'mark long, ' if marked else ''}n int, nid long, first array<long>, second array<int>, third array<int>, bins array<int>"
     signed = _shared.written(kept.mapInPandas(prefixes, schema), "signed")
     full = signed.where("n > 0")
     nodes = _shared.written(full.groupBy("nid").agg(F.min("doc_id").alias("least")), "nodes")
@@ -258,6 +259,27 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         more = verified(crossed)
         if more.limit(1).count():
             labels = _components.components(links.union(more))
+    return signed, nodes, labels
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, bool]:
+    """(doc_id, mark) of one row of each component and of all rows without words, and whether a (doc_id, mark) repeats.
+
+    Components are those of the sets, so neither repeated nor null ids mix them up; mark is xxhash64(text). The row with
+    the smallest doc_id stays (null ids come last), then the one with the smallest mark.
+    """
+    signed, _, labels = _linked(docs, width, percent, marked=True)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    by_set = signed.where("n > 0").groupBy("nid").agg(F.min(rank).alias("first"))
+    by_component = by_set.join(labels.withColumnRenamed("node", "nid"), "nid", "left").groupBy(F.coalesce("label", "nid").alias("label")).agg(F.min("first").alias("first"))
+    chosen = by_component.select("first.doc_id", "first.mark").union(signed.where("n = 0").select("doc_id", "mark").distinct())
+    repeated = signed.groupBy("doc_id", "mark").count().where("count > 1").limit(1).count()
+    return _shared.written(chosen, "chosen"), bool(repeated)
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every (doc_id, text) row."""
+    signed, nodes, labels = _linked(docs, width, percent)
 
     # The smallest document of each component, then of each set, then of each document.
     least = nodes.join(labels.withColumnRenamed("node", "nid"), "nid")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasswork.llm import _shared, jaccardjoin, mixing, packing, quality, surrogates
@@ -19,17 +19,18 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id (one row of it)."""
-    found = jaccardjoin.join(docs, WIDTH, PERCENT)
-    (key,) = _shared.fresh(docs, "_keep")
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").cast("long").alias(key)).distinct()
-    # A null id can't be a group's smallest unless all are null; such rows stay.
-    kept = _shared.with_small(docs.withColumn(key, F.col("doc_id").cast("long")), first, [key], 2_000_000, "left_semi")
-    kept = kept.select(*docs.columns)
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """One document of each group of near copies: the one with the smallest doc_id (one row of it); null ids come last."""
+    chosen, repeated = jaccardjoin.representatives(docs, WIDTH, PERCENT)
+    none, key, mark = names = _shared.fresh(docs, "_none", "_keep", "_text")
+
+    def keyed(doc_id: Column, text_hash: Column) -> list[Column]:
+        return [doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(key), text_hash.alias(mark)]
+
+    rows = docs.select("*", *keyed(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    kept = _shared.with_small(rows, chosen.select(*keyed(F.col("doc_id"), F.col("mark"))), names, 1_000_000, "left_semi")
     if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+        kept = kept.dropDuplicates(names)
+    return kept.select(*docs.columns)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,15 @@ def test_views_learn_from_all_unlabelled_rows(spark, monkeypatch):
             best = np.sort(sign * odds)[::-1]
             assert np.allclose(np.sort(sign * models[v].odds(own))[::-1], best[best > np.log(0.97 / 0.03)][:50])
     assert not {tuple(r) for r in first[0][0]} & {tuple(r) for r in second[0][0]}
+
+
+def test_jaccard_stage_goes_by_rows_where_ids_repeat_or_are_null(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = {c: " ".join(f"{c}{i}" for i in range(100)) for c in "abcde"}
+    near = lambda c: texts[c] + " more"
+    rows = [(1, texts["a"]), (1, texts["b"]), (2, near("a")), (1, near("b")), (None, near("a")), (None, texts["c"]), (None, near("c")), (None, texts["d"]), (None, texts["d"]), (3, near("d")), (4, texts["e"]), (4, texts["e"]), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.stage_jaccard(spark, docs, str(tmp_path)).collect()
+    by = sorted((r.text or "-")[:1] + str(r.doc_id) for r in got)
+    assert by == ["-5", "-None", "a1", "b1", "cNone", "d3", "e4"]
