@@ -60,7 +60,7 @@ PATTERNS = (
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS).replace("([ -]?)", "(?:[ -]?)")
 #: What every entity has; texts without it are not searched.
-HINT = rf"[0-9@=:]|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@=:]|A(?:KI|SI)A[0-9A-Z]{{16}}|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}"
 
 
 def _number(key: Column, *parts: Column, digits: int = 13) -> Column:
