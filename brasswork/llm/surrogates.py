@@ -239,7 +239,7 @@ def collisions(found: DataFrame, key: str, more: int = 0) -> DataFrame:
 def fitting_key(docs: DataFrame, key: str = KEY) -> tuple[str, int]:
     """The first key derived from `key`, and the syllables added to names, that keep all entities of the documents apart."""
     found = entities(docs.select("text"))
-    found = _shared.written(found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity"), "entities")
+    found = _shared.written(found.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "entities")
     for i in range(TRIES):
         own = key if i == 0 else f"{key}\u001e{i}"
         if not collisions(found, own, LONGER * i).limit(1).count():
