@@ -27,7 +27,7 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return [doc_id.isNull().alias(none), F.coalesce(doc_id, F.lit(0)).alias(key), text_hash.alias(mark)]
 
     rows = docs.select("*", *keyed(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    kept = _shared.with_small(rows, chosen.select(*keyed(F.col("doc_id"), F.col("mark"))), names, 1_000_000, "left_semi")
+    kept = _shared.with_small(rows, chosen.select(*keyed(F.col("doc_id"), F.col("mark"))), names, how="left_semi")
     if repeated:
         kept = kept.dropDuplicates(names)
     return kept.select(*docs.columns)
