@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
 
     _shared.ship(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
-    return kept.mapInPandas(cut, PIECES)
+    return kept.mapInPandas(_shared.frugal(cut), PIECES)
 
 
 def _best_pattern(value: np.ndarray, weights: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -83,12 +83,13 @@ def _best_pattern(value: np.ndarray, weights: np.ndarray, room: int) -> tuple[fl
     return float(best[room]), pattern
 
 
-def _first_basis(weights: np.ndarray, need: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """A feasible basis: the fullest pattern of what is left, as often as it fits; each uses up one more class.
+def _first_basis(weights: np.ndarray, need: np.ndarray, room: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A feasible basis, its amounts and its inverse: the fullest pattern of what is left, as often as it fits.
 
-    A class that is used up stays out of later patterns, so the basis is triangular in that order.
+    Each pattern uses up one more class, which stays out of later patterns: in that order of classes the basis is
+    triangular, and forward substitution inverts it.
     """
-    left, basis, amount = need.copy(), [], []
+    left, basis, amount, order = need.copy(), [], [], []
     alive = np.ones(len(weights), dtype=bool)
     while alive.any():
         worth = np.where(alive, weights * (1 + 1e-3 * weights / room), 0.0)
@@ -101,26 +102,33 @@ def _first_basis(weights: np.ndarray, need: np.ndarray, room: int) -> tuple[list
         alive[out] = False
         basis.append(pattern)
         amount.append(times)
-    return basis, np.array(amount)
+        order.append(out)
+    inverse = np.zeros((len(weights), len(weights)))
+    for i, cls in enumerate(order):
+        row = np.array([pattern[cls] for pattern in basis[:i]], dtype=float)
+        inverse[i] = -(row[:, None] * inverse[:i]).sum(axis=0)
+        inverse[i, cls] += 1
+        inverse[i] /= basis[i][cls]
+    return basis, np.array(amount), inverse
 
 
 def solve(demand: dict[int, int], room: int, rounds: int = 3000, gap: float = 2e-4) -> list[tuple[dict[int, int], int]]:
     """Patterns ({class: count}, times) that meet `demand` exactly with few sequences of `room` classes' width.
 
     Revised simplex with an explicit basis inverse; columns come from the knapsack until Farley's bound is within `gap`.
+    At most `room` classes: plain sums do, so no linear-algebra library (and none of its threads) runs on the driver.
     """
     weights = np.array(sorted(c for c, n in demand.items() if n > 0), dtype=np.int64)
     if not len(weights):
         return []
     need = np.array([demand[int(c)] for c in weights], dtype=float)
-    basis, amount = _first_basis(weights, need, room)
-    inverse = np.linalg.inv(np.array(basis, dtype=float).T)
+    basis, amount, inverse = _first_basis(weights, need, room)
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
         worth, pattern = _best_pattern(np.maximum(duals, 0), weights, room)
         if worth <= 1 + 1e-9 or 1 - 1 / worth < gap:
             break
-        step = inverse @ pattern
+        step = (inverse * pattern).sum(axis=1)
         ratios = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratios.argmin())
         if not np.isfinite(ratios[out]):
