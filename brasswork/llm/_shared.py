@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: dict[str, str] = {}
 
+#: Bytes of a side that may be broadcast.
+SMALL = 24 << 20
+#: Bytes of a batch of rows that goes to Python at once, where the session leaves Spark's default.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = "67108864b"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
@@ -67,7 +81,9 @@ def _clean() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors once per application."""
+    """Send this package's code to the executors once per application; bound batches by bytes where the session doesn't."""
+    if spark.conf.get(_BATCH, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -80,6 +96,20 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = target
 
 
+def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """`run`, which gives freed memory back to the system at its end: workers are used again by other tasks."""
+
+    @functools.wraps(run)
+    def frugally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return frugally
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,9 +131,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def with_small(df: DataFrame, small: DataFrame, on: list[str], most_rows: int = 200_000, how: str = "inner") -> DataFrame:
-    """Join with a side that is broadcast only if a count proves it small; a shuffled join otherwise."""
-    return df.join(F.broadcast(small) if small.count() <= most_rows else small, on, how)
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    total = F.lit(16)
+    for name, kind in df.dtypes:
+        own = F.octet_length(name) if kind in ("string", "binary") else F.size(name) * 8 if kind.startswith("array") else F.lit(8)
+        total = total + F.coalesce(own, F.lit(0)).cast("long")
+    return total
+
+
+def is_small(df: DataFrame, most_bytes: int = SMALL) -> bool:
+    """Whether all rows of `df` together take at most so many bytes."""
+    return (df.agg(F.sum(_width(df)).alias("n")).first()["n"] or 0) <= most_bytes
+
+
+def with_small(df: DataFrame, small: DataFrame, on: list[str], most_bytes: int = SMALL, how: str = "inner") -> DataFrame:
+    """Join with a side that is broadcast only if its size in bytes proves small; a shuffled join otherwise."""
+    return df.join(F.broadcast(small) if is_small(small, most_bytes) else small, on, how)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -1,15 +1,19 @@
 """N-gram Jaccard join (operator 4): prefix filters under several global token orders, then exact verification.
 
-Texts become sets of hashed word shingles; equal sets collapse to one node. Two sets of at least `percent` likeness
-share a token among the first n - ceil(percent * n) + 1 of each, under any global order of tokens. Three orders are
-used. The first (rare tokens first, by a fixed-size table of token counts over all documents) deals postings to
-buckets; candidates must also share prefix tokens under the second and third before their sets are compared.
-
-Groups of near copies never expand into all pairs. In a bucket, each set is first paired with the one that has most
-left behind the shared token (`r`); verified links join sets into components. Only sets of a bucket that are still in
-different components are then paired with one another, all of those that the positional filter lets through: if the
-shared token is the first common one, the overlap is at most the least `r`. So no link between components is missed,
-and links inside a component change nothing.
+Texts become sets of hashed word shingles; equal sets collapse to one node before anything is dealt by token. Two sets
+of at least `percent` likeness share a token among the first n - ceil(percent * n) + 1 of each, under any global order
+of tokens. Three orders are used. The first (rare tokens first, by a fixed-size table of token counts over all
+documents) deals postings to buckets; candidates must also share prefix tokens under the second and third before their
+sets are compared. Before that, a bitmap of each set, in which every token turns one of `BITS` bits over, bounds their
+difference from below: two sets differ by at least as many tokens as their bitmaps by bits.
+
+Groups of near copies never expand into all pairs. In a bucket, each set names the first of the bucket's `PIVOTS`
+smallest numbers that the positional filter lets through (if the shared token is the first common one, the overlap is
+at most what either set has left from it on, `r`); numbers are hashes, so a group's buckets mostly name the same one,
+and each set is compared with the smallest that it names. Verified links join sets into components. Only sets of a
+bucket that are still in different components are then paired with one another, all of those that the positional
+filter and the bitmaps let through. So no link between components is missed, and links inside a component change
+nothing. A bucket with more than `BUCKET` such sets is split into blocks, whose pairs of blocks go to different tasks.
 
 Defined results: null or blank text has no shingles and is linked with nothing; a text with fewer words than `width`
 has one shingle; equal texts are linked; a null doc_id is linked like any other, and a component's id is its smallest
@@ -37,14 +41,26 @@ PERCENT = 90
 COUNTERS = 1 << 21
 CHUNKS = 64
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
-#: Bins of a set's histogram, by which pairs are bounded before their sets are fetched.
-BINS = 256
+#: Bits of a set's bitmap.
+BITS = 1024
+#: Sets of a bucket that the others may name, and sets that one task pairs with one another at most.
+PIVOTS = 3
+BUCKET = 4096
+#: A set with more rows than this is joined with its component by a broadcast of such sets, which are few.
+COPIES = 1000
 _LEAST = -(2**63)
 
 
-def _bins(s: np.ndarray) -> np.ndarray:
-    """How many tokens fall into each bin; two sets share at most the sum of the smaller counts."""
-    return np.bincount((mixed(s) >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS).astype(np.int32)
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Each token turns one bit over: 64-bit words as signed numbers."""
+    at = (mixed(s) >> np.uint64(20)).astype(np.int64) % BITS
+    odd = (np.bincount(at, minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _need(percent: int, n, m):
+    """The smallest overlap of sets with n and m tokens that are alike enough."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
 def _sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -93,7 +109,7 @@ def token_classes(docs: DataFrame, width: int) -> bytes:
         return pd.DataFrame({"chunk": [part["chunk"].iloc[0]], "task": [part["task"].iloc[0] // 64], "counts": [_packed(total)]})
 
     schema = "chunk int, task int, counts binary"
-    part = docs.mapInPandas(count, schema)
+    part = docs.mapInPandas(_shared.frugal(count), schema)
     part = part.groupBy("chunk", F.floor(F.col("task") / 64)).applyInPandas(add, schema)  # at most 64 tables in a group
     rows = part.groupBy("chunk").applyInPandas(add, schema).collect()  # CHUNKS rows of a fixed size
     counts = np.zeros((CHUNKS, COUNTERS // CHUNKS))
@@ -115,69 +131,82 @@ def _prefix(s: np.ndarray, classes: np.ndarray | None, seed: np.uint64, percent:
     return s[first[np.argsort(key[first], kind="stable")]].view(np.int64)
 
 
-def _starred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Postings sorted by token and falling `r`: those of tokens with several sets, each with the bucket's first set."""
-    held: pd.DataFrame | None = None  # the first row of the last token so far
-    shown = False
-    for b in batches:
-        if held is not None:
-            b = pd.concat([held, b], ignore_index=True)
-        token = b["token"].to_numpy()
-        if not len(token):
-            continue
-        nid = b["nid"].to_numpy()
-        own = np.concatenate([[True], (token[1:] != token[:-1]) | (nid[1:] != nid[:-1])])  # copies of a set are in a row
-        b, token = b[own].reset_index(drop=True), token[own]
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        size = np.bincount(first, minlength=len(b))[first]
-        keep = size > 1
-        if held is not None and shown:
-            keep[0] = False
-        last = int(first[-1])
-        out = b[keep].assign(pivot=b["nid"].to_numpy()[first][keep], pivot_n=b["n"].to_numpy()[first][keep], pivot_r=b["r"].to_numpy()[first][keep])
-        shown = bool(size[-1] > 1) or (last == 0 and held is not None and shown)
-        held = b.iloc[last : last + 1]
-        if len(out):
-            yield out
+def _starred(percent: int):
+    """Postings sorted by token and set: those of tokens with several sets, with the pivot that each set names (or null)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the first rows of the last token so far
+        shown = False  # whether they were given out
+        for b in batches:
+            h = 0 if held is None else len(held)
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            token, nid, n, r = (b[c].to_numpy() for c in ("token", "nid", "n", "r"))
+            if not len(token):
+                continue
+            new = np.concatenate([[True], token[1:] != token[:-1]])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            size = np.bincount(first, minlength=len(b))[first]
+            inside = np.arange(len(b)) - first
+            star, found = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=bool)
+            for k in range(PIVOTS):
+                at = np.minimum(first + k, len(b) - 1)
+                fits = ~found & (inside > k) & (np.minimum(r, r[at]) >= _need(percent, n.astype(np.int64), n[at]))
+                star[fits], found = nid[at[fits]], found | fits
+            keep = size > 1
+            if shown:
+                keep[:h] = False
+            last = int(first[-1])
+            shown = bool(size[-1] > 1) or (last == 0 and h > 0 and shown)
+            held = b.iloc[last : last + PIVOTS]
+            if keep.any():
+                out = b[keep]
+                yield out.assign(star=pd.Series(star[keep], index=out.index, dtype="Int64").where(found[keep]))
+
+    return run
 
 
 def _crossed(percent: int):
-    """Pairs within a token's bucket whose components differ and that the positional filter lets through."""
+    """Pairs within a bucket (or a pair of its blocks) whose components differ and that size, position and bitmaps let through."""
 
     def pairs(run: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-        label = run["label"]
+        label, blocks = run["label"], run["block"]
         if (label == label[0]).all():
             return
-        n, r, nid, pivot = run["n"].astype(np.int64), run["r"].astype(np.int64), run["nid"], run["pivot"]
-        # A set whose best partner in this bucket is ruled out by sizes alone takes no part.
-        for low in range(0, len(n), 512):
-            rows = slice(low, low + 512)
-            need = percent * (n[rows, None] + n[None, low:])
-            ok = (100 + percent) * np.minimum(r[rows, None], r[None, low:]) >= need
-            ok &= label[rows, None] != label[None, low:]
-            ok &= np.arange(len(ok))[:, None] < np.arange(ok.shape[1])[None, :]
-            x, y = np.nonzero(ok)
-            a, b = nid[rows][x], nid[low:][y]
-            fresh = (a != pivot[0]) & (b != pivot[0])
-            a, b = a[fresh], b[fresh]
-            if len(a):
-                yield pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)}).drop_duplicates()
+        low, high = run["low"][0], run["high"][0]
+        one, two = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        n, r, nid = run["n"].astype(np.int64), run["r"].astype(np.int64), run["nid"]
+        bits = np.stack(list(run["bits"])).view(np.uint64)
+        for start in range(0, len(one), 256):
+            x = one[start : start + 256]
+            need = _need(percent, n[x, None], n[None, two])
+            ok = (np.minimum(r[x, None], r[None, two]) >= need) & (label[x, None] != label[None, two])
+            if low == high:
+                ok &= x[:, None] < two[None, :]
+            i, j = np.nonzero(ok)
+            need, i, j = need[i, j], x[i], two[j]
+            for part in range(0, len(i), 100_000):
+                a, b = i[part : part + 100_000], j[part : part + 100_000]
+                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+                fits = apart <= n[a] + n[b] - 2 * need[part : part + 100_000]
+                a, b = nid[a[fits]], nid[b[fits]]
+                if len(a):
+                    yield pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict[str, np.ndarray]] = []
+        names, key = ("token", "low", "high", "block", "nid", "n", "r", "label", "bits"), ("token", "low", "high")
         for b in batches:
-            token = b["token"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
-            columns = {c: b[c].to_numpy() for c in ("token", "nid", "n", "r", "pivot", "label")}
-            for i, a in enumerate(cuts):
-                part = {c: v[a : cuts[i + 1] if i + 1 < len(cuts) else len(token)] for c, v in columns.items()}
-                if held and held[0]["token"][0] != part["token"][0]:
-                    yield from pairs({c: np.concatenate([h[c] for h in held]) for c in part})
+            columns = {c: b[c].to_numpy() for c in names}
+            turn = np.concatenate([[True], np.any([columns[c][1:] != columns[c][:-1] for c in key], axis=0)]) if len(b) else np.zeros(0, dtype=bool)
+            cuts = [*np.flatnonzero(turn), len(b)]
+            for a, end in zip(cuts, cuts[1:]):
+                part = {c: v[a:end] for c, v in columns.items()}
+                if held and any(held[0][c][0] != part[c][0] for c in key):
+                    yield from pairs({c: np.concatenate([h[c] for h in held]) for c in names})
                     held = []
                 held.append(part)
         if held:
-            yield from pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            yield from pairs({c: np.concatenate([h[c] for h in held]) for c in names})
 
     return run
 
@@ -185,38 +214,47 @@ def _crossed(percent: int):
 def _texts(keyed: DataFrame, least: DataFrame) -> DataFrame:
     """Texts of the documents whose ids are in `least`; by a broadcast of ids where few, else by a shuffle."""
     wanted = least.select(F.coalesce("least", F.lit(_LEAST)).alias("wanted")).distinct()
-    return _shared.with_small(keyed, wanted, ["wanted"], 2_000_000, "left_semi").select("text")
+    return _shared.with_small(keyed, wanted, ["wanted"], how="left_semi").select("text")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, marked: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their set's number (`marked`: and a hash of their text), sets with their least doc_id, labels of linked sets."""
+    """Rows with their set's number (`marked`: and a hash of their text), sets with their least doc_id and rows, labels of linked sets."""
     spark = docs.sparkSession
     _shared.ship(spark)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"), *([F.xxhash64(F.col("text").cast("string")).alias("mark")] if marked else []))
-    table = token_classes(kept.select("text"), width)
+    table = spark.sparkContext.broadcast(token_classes(kept.select("text"), width))  # COUNTERS bytes
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes = np.frombuffer(table, dtype=np.uint8)
+        classes = np.frombuffer(table.value, dtype=np.uint8)
+        seen: set[int] = set()  # sets of this task: only their first row is dealt on
         for batch in batches:
             for part in _slices(batch):
                 sets = _sets(part["text"].tolist(), width)
-                made = {"n": [len(s) for s in sets], "nid": [_node(s) for s in sets]}
-                made["first"] = [_prefix(s, classes, SEEDS[0], percent) if len(s) else [] for s in sets]
+                nids = [_node(s) for s in sets]
+                heads = []
+                for nid, s in zip(nids, sets):
+                    heads.append(len(s) > 0 and nid not in seen)
+                    seen.add(nid)
+                made = {"n": [len(s) for s in sets], "nid": nids}
+                made["first"] = [_prefix(s, classes, SEEDS[0], percent) if h else None for s, h in zip(sets, heads)]
                 # Half of a token's bits do for the other orders: a false agreement only costs a comparison.
-                made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if len(s) else [] for s in sets]
-                made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if len(s) else [] for s in sets]
-                made["bins"] = [_bins(s) for s in sets]
+                made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if h else None for s, h in zip(sets, heads)]
+                made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if h else None for s, h in zip(sets, heads)]
+                made["bits"] = [_bitmap(s) if h else None for s, h in zip(sets, heads)]
                 own = {"doc_id": part["doc_id"].astype("Int64").to_numpy()} | ({"mark": part["mark"].to_numpy()} if marked else {})
                 yield pd.DataFrame(own | made)
 
-    schema = f"doc_id long, {'mark long, ' if marked else ''}n int, nid long, first array<long>, second array<int>, third array<int>, bins array<int>"
-    signed = _shared.written(kept.mapInPandas(prefixes, schema), "signed")
-    full = signed.where("n > 0")
-    nodes = _shared.written(full.groupBy("nid").agg(F.min("doc_id").alias("least")), "nodes")
+    schema = f"doc_id long, {'mark long, ' if marked else ''}n int, nid long, first array<long>, second array<int>, third array<int>, bits array<long>"
+    signed = _shared.written(kept.mapInPandas(_shared.frugal(prefixes), schema).withColumn("row", F.monotonically_increasing_id()), "signed")
+    nodes = signed.where("n > 0").groupBy("nid").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.min(F.when(F.col("first").isNotNull(), F.col("row"))).alias("head"), F.count("first").alias("heads"))
+    nodes = _shared.written(nodes, "nodes")
+    # One row of each set is dealt on; tasks that met the same set leave several, all but one of which go.
+    again = signed.where("first is not null").select("nid", "row").join(nodes.where("heads > 1").select("nid", "head"), "nid").where("row <> head").select("row")
+    full = _shared.with_small(signed.where("first is not null"), _shared.written(again, "again"), ["row"], how="left_anti")
 
     postings = full.select("nid", "n", F.posexplode("first").alias("pos", "token")).select("token", "nid", "n", (F.col("n") - F.col("pos")).cast("int").alias("r"))
-    in_order = postings.repartition("token").sortWithinPartitions("token", F.desc("r"), "n", "nid")
-    shared = _shared.written(in_order.mapInPandas(_starred, "token long, nid long, n int, r int, pivot long, pivot_n int, pivot_r int"), "shared")
+    in_order = postings.repartition("token").sortWithinPartitions("token", "nid")
+    shared = _shared.written(in_order.mapInPandas(_shared.frugal(_starred(percent)), "token long, nid long, n int, r int, star long"), "shared")
     keyed = kept.withColumn("wanted", F.coalesce("doc_id", F.lit(_LEAST)))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,36 +263,42 @@ def _linked(docs: DataFrame, width: int, percent: int, marked: bool = False) ->
                 sets = [s for s in _sets(part["text"].tolist(), width) if len(s)]
                 yield pd.DataFrame({"nid": [_node(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
+    def with_both(pairs: DataFrame, of: DataFrame, *names: str) -> DataFrame:
+        """Pairs (x, y) with the named columns of both sets, those of y with an ending."""
+        ends = pairs.select(F.col("x").alias("nid")).union(pairs.select("y")).distinct()
+        own = _shared.written(_shared.with_small(of.select("nid", *names), ends, ["nid"], how="left_semi"), "ends")
+        return pairs.join(own.withColumnRenamed("nid", "x"), "x").join(own.select(F.col("nid").alias("y"), *[F.col(c).alias(f"{c}_y") for c in names]), "y")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) that share prefix tokens under the other orders too and whose sets are alike enough."""
-        ends = _shared.written(pairs.select(F.col("x").alias("nid")).union(pairs.select("y")).distinct(), "ends")
-        short = _shared.written(_shared.with_small(full.select("nid", "second", "third"), ends, ["nid"], 2_000_000, "left_semi").dropDuplicates(["nid"]), "short")
-        near = pairs.join(short.withColumnRenamed("nid", "x"), "x").join(short.select(F.col("nid").alias("y"), F.col("second").alias("second_y"), F.col("third").alias("third_y")), "y")
-        near = _shared.written(near.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "near")
-        # An upper bound of the overlap, from histograms a tenth of the size of the sets, before those are fetched.
-        ends = near.select(F.col("x").alias("nid")).union(near.select("y")).distinct()
-        held = _shared.with_small(full.select("nid", "n", "bins"), ends, ["nid"], 2_000_000, "left_semi").dropDuplicates(["nid"])
-        held = _shared.written(held, "held")
-        both = near.join(held.withColumnRenamed("nid", "x"), "x").join(held.select(F.col("nid").alias("y"), F.col("n").alias("n_y"), F.col("bins").alias("bins_y")), "y")
-        most = F.aggregate(F.zip_with("bins", "bins_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-        near = _shared.written(both.where((100 + percent) * most >= percent * (F.col("n") + F.col("n_y"))).select("x", "y"), "near")
-        ends = near.select(F.col("x").alias("nid")).union(near.select("y")).distinct().join(nodes, "nid")
-        ends = _shared.written(ends, "ends")
-        sets = _shared.with_small(_texts(keyed, ends).mapInPandas(sets_of, "nid long, tokens array<long>"), ends.select("nid"), ["nid"], 2_000_000)
+        both = with_both(pairs, full, "second", "third")
+        near = _shared.written(both.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "near")
+        ends = _shared.written(near.select(F.col("x").alias("nid")).union(near.select("y")).distinct().join(nodes.select("nid", "least"), "nid"), "ends")
+        sets = _shared.with_small(_texts(keyed, ends).mapInPandas(_shared.frugal(sets_of), "nid long, tokens array<long>"), ends.select("nid"), ["nid"], how="left_semi")
         sets = _shared.written(sets.dropDuplicates(["nid"]), "sets")
-        both = near.join(sets.withColumnRenamed("nid", "x"), "x").join(sets.select(F.col("nid").alias("y"), F.col("tokens").alias("tokens_y")), "y")
+        ones = _shared.with_small(sets.withColumnRenamed("nid", "x"), near, ["x"])
+        both = ones.join(sets.select(F.col("nid").alias("y"), F.col("tokens").alias("tokens_y")), "y")
         same = F.size(F.array_intersect("tokens", "tokens_y"))
         alike = 100 * same >= percent * (F.size("tokens") + F.size("tokens_y") - same)
         return _shared.written(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
-    feasible = (100 + percent) * F.least("r", "pivot_r") >= percent * (F.col("n") + F.col("pivot_n"))
-    stars = shared.where((F.col("nid") != F.col("pivot")) & feasible).select(F.least("nid", "pivot").alias("x"), F.greatest("nid", "pivot").alias("y")).distinct()
-    links = verified(_shared.written(stars, "stars"))
+    stars = _shared.written(shared.where("star is not null").select(F.col("nid").alias("x"), F.col("star").alias("y")).distinct(), "stars")
+    both = with_both(stars, full, "n", "bits")
+    apart = F.aggregate(F.zip_with("bits", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    both = both.where(apart <= F.col("n") + F.col("n_y") - 2 * F.ceil(F.lit(percent) * (F.col("n") + F.col("n_y")) / F.lit(100 + percent)))
+    links = verified(_shared.written(both.groupBy("x").agg(F.min("y").alias("y")), "stars"))
     labels = _components.components(links)
 
-    named = shared.join(labels.withColumnRenamed("node", "nid"), "nid", "left").select("token", "nid", "n", "r", "pivot", F.coalesce("label", "nid").alias("label"))
-    crossed = named.repartition("token").sortWithinPartitions("token", "nid").mapInPandas(_crossed(percent), "x long, y long").distinct()
-    crossed = _shared.written(crossed, "crossed")
+    # Buckets whose sets are in different components.
+    named = _shared.written(shared.select("token", "nid", "n", "r").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid")), "named")
+    mixed_ = named.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("k")).where("least <> most").select("token", "k")
+    mixed_ = _shared.written(mixed_, "mixed")
+    mates = _shared.with_small(named, mixed_, ["token"]).withColumn("blocks", F.ceil(F.col("k") / F.lit(BUCKET)).cast("int"))
+    mates = mates.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mates = mates.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label")
+    mates = mates.join(full.select("nid", "bits"), "nid").select(*mates.columns, "bits")
+    in_order = mates.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    crossed = _shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent)), "x long, y long").distinct(), "crossed")
     if crossed.limit(1).count():
         more = verified(crossed)
         if more.limit(1).count():
@@ -285,9 +329,16 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     least = nodes.join(labels.withColumnRenamed("node", "nid"), "nid")
     whole = least.groupBy("label").agg(F.min("least").alias("found"))
     found = least.select("nid", "label").join(whole, "label").select("nid", "found")
-    by_node = nodes.join(found, "nid", "left").select("nid", F.coalesce("found", "least").alias("component_id"))
-    out = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "nid").join(by_node, "nid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_node = nodes.join(found, "nid", "left").select("nid", "rows", F.coalesce("found", "least").alias("component_id"))
+    by_node = _shared.written(by_node, "bynode")
+    rows = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "nid")
+    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full, many = rows.where("n_shingles > 0"), by_node.where(F.col("rows") > COPIES).select("nid", F.col("component_id").alias("found"))
+    # Rows of sets with many copies meet their component without being dealt by their set.
+    told = _shared.with_small(full, _shared.written(many, "many"), ["nid"], how="left")
+    copies = told.where("found is not null").select("doc_id", "n_shingles", F.col("found").alias("component_id"))
+    others = told.where("found is null").select("doc_id", "n_shingles", "nid").join(by_node.select("nid", "component_id"), "nid").select("doc_id", "n_shingles", "component_id")
+    return blank.union(copies).union(others)
 
 
 def op4_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:

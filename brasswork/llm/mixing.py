@@ -134,7 +134,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         # Copies of a row are alike but for their source, so any order of theirs will do.
         told = told.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", of).orderBy(F.coalesce(F.col("source").cast("string"), F.lit("")))))
         same = same & (F.col(number) == F.col(copy))
-    small = counts.count() <= 1_000_000
+    small = _shared.is_small(counts)
     joined = told.join(F.broadcast(counts) if small else counts, same)
     return joined.withColumn(again, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 

@@ -241,7 +241,7 @@ def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     out = scores(docs, labels, **options).where(~F.col("keep")).select(F.col("doc_id").alias(id_), F.col("mark").alias(of)).distinct()
     out = out.withColumn(out_key, F.xxhash64(id_, of))
     marked = docs.withColumn(mark, _mark()).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), mark))
-    small = out.count() <= 1_000_000
+    small = _shared.is_small(out)
     same = (F.col(key) == F.col(out_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(of))
     joined = marked.join(F.broadcast(out) if small else out, same, "left_anti")
     return joined.select(*docs.columns)

@@ -106,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     parsed = _shared.written(parsed, "urls")
     texts = _shared.written(parsed.where("text <> ''").groupBy("text", "rejected").agg(F.count("*").alias("n")), "urltexts")
     model = _shared.written(train(texts), "urlmodel")
-    scores = _shared.with_small(_grams(texts.select("text")), model, ["gram"], 500_000).groupBy("text").agg(F.avg("ratio").alias("score"))
+    scores = _shared.with_small(_grams(texts.select("text")), model, ["gram"]).groupBy("text").agg(F.avg("ratio").alias("score"))
     scored = _shared.written(_shared.with_small(parsed, _shared.written(scores, "urlscores"), ["text"], how="left"), "urlscored")
     cut = scored.agg(*[f(F.when(F.col("rejected") == c, F.col("score"))).alias(n + k) for c, k in ((False, "a"), (True, "r")) for f, n in ((F.avg, "mean_"), (F.stddev_pop, "dev_"))])
     both = (F.col("mean_a") * F.col("dev_r") + F.col("mean_r") * F.col("dev_a")) / F.nullif(F.col("dev_a") + F.col("dev_r"), F.lit(0.0))
