@@ -4,16 +4,19 @@ Texts become sets of hashed word shingles; equal sets collapse to one node befor
 of at least `percent` likeness share a token among the first n - ceil(percent * n) + 1 of each, under any global order
 of tokens. Three orders are used. The first (rare tokens first, by a fixed-size table of token counts over all
 documents) deals postings to buckets; candidates must also share prefix tokens under the second and third before their
-sets are compared. Before that, a bitmap of each set, in which every token turns one of `BITS` bits over, bounds their
-difference from below: two sets differ by at least as many tokens as their bitmaps by bits.
+sets are compared. Before that, bitmaps in which every token turns a bit over bound the difference from below: two sets
+differ by at least as many tokens as their bitmaps by bits. A bitmap has as many bits as the set has tokens (the next
+power of two, `BITS` at least); the longer one of a pair is folded to the other's length.
 
 Groups of near copies never expand into all pairs. In a bucket, each set names the first of the bucket's `PIVOTS`
 smallest numbers that the positional filter lets through (if the shared token is the first common one, the overlap is
 at most what either set has left from it on, `r`); numbers are hashes, so a group's buckets mostly name the same one,
-and each set is compared with the smallest that it names. Verified links join sets into components. Only sets of a
-bucket that are still in different components are then paired with one another, all of those that the positional
-filter and the bitmaps let through. So no link between components is missed, and links inside a component change
-nothing. A bucket with more than `BUCKET` such sets is split into blocks, whose pairs of blocks go to different tasks.
+and each set is compared with the nearest that it names, by the bitmaps. Verified links join sets into components. Only
+sets of a bucket that are still in different components are then paired with one another, all of those that the
+positional filter and the bitmaps let through: first each component's nearest pair, then, of what still joins different
+components, every pair. So no link between components is missed, and links inside a component change nothing. In a
+bucket with more than `HOT` sets, bitmaps are compared before pairs are made, and with more than `BLOCK` it is split
+into blocks, whose pairs of blocks go to different tasks.
 
 Defined results: null or blank text has no shingles and is linked with nothing; a text with fewer words than `width`
 has one shingle; equal texts are linked; a null doc_id is linked like any other, and a component's id is its smallest
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _components, _shared
@@ -41,11 +44,12 @@ PERCENT = 90
 COUNTERS = 1 << 21
 CHUNKS = 64
 SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
-#: Bits of a set's bitmap.
+#: Least bits of a set's bitmap.
 BITS = 1024
-#: Sets of a bucket that the others may name, and sets that one task pairs with one another at most.
+#: Sets of a bucket that the others may name; sets from which on a bucket carries bitmaps, and is split.
 PIVOTS = 3
-BUCKET = 4096
+HOT = 512
+BLOCK = 4096
 #: A set with more rows than this is joined with its component by a broadcast of such sets, which are few.
 COPIES = 1000
 _LEAST = -(2**63)
@@ -53,11 +57,23 @@ _LEAST = -(2**63)
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
     """Each token turns one bit over: 64-bit words as signed numbers."""
-    at = (mixed(s) >> np.uint64(20)).astype(np.int64) % BITS
-    odd = (np.bincount(at, minlength=BITS) & 1).astype(np.uint8)
+    size = max(BITS, 1 << (len(s) - 1).bit_length())
+    at = ((mixed(s) >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
+    odd = (np.bincount(at, minlength=size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view("<i8")
 
 
+def _apart(one: Column, two: Column) -> Column:
+    """Bits by which two bitmaps differ, the longer one folded once; 0 (no bound) if that doesn't make them alike in length."""
+
+    def folded(b: Column, other: Column) -> Column:
+        half = (F.size(b) / 2).cast("int")
+        return F.when(F.size(b) > F.size(other), F.zip_with(F.slice(b, F.lit(1), half), F.slice(b, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(b)
+
+    x, y = folded(one, two), folded(two, one)
+    return F.when(F.size(x) == F.size(y), F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)).otherwise(F.lit(0))
+
+
 def _need(percent: int, n, m):
     """The smallest overlap of sets with n and m tokens that are alike enough."""
     return -(-percent * (n + m) // (100 + percent))
@@ -132,11 +148,19 @@ def _prefix(s: np.ndarray, classes: np.ndarray | None, seed: np.uint64, percent:
 
 
 def _starred(percent: int):
-    """Postings sorted by token and set: those of tokens with several sets, with the pivot that each set names (or null)."""
+    """Postings sorted by token and set: those of tokens with several sets, with the pivot that each set names (or null).
+
+    A token with more than `HOT` sets also gets a row without a set, whose `n` is their number.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None  # the first rows of the last token so far
-        shown = False  # whether they were given out
+        before = 0  # how many of its rows came earlier
+
+        def hot(token: int, size: int) -> Iterator[pd.DataFrame]:
+            if size > HOT:
+                yield pd.DataFrame({"token": [token], "nid": pd.array([None], dtype="Int64"), "n": [size], "r": [0], "star": pd.array([None], dtype="Int64")})
+
         for b in batches:
             h = 0 if held is None else len(held)
             b = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -144,69 +168,96 @@ def _starred(percent: int):
             if not len(token):
                 continue
             new = np.concatenate([[True], token[1:] != token[:-1]])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            size = np.bincount(first, minlength=len(b))[first]
+            starts = np.flatnonzero(new)
+            first = starts[np.cumsum(new) - 1]
+            size = np.diff(np.append(starts, len(b)))
             inside = np.arange(len(b)) - first
             star, found = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=bool)
             for k in range(PIVOTS):
                 at = np.minimum(first + k, len(b) - 1)
                 fits = ~found & (inside > k) & (np.minimum(r, r[at]) >= _need(percent, n.astype(np.int64), n[at]))
                 star[fits], found = nid[at[fits]], found | fits
-            keep = size > 1
-            if shown:
+            keep = np.repeat(size > 1, size)
+            if before > 1:
                 keep[:h] = False
-            last = int(first[-1])
-            shown = bool(size[-1] > 1) or (last == 0 and h > 0 and shown)
-            held = b.iloc[last : last + PIVOTS]
-            if keep.any():
-                out = b[keep]
+            out = b[keep]
+            if len(out):
                 yield out.assign(star=pd.Series(star[keep], index=out.index, dtype="Int64").where(found[keep]))
+            whole = size.copy()
+            whole[0] += before - h
+            for g in np.flatnonzero(whole[:-1] > HOT):
+                yield from hot(int(token[starts[g]]), int(whole[g]))
+            before = int(whole[-1])
+            held = b.iloc[starts[-1] : starts[-1] + PIVOTS]
+        if held is not None:
+            yield from hot(int(held["token"].iloc[0]), before)
 
     return run
 
 
 def _crossed(percent: int):
     """Pairs within a bucket (or a pair of its blocks) whose components differ and that size, position and bitmaps let through."""
-
-    def pairs(run: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-        label, blocks = run["label"], run["block"]
-        if (label == label[0]).all():
-            return
-        low, high = run["low"][0], run["high"][0]
-        one, two = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        n, r, nid = run["n"].astype(np.int64), run["r"].astype(np.int64), run["nid"]
-        bits = np.stack(list(run["bits"])).view(np.uint64)
+    names, key = ("token", "low", "high", "block", "nid", "n", "r", "label", "bits"), ("token", "low", "high")
+
+    def fits(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m = c["n"][i], c["n"][j]
+        return (c["label"][i] != c["label"][j]) & (np.minimum(c["r"][i], c["r"][j]) >= _need(percent, n, m))
+
+    def named(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
+        a, b = c["nid"][i], c["nid"][j]
+        if len(a):
+            yield pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+
+    def large(c: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        low, high = c["low"][0], c["high"][0]
+        one, two = np.flatnonzero(c["block"] == low), np.flatnonzero(c["block"] == high)
+        bits = None
+        if c["bits"][0] is not None:
+            bits = np.stack([np.bitwise_xor.reduce(np.asarray(w).view(np.uint64).reshape(-1, BITS // 64), axis=0) for w in c["bits"]])
         for start in range(0, len(one), 256):
             x = one[start : start + 256]
-            need = _need(percent, n[x, None], n[None, two])
-            ok = (np.minimum(r[x, None], r[None, two]) >= need) & (label[x, None] != label[None, two])
-            if low == high:
-                ok &= x[:, None] < two[None, :]
-            i, j = np.nonzero(ok)
-            need, i, j = need[i, j], x[i], two[j]
-            for part in range(0, len(i), 100_000):
-                a, b = i[part : part + 100_000], j[part : part + 100_000]
-                apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-                fits = apart <= n[a] + n[b] - 2 * need[part : part + 100_000]
-                a, b = nid[a[fits]], nid[b[fits]]
-                if len(a):
-                    yield pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)})
+            i, j = np.repeat(x, len(two)), np.tile(two, len(x))
+            ok = fits(c, i, j) & ((i < j) if low == high else True)
+            i, j = i[ok], j[ok]
+            if bits is not None and len(i):
+                n, m = c["n"][i], c["n"][j]
+                far = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 50_000)])
+                ok = far <= n + m - 2 * _need(percent, n, m)
+                i, j = i[ok], j[ok]
+            yield from named(c, i, j)
+
+    def groups(c: dict[str, np.ndarray], starts: np.ndarray, end: int) -> Iterator[pd.DataFrame]:
+        """Whole groups from row starts[0] to `end`: the small ones of all groups at once."""
+        if not len(starts):
+            return
+        size = np.diff(np.append(starts, end))
+        mixed_ = np.minimum.reduceat(c["label"][:end], starts) != np.maximum.reduceat(c["label"][:end], starts)
+        for g in np.flatnonzero(mixed_ & (size > 32)):
+            yield from large({k: v[starts[g] : starts[g] + size[g]] for k, v in c.items()})
+        own = mixed_ & (size <= 32) & (c["low"][starts] == c["high"][starts])
+        number = np.repeat(np.where(own, np.arange(len(starts)), -1), size)
+        for d in range(1, int(size[own].max(initial=0))):
+            i = np.flatnonzero((number[:-d] >= 0) & (number[:-d] == number[d:]))
+            yield from named(c, i[ok := fits(c, i, i + d)], i[ok] + d)
+        for g in np.flatnonzero(mixed_ & (size <= 32) & ~own):
+            if c["low"][starts[g]] != c["high"][starts[g]]:
+                yield from large({k: v[starts[g] : starts[g] + size[g]] for k, v in c.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict[str, np.ndarray]] = []
-        names, key = ("token", "low", "high", "block", "nid", "n", "r", "label", "bits"), ("token", "low", "high")
+        held: dict[str, np.ndarray] | None = None  # the last group so far, at most two blocks
         for b in batches:
-            columns = {c: b[c].to_numpy() for c in names}
-            turn = np.concatenate([[True], np.any([columns[c][1:] != columns[c][:-1] for c in key], axis=0)]) if len(b) else np.zeros(0, dtype=bool)
-            cuts = [*np.flatnonzero(turn), len(b)]
-            for a, end in zip(cuts, cuts[1:]):
-                part = {c: v[a:end] for c, v in columns.items()}
-                if held and any(held[0][c][0] != part[c][0] for c in key):
-                    yield from pairs({c: np.concatenate([h[c] for h in held]) for c in names})
-                    held = []
-                held.append(part)
-        if held:
-            yield from pairs({c: np.concatenate([h[c] for h in held]) for c in names})
+            if not len(b):
+                continue
+            c = {k: b[k].to_numpy() for k in names}
+            c["n"], c["r"] = c["n"].astype(np.int64), c["r"].astype(np.int64)
+            if held is not None:
+                c = {k: np.concatenate([held[k], c[k]]) for k in names}
+            turn = np.any([c[k][1:] != c[k][:-1] for k in key], axis=0)
+            starts = np.concatenate([[0], np.flatnonzero(turn) + 1])
+            yield from groups(c, starts[:-1], int(starts[-1]))
+            held = {k: v[starts[-1] :] for k, v in c.items()}
+        if held is not None:
+            yield from groups(held, np.array([0]), len(held["token"]))
 
     return run
 
@@ -263,46 +314,71 @@ def _linked(docs: DataFrame, width: int, percent: int, marked: bool = False) ->
                 sets = [s for s in _sets(part["text"].tolist(), width) if len(s)]
                 yield pd.DataFrame({"nid": [_node(s) for s in sets], "tokens": [s.view(np.int64) for s in sets]})
 
-    def with_both(pairs: DataFrame, of: DataFrame, *names: str) -> DataFrame:
-        """Pairs (x, y) with the named columns of both sets, those of y with an ending."""
-        ends = pairs.select(F.col("x").alias("nid")).union(pairs.select("y")).distinct()
-        own = _shared.written(_shared.with_small(of.select("nid", *names), ends, ["nid"], how="left_semi"), "ends")
+    def with_both(pairs: DataFrame, *names: str) -> DataFrame:
+        """Pairs (x, y, ...) with the named columns of both sets, those of y with an ending."""
+        ends = _shared.written(pairs.select(F.col("x").alias("nid")).union(pairs.select("y")).distinct(), "ends")
+        own = _shared.written(_shared.with_small(full.select("nid", *names), ends, ["nid"], how="left_semi"), "own")
         return pairs.join(own.withColumnRenamed("nid", "x"), "x").join(own.select(F.col("nid").alias("y"), *[F.col(c).alias(f"{c}_y") for c in names]), "y")
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) that the bitmaps don't rule out, with the share of bits by which they differ."""
+        both = with_both(pairs, "n", "bits").withColumn("bits_apart", _apart(F.col("bits"), F.col("bits_y")))
+        total = F.col("n") + F.col("n_y")
+        fits = F.col("bits_apart") <= total - 2 * F.ceil(F.lit(percent) * total / F.lit(100 + percent))
+        return _shared.written(both.where(fits).select("x", "y", (F.col("bits_apart") / total).alias("apart")), "near")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs (x, y) that share prefix tokens under the other orders too and whose sets are alike enough."""
-        both = with_both(pairs, full, "second", "third")
-        near = _shared.written(both.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "near")
-        ends = _shared.written(near.select(F.col("x").alias("nid")).union(near.select("y")).distinct().join(nodes.select("nid", "least"), "nid"), "ends")
+        both = with_both(pairs.select("x", "y"), "second", "third")
+        alive = _shared.written(both.where(F.arrays_overlap("second", "second_y") & F.arrays_overlap("third", "third_y")).select("x", "y"), "alive")
+        ends = _shared.written(alive.select(F.col("x").alias("nid")).union(alive.select("y")).distinct().join(nodes.select("nid", "least"), "nid"), "ends")
         sets = _shared.with_small(_texts(keyed, ends).mapInPandas(_shared.frugal(sets_of), "nid long, tokens array<long>"), ends.select("nid"), ["nid"], how="left_semi")
-        sets = _shared.written(sets.dropDuplicates(["nid"]), "sets")
-        ones = _shared.with_small(sets.withColumnRenamed("nid", "x"), near, ["x"])
-        both = ones.join(sets.select(F.col("nid").alias("y"), F.col("tokens").alias("tokens_y")), "y")
+        sets = _shared.written(sets, "sets")
+        if sets.count() > ends.count():  # a doc_id that repeats, or is null, brings a set more than once
+            sets = _shared.written(sets.dropDuplicates(["nid"]), "sets")
+        ones = _shared.with_small(sets.withColumnRenamed("nid", "x"), alive, ["x"])
+        others = _shared.with_small(sets.withColumnsRenamed({"nid": "y", "tokens": "tokens_y"}), alive.select("y").distinct(), ["y"], how="left_semi")
+        both = ones.join(others, "y")
         same = F.size(F.array_intersect("tokens", "tokens_y"))
         alike = 100 * same >= percent * (F.size("tokens") + F.size("tokens_y") - same)
         return _shared.written(both.where(alike).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
-    stars = _shared.written(shared.where("star is not null").select(F.col("nid").alias("x"), F.col("star").alias("y")).distinct(), "stars")
-    both = with_both(stars, full, "n", "bits")
-    apart = F.aggregate(F.zip_with("bits", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    both = both.where(apart <= F.col("n") + F.col("n_y") - 2 * F.ceil(F.lit(percent) * (F.col("n") + F.col("n_y")) / F.lit(100 + percent)))
-    links = verified(_shared.written(both.groupBy("x").agg(F.min("y").alias("y")), "stars"))
+    nearest = F.struct("apart", "x", "y")
+    stars = shared.where("star is not null").select(F.least("nid", "star").alias("x"), F.greatest("nid", "star").alias("y"), "nid").distinct()
+    stars = _shared.written(stars, "stars")
+    best = near(stars.select("x", "y").distinct()).join(stars, ["x", "y"]).groupBy("nid").agg(F.min(nearest).alias("best"))
+    links = verified(_shared.written(best.select("best.x", "best.y").distinct(), "best"))
     labels = _components.components(links)
 
     # Buckets whose sets are in different components.
-    named = _shared.written(shared.select("token", "nid", "n", "r").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid")), "named")
-    mixed_ = named.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("k")).where("least <> most").select("token", "k")
-    mixed_ = _shared.written(mixed_, "mixed")
-    mates = _shared.with_small(named, mixed_, ["token"]).withColumn("blocks", F.ceil(F.col("k") / F.lit(BUCKET)).cast("int"))
-    mates = mates.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mates = mates.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label")
-    mates = mates.join(full.select("nid", "bits"), "nid").select(*mates.columns, "bits")
-    in_order = mates.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    crossed = _shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent)), "x long, y long").distinct(), "crossed")
+    hot = _shared.written(shared.where("nid is null").select("token", F.col("n").alias("k")), "hot")
+    mates = _shared.with_small(shared.where("nid is not null").select("token", "nid", "n", "r"), labels.withColumnRenamed("node", "nid"), ["nid"], how="left").withColumn("label", F.coalesce("label", "nid"))
+    mates = _shared.with_small(mates, hot, ["token"], how="left")
+    none = F.lit(None).cast("array<long>").alias("bits")
+    cold = mates.where("k is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
+    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+    dealt = mates.where("k is not null").withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    warm = dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits")
+    every = cold.union(warm) if hot.limit(1).count() else cold
+    in_order = every.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    crossed = near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent)), "x long, y long").distinct(), "crossed"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets are in different components, with both labels."""
+        for end in ("x", "y"):
+            own = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+            pairs = _shared.with_small(pairs, own, [end], how="left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+        return pairs.where("label_x <> label_y")
+
     if crossed.limit(1).count():
-        more = verified(crossed)
-        if more.limit(1).count():
-            labels = _components.components(links.union(more))
+        each = apart(crossed).select(F.explode(F.array("label_x", "label_y")).alias("label"), "x", "y", "apart")
+        tried = _shared.written(each.groupBy("label").agg(F.min(nearest).alias("best")).select("best.x", "best.y").distinct(), "tried")
+        links = links.union(verified(tried))
+        labels = _components.components(links)
+        rest = _shared.written(apart(crossed).select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            links = links.union(verified(rest))
+            labels = _components.components(links)
     return signed, nodes, labels
 
 
