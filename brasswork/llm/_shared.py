@@ -150,5 +150,22 @@ def with_small(df: DataFrame, small: DataFrame, on: list[str], most_bytes: int =
     return df.join(F.broadcast(small) if is_small(small, most_bytes) else small, on, how)
 
 
+def left_join(df: DataFrame, side: DataFrame, key: str, rows: str, most: int = 1000) -> DataFrame:
+    """Left join with the columns of `side`, whose column `rows` says how many rows of `df` its key has.
+
+    A small side is broadcast whole. Else its keys with more than `most` rows are (at most one for each `most` rows of
+    `df`, and fewer as long as they aren't small), and the others are joined by a shuffle, which no key can burden.
+    """
+    names = [c for c in side.columns if c not in (key, rows)]
+    if is_small(side):
+        return df.join(F.broadcast(side.drop(rows)), key, "left")
+    while not is_small(many := side.where(F.col(rows) > most).select(key, *names)):
+        most *= 2
+    (met,) = fresh(df, "_met")
+    told = df.join(F.broadcast(many.withColumn(met, F.lit(True))), key, "left")
+    few = told.where(F.col(met).isNull()).drop(met, *names).join(side.where(F.col(rows) <= most).drop(rows), key, "left")
+    return told.where(met).drop(met).unionByName(few)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -50,8 +50,6 @@ BITS = 1024
 PIVOTS = 3
 HOT = 512
 BLOCK = 4096
-#: A set with more rows than this is joined with its component by a broadcast of such sets, which are few.
-COPIES = 1000
 _LEAST = -(2**63)
 
 
@@ -409,12 +407,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     by_node = _shared.written(by_node, "bynode")
     rows = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "nid")
     blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full, many = rows.where("n_shingles > 0"), by_node.where(F.col("rows") > COPIES).select("nid", F.col("component_id").alias("found"))
-    # Rows of sets with many copies meet their component without being dealt by their set.
-    told = _shared.with_small(full, _shared.written(many, "many"), ["nid"], how="left")
-    copies = told.where("found is not null").select("doc_id", "n_shingles", F.col("found").alias("component_id"))
-    others = told.where("found is null").select("doc_id", "n_shingles", "nid").join(by_node.select("nid", "component_id"), "nid").select("doc_id", "n_shingles", "component_id")
-    return blank.union(copies).union(others)
+    return blank.union(_shared.left_join(rows.where("n_shingles > 0"), by_node, "nid", "rows").select("doc_id", "n_shingles", "component_id"))
 
 
 def op4_jaccardjoin(spark: SparkSession, sf_dir: str) -> DataFrame:

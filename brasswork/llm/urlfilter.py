@@ -5,14 +5,16 @@ URLs, predict each character from up to `ORDER` characters before it; shorter co
 
     p_k(c | ctx_k) = (n(ctx_k c) + BETA * p_(k-1)(c)) / (n(ctx_k) + BETA),   p_(-1) = 1 / 256
 
-Counts are over all URLs: the n-grams of ORDER + 1 characters are counted once, per class, and all shorter n-grams and
-contexts are sums over that table. It gives each n-gram its log-ratio; a URL's score is the mean of its n-grams', i.e.
-the length-normalised difference of the log-likelihoods. The n-grams reach the URLs by a broadcast only if a count
-proves their table small, by a shuffled join otherwise. URLs with the same text are scored once. The cut between the
-classes is calibrated where their score distributions (mean and deviation) err equally.
+Counts are over all URLs: the n-grams of ORDER + 1 characters are counted once, by class and fold, and the shorter ones
+are sums of those by their last characters, order by order. A URL's score is the mean of its n-grams' log-ratios, i.e.
+the length-normalised difference of the log-likelihoods.
 
-Seed words label the examples: a URL whose host has one of them as a part between dots and hyphens is rejected, any
-other is accepted. Rules take precedence; the longest rule that fits wins.
+Examples are labelled by the rules' own verdicts and, where no rule judges, by seed words: a URL whose host has one of
+them as a part between dots and hyphens is rejected, any other is taken for accepted. A label never scores its own
+URL: URLs are dealt to `FOLDS` folds by a hash, and each fold is scored by models of the other folds only. So all
+scores are held out. The cut is calibrated on the scores of URLs that no rule judges (counted in steps of `STEP`): of
+those that put at most `WRONG` of the accepted on the wrong side, the one that parts the classes best. Verdicts follow
+the score, not the label; `errors` counts where the two differ. Rules take precedence; the longest rule that fits wins.
 
 Defined results: a null URL, or one without `://`, has empty host and path and is allowed (there is no evidence); if
 either class is empty, all that no rule judges are allowed; a null page_id is kept; repeated rows are judged alike; an
@@ -30,6 +32,10 @@ from . import _shared
 
 ORDER = 4
 BETA = 1.0
+FOLDS = 4
+#: Steps of the score in which the cut is sought, and the share of accepted examples that it may reject.
+STEP = 0.001
+WRONG = 0.005
 
 # The rules of the registered query, (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -69,50 +75,80 @@ def _grams(texts: DataFrame) -> DataFrame:
     """Adds gram: each character of a text behind the ORDER characters before it."""
     s = F.col("s")
     places = F.sequence(F.lit(ORDER + 1), F.length(s))
-    return texts.withColumn("s", _padded(F.col("text"))).withColumn("gram", F.explode(F.transform(places, lambda i: s.substr(i - ORDER, F.lit(ORDER + 1))))).drop("s")
+    return texts.withColumn("s", _padded(F.col("text"))).withColumn("gram", F.explode(F.transform(places, lambda i: s.substr(i - ORDER, F.lit(ORDER + 1))))).drop("s", "text")
+
+
+#: Counts of accepted and rejected examples by fold.
+_COUNTS = [f"{k}{f}" for k in "ar" for f in range(FOLDS)]
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """gram and ratio (log of its last character's probability under the accepted model less that under the rejected one)
-    of (text, rejected, n) rows."""
-    classes = {"a": ~F.col("rejected"), "r": F.col("rejected")}
-    counted = _grams(texts).groupBy("gram").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in classes.items()])
-    counted = _shared.written(counted, "urlgrams")
-    last = F.substring("gram", ORDER + 1, 1)
-    ones = counted.groupBy(last.alias("last")).agg(*[F.sum(k).alias(f"{k}n0") for k in classes])
-    grams = _shared.with_small(counted.withColumn("last", last), ones, ["last"])
-    totals = counted.agg(*[F.sum(k).alias(k) for k in classes])
-    p = {k: F.lit(1 / 256) for k in classes}
-    for order in range(ORDER + 1):
-        for k in classes:
-            if order == 0:
-                seen, context = F.col(f"{k}n0"), totals.select(k).scalar()
-            else:
-                tail, before = F.substring("gram", ORDER + 1 - order, order + 1), F.substring("gram", ORDER + 1 - order, order)
-                seen = F.col(k) if order == ORDER else F.sum(k).over(Window.partitionBy(tail))
-                context = F.sum(k).over(Window.partitionBy(before))
-            grams = grams.withColumns({f"{k}_seen{order}": seen, f"{k}_context{order}": context})
-            p[k] = (F.col(f"{k}_seen{order}") + BETA * p[k]) / (F.col(f"{k}_context{order}") + BETA)
-    return grams.select("gram", (F.log(p["a"]) - F.log(p["r"])).alias("ratio"))
+    """gram, ratios and n of (text, fold, rejected, n) rows.
+
+    ratios has, for each fold, the log of the gram's last character's probability under the accepted model less that
+    under the rejected one, both of the other folds' rows; n is how many texts' grams it is.
+    """
+    own = {f"{k}{f}": F.sum(F.when((F.col("rejected") == (k == "r")) & (F.col("fold") == f), F.col("n")).otherwise(0)) for k in "ar" for f in range(FOLDS)}
+    counted = _grams(texts.select("text", "fold", "rejected", "n")).groupBy("gram").agg(*[v.alias(k) for k, v in own.items()], F.count("*").alias("seen"))
+    tables = [_shared.written(counted, "urlgrams")]
+    sums = [F.sum(k).alias(k) for k in _COUNTS]
+    for order in range(ORDER, 0, -1):  # from each order's grams those without their first character
+        tables.append(_shared.written(tables[-1].groupBy(F.substring("gram", 2, order).alias("gram")).agg(*sums), "urlgrams"))
+    tables = tables[::-1]  # by order: grams of order + 1 characters
+    p = None
+    for order, table in enumerate(tables):
+        table = table.withColumn("context", F.substring("gram", 1, order))
+        contexts = table.groupBy("context").agg(*[F.sum(k).alias(f"c_{k}") for k in _COUNTS])
+        whole = _shared.with_small(table, contexts, ["context"])
+        if p is not None:
+            whole = _shared.with_small(whole.withColumn("tail", F.substring("gram", 2, order)), p, ["tail"])
+        made = {}
+        for k in "ar":
+            for f in range(FOLDS):
+                seen, context = (sum((F.col(f"{c}{k}{g}") for g in range(FOLDS) if g != f), F.lit(0)) for c in ("", "c_"))
+                made[f"p_{k}{f}"] = (seen + BETA * (F.lit(1 / 256) if p is None else F.col(f"p_{k}{f}"))) / (context + BETA)
+        kept = [F.col("seen")] if order == ORDER else []
+        p = _shared.written(whole.select(F.col("gram").alias("tail"), *kept, *[v.alias(k) for k, v in made.items()]), "urlp")
+    ratios = F.array(*[F.log(f"p_a{f}") - F.log(f"p_r{f}") for f in range(FOLDS)])
+    return p.select(F.col("tail").alias("gram"), ratios.alias("ratios"), F.col("seen").alias("n"))
+
+
+def _cut(free: DataFrame) -> float | None:
+    """The cut of held-out scores; null without examples of both classes, or if no cut parts them."""
+    steps = free.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count_if(~F.col("rejected")).alias("a"), F.count_if("rejected").alias("r"))
+    below = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as steps: a score is within a few dozen
+    shares = [(F.coalesce(F.sum(k).over(below), F.lit(0)) / F.nullif(F.sum(k).over(Window.partitionBy()), F.lit(0))).alias(k) for k in "ar"]
+    best = steps.select("step", *shares).where((F.col("a") <= WRONG) & (F.col("r") > F.col("a"))).orderBy(F.desc(F.col("r") - F.col("a")), "step").select("step").first()
+    return None if best is None else best["step"] * STEP
 
 
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (null without text), rejected (the seed label) of every (page_id, url) row."""
+    """page_id, host, path, rule, verdict, score (null without text), rejected (the label), cut of every (page_id, url) row."""
     host, path = split_url(F.col("url").cast("string"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = judge_by_rules(F.col("host"), F.col("path"), rules)
-    text = F.concat("host", "path")
-    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), rejected_by_seeds(F.col("host"), seeds).alias("rejected"), text.alias("text"))
-    parsed = _shared.written(parsed, "urls")
-    texts = _shared.written(parsed.where("text <> ''").groupBy("text", "rejected").agg(F.count("*").alias("n")), "urltexts")
+    parsed = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), F.concat("host", "path").alias("text"))
+    label = F.coalesce(F.col("ruled") == "block", rejected_by_seeds(F.col("host"), seeds))
+    parsed = _shared.written(parsed.withColumn("rejected", label), "urls")
+    # The host goes with the text: where one ends and the other begins isn't in it.
+    texts = parsed.where("text <> ''").groupBy("text", "host", "rejected").agg(F.count("*").alias("n"))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")
+    texts = _shared.written(texts.withColumn("fold", fold).withColumn("id", F.monotonically_increasing_id()), "urltexts")
     model = _shared.written(train(texts), "urlmodel")
-    scores = _shared.with_small(_grams(texts.select("text")), model, ["gram"]).groupBy("text").agg(F.avg("ratio").alias("score"))
-    scored = _shared.written(_shared.with_small(parsed, _shared.written(scores, "urlscores"), ["text"], how="left"), "urlscored")
-    cut = scored.agg(*[f(F.when(F.col("rejected") == c, F.col("score"))).alias(n + k) for c, k in ((False, "a"), (True, "r")) for f, n in ((F.avg, "mean_"), (F.stddev_pop, "dev_"))])
-    both = (F.col("mean_a") * F.col("dev_r") + F.col("mean_r") * F.col("dev_a")) / F.nullif(F.col("dev_a") + F.col("dev_r"), F.lit(0.0))
-    cut = cut.select(F.coalesce(both, (F.col("mean_a") + F.col("mean_r")) / 2).alias("cut"))
-    by_model = F.when(F.coalesce(F.col("score") < cut.scalar(), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", "rejected")
+    scored = _shared.left_join(_grams(texts.select("id", "fold", "text")), model, "gram", "n")
+    scores = scored.groupBy("id").agg(F.avg(F.get("ratios", F.col("fold"))).alias("score"))
+    scores = _shared.written(texts.join(scores, "id").groupBy("text").agg(F.sum("n").alias("n"), F.avg("score").alias("score")), "urlscores")
+    scored = _shared.written(_shared.left_join(parsed, scores, "text", "n"), "urlscored")
+    cut = F.lit(_cut(scored.where("rule is null and score is not null"))).cast("double")
+    by_model = F.when(F.coalesce(F.col("score") < cut, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", "rejected", cut.alias("cut"))
+
+
+def errors(judged: DataFrame) -> DataFrame:
+    """One row over `judge`'s rows without a rule: how many of either label, and how many of them the held-out score puts on the other side."""
+    free = judged.where("rule is null and score is not null")
+    blocked = F.col("verdict") == "block"
+    return free.agg(*[F.count_if(c).alias(n) for n, c in (("accepted", ~F.col("rejected")), ("accepted_blocked", ~F.col("rejected") & blocked), ("rejected", F.col("rejected")), ("rejected_allowed", F.col("rejected") & ~blocked))])
 
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
