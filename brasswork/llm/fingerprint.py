@@ -5,31 +5,36 @@ A text's words (runs of characters outside U+0020 and U+0009-000D, A-Z in lower
 over random byte values, prefix sums for all words of a batch at once), and `PERMUTATIONS` universal hash functions
 (multiply, add, take the high half) are minimised over the shingles. Likeness is the share of equal minima.
 
-`near_duplicates` joins bands of the signatures in Spark and verifies Jaccard on the shingle sets; inside a bucket
-each fingerprint is compared with the bucket's smallest one first, and with those that are still in another component
-after that, so groups of copies never expand into all pairs and no pair of bucket-mates is missed.
+`near_duplicates` deals the sets of shingles to the buckets of their signature bands and verifies Jaccard on the sets;
+`_links` says how: buckets are searched whole, and groups of copies never expand into all pairs. A pair of 80 % likeness
+shares a band with a probability of 0.998. `fingerprints` takes its result along: component_id is the smallest doc_id
+reachable over links of 80 % (the document's own without any).
+
+Documents are dealt by ranges of doc_id, with a copy of each range's successor; texts travel compressed.
 
 Defined results: null text is an empty text; a text without words has the all-ones signature, which is like only
-itself; a null doc_id comes first; repeated doc_ids follow one another by text; one document alone is its own
-successor; an empty table gives no rows; other columns don't matter.
+itself, and is linked with nothing; a null doc_id comes first; repeated doc_ids follow one another by a hash of their
+text; one document alone is its own successor; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _components, _shared
-from ._shingles import shingles
+from . import _links, _shared
+from ._shingles import mixed, shingles
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 32
+#: Bands of the signature, and minima in each.
+BANDS, DEEP = 16, 5
 SEED = 20_240_601
 NEAR = 80
 
@@ -70,125 +75,156 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+
+#: Bytes of texts in a range of documents, and ranges at most.
+RANGE, RANGES = 64 << 20, 1 << 16
 
 
-def _rows(pairs: list[tuple], following: tuple | None, width: int, n: int) -> pd.DataFrame:
-    """Result rows of documents in order; `following` is the one after them (None: the last wraps in `pairs` itself)."""
-    ids, texts = [p[0] for p in pairs], [p[1] for p in pairs]
-    after = texts[1:] + [following[1]]
-    changed = [edited(t, f) for t, f in zip(texts, after)]
-    sig = signatures(texts + [following[1]], width, n)
+def _rows(held: list[tuple], following: str, width: int, n: int) -> pd.DataFrame:
+    """Result rows of (doc_id, text, component_id) documents in order; `following` is the text after the last."""
+    texts = [h[1] for h in held]
+    changed = [edited(t, f) for t, f in zip(texts, [*texts[1:], following])]
+    sig = signatures([*texts, following], width, n)
     own, new = sig[:-1], signatures(changed, width, n)
     return pd.DataFrame(
         {
-            "doc_id": pd.array(ids, dtype="Int64"),
+            "doc_id": pd.array([h[0] for h in held], dtype="Int64"),
             "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
             "fingerprint": [s.astype(">u4").tobytes().hex() for s in own],
             "edited_fingerprint": [s.astype(">u4").tobytes().hex() for s in new],
             "near_edited": likeness(own, new),
             "near_next": likeness(own, sig[1:]),
+            "component_id": pd.array([h[2] for h in held], dtype="Int64"),
         }
     )
 
 
-def fingerprints(docs: DataFrame, parts: int | None = None, width: int = SHINGLE, n: int = PERMUTATIONS) -> DataFrame:
+def _range_of(bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below doc_id: by steps of about their number's root, then one by one."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    held, doc_id = F.lit(bounds).cast("array<long>"), F.col("doc_id")
+
+    def below(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda n, b: n + (b < doc_id).cast("int"))
+
+    coarse = below(F.lit(bounds[step - 1 :: step]).cast("array<long>")) * step
+    return F.coalesce(coarse + below(F.slice(held, coarse + 1, F.lit(step))), F.lit(0))
+
+
+def fingerprints(docs: DataFrame, parts: int | None = None, width: int = SHINGLE, n: int = PERMUTATIONS, percent: int = NEAR) -> DataFrame:
     """Fingerprint every document and its edited text, with their likeness and the likeness to the next document."""
     spark = docs.sparkSession
     _shared.ship(spark)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
+    near = _shared.written(near_duplicates(docs, width, n, percent).where("not doc_id <=> component_id"), "near")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_shared.text_or_empty()).alias("mark"), _shared.text_or_empty().alias("text"))
     # Ranges of doc_id with a leading copy of each range's successor: bounds are one number per range.
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    if parts is None:
+        size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE)))
     shares = [i / parts for i in range(1, parts)]
-    found = kept.agg(F.percentile_approx("doc_id", F.array(*[F.lit(s) for s in shares]) if shares else F.array(F.lit(0.5)), 100 * parts).alias("q"), F.count("*").alias("n")).first()
+    found = kept.agg(F.percentile_approx("doc_id", F.array(*[F.lit(s) for s in shares]) if shares else F.array(F.lit(0.5)), 20 * parts).alias("q"), F.count("*").alias("n")).first()
     if not found["n"]:
         return spark.createDataFrame([], RESULT)
-    bounds = sorted(set(found["q"] or []))
-    # The range of a doc_id: how many bounds are below it, by a sorted join-free lookup.
-    part = F.aggregate(F.lit(bounds).cast("array<long>"), F.lit(0), lambda n, b: n + (b < F.col("doc_id")).cast("int")) if bounds else F.lit(0)
-    dealt = kept.withColumn("part", F.coalesce(part, F.lit(0)))
-    firsts = kept.select("doc_id").withColumn("part", F.coalesce(part, F.lit(0))).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("m")).collect()
+    part = _range_of(sorted(set(found["q"] or [])))
+    dealt = kept.withColumn("part", part)
+    firsts = kept.select("doc_id").withColumn("part", part).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id")).alias("m")).collect()
     order = sorted(r["part"] for r in firsts)
     to = {p: order[i - 1] for i, p in enumerate(order)}  # the range before it; the first goes to the last
     head = spark.createDataFrame([(r["m"]["doc_id"], to[r["part"]]) for r in firsts], "first_id long, part int")
-    lead = kept.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("doc_id", "part").agg(F.min("text").alias("text"))
-    rows = dealt.select("part", F.lit(0).alias("lead"), "doc_id", "text").unionByName(lead.select("part", F.lit(1).alias("lead"), "doc_id", "text"))
+    lead = kept.join(F.broadcast(head), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("doc_id", "part").agg(F.min(F.struct("mark", "text")).alias("m"))
+    rows = dealt.select("part", F.lit(2).alias("kind"), "doc_id", "mark", "text").unionByName(lead.select("part", F.lit(3).alias("kind"), "doc_id", "m.mark", "m.text"))
+    told = near.select("doc_id", "mark", "component_id").distinct().withColumn("part", part).select("part", F.lit(1).alias("kind"), "doc_id", "mark", F.lit(None).cast("binary").alias("text"), "component_id")
+
+    def squeezed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in b["text"]])
+
+    rows = rows.mapInPandas(_shared.frugal(squeezed), "part int, kind int, doc_id long, mark long, text binary").withColumn("component_id", F.lit(None).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs: list[tuple] = []
-        size = 0
+        held: list[tuple] = []
+        size, current, known = 0, None, {}
         for b in batches:
-            for p, last, doc_id, text in zip(b["part"], b["lead"], b["doc_id"], b["text"]):
-                if last or size > 4_000_000:
-                    if pairs:
-                        yield _rows(pairs, (doc_id, text), width, n)
-                    pairs, size = [], 0
-                if not last:
-                    pairs.append((None if pd.isna(doc_id) else int(doc_id), text))
+            for kind, doc_id, mark, text, component in zip(b["kind"], b["doc_id"], b["mark"], b["text"], b["component_id"]):
+                doc_id = None if pd.isna(doc_id) else int(doc_id)
+                if doc_id != current or kind == 3:
+                    current, known = doc_id, {}
+                if kind == 1:  # where a document of this id is linked to, before the document itself
+                    known[mark] = None if pd.isna(component) else int(component)
+                    continue
+                text = zlib.decompress(text).decode("utf-8", "surrogatepass")
+                if kind == 3 or size > 2_000_000:
+                    if held:
+                        yield _rows(held, text, width, n)
+                    held, size = [], 0
+                if kind == 2:
+                    held.append((doc_id, text, known.get(mark, doc_id)))
                     size += len(text)
 
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "lead", "doc_id", "text").mapInPandas(run, RESULT)
+    in_order = rows.unionByName(told).repartition(parts, "part").sortWithinPartitions("part", F.col("kind") == 3, "doc_id", "kind", "mark")
+    return in_order.mapInPandas(_shared.frugal(run), RESULT)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS, bands: int = BANDS, percent: int = NEAR) -> DataFrame:
-    """doc_id and component_id: the smallest doc_id reachable over verified links of bucket-mates."""
-    spark = docs.sparkSession
-    _shared.ship(spark)
-    each = n // bands
+_STEP = np.uint64(0xD1342543DE82EF95)
+
+
+def bands(signature: np.ndarray, number: int = BANDS, deep: int = DEEP) -> np.ndarray:
+    """A 64-bit bucket for each band of each row of `signature`."""
+    out = np.empty((len(signature), number), dtype=np.uint64)
+    for k in range(number):
+        run = np.full(len(signature), k + 1, dtype=np.uint64)
+        for i in range(k * deep, (k + 1) * deep):
+            run = mixed(run * _STEP + signature[:, i].astype(np.uint64))
+        out[:, k] = run
+    return out.view(np.int64)
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS, percent: int = NEAR) -> DataFrame:
+    """doc_id, mark (xxhash64 of the text) and component_id: the smallest doc_id reachable over verified links of bucket-mates."""
+    _shared.ship(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            sig = signatures(texts, width, n)
-            hashes, starts = shingles(texts, width)
-            sets = [np.unique(hashes[starts[i] : starts[i + 1]]) for i in range(len(texts))]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "node": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                    "words": [s.view(np.int64) for s in sets],
-                    "bands": [[hashlib.blake2b(bytes([k]) + s[k * each : (k + 1) * each].tobytes(), digest_size=12).digest() for k in range(bands)] if len(w) else [] for s, w in zip(sig, sets)],
-                }
-            )
-
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
-    signed = _shared.written(kept.mapInPandas(sign, "doc_id long, node binary, words array<long>, bands array<binary>"), "signed")
-    # Copies collapse to a node before anything is joined; a text without words is linked with nothing.
-    nodes = signed.where(F.size("words") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("words").alias("words"), F.any_value("bands").alias("bands"))
-    nodes = _shared.written(nodes, "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("k")).where("k > 1")
-    words = nodes.select("node", "words")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose sets are alike enough."""
-        both = pairs.join(words.withColumnRenamed("node", "a"), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("other")), "b")
-        same = F.size(F.array_intersect("words", "other"))
-        return _shared.written(both.where(100 * same >= percent * (F.size("words") + F.size("other") - same)).select("a", "b"), "links")
-
-    headed = buckets.join(heads.select("band", "head"), "band")
-    links = verified(headed.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
-    labels = _components.components(links)
-
-    # Bucket-mates that the heads left in different components, unless their sizes rule a link out.
-    named = headed.join(nodes.select("node", F.size("words").alias("n")), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = _shared.written(named, "named")
-    mixed = named.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    named = named.join(mixed, "band", "left_semi").where("node <> head")
-    one, two = named.select("band", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a")), named.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
-    sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    crossed = _shared.written(one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & sized).select("a", "b").distinct(), "crossed")
-    if crossed.limit(1).count():
-        more = verified(crossed)
-        if more.limit(1).count():
-            labels = _components.components(links.union(more))
-
-    least = nodes.select("node", "least").join(labels, "node").groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labels.join(least, "label").select("node", F.col("component_id").alias("found"))
-    alone = nodes.select("node", "least")
-    out = signed.select("doc_id", "node", (F.size("words") > 0).alias("full")).join(named, "node", "left").join(alone, "node", "left")
-    return out.select("doc_id", F.when(F.col("full"), F.coalesce("found", "least")).otherwise(F.col("doc_id")).alias("component_id"))
+        seen: set[int] = set()  # sets of this task: only their first row is dealt on
+        for batch in batches:
+            for part in _links.slices(batch):
+                texts = part["text"].tolist()
+                own = _links.sets(texts, width)
+                nids = [_links.node(s) for s in own]
+                first = []
+                for nid, s in zip(nids, own):
+                    first.append(len(s) > 0 and nid not in seen)
+                    seen.add(nid)
+                at = np.flatnonzero(first)
+                dealt = dict(zip(at.tolist(), bands(signatures([texts[i] for i in at], width, n))))
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "mark": part["mark"].to_numpy(),
+                        "n": [len(s) for s in own],
+                        "nid": nids,
+                        "bands": [dealt.get(i) for i in range(len(own))],
+                        "bits": [_links.bitmap(s) if f else None for s, f in zip(own, first)],
+                    }
+                )
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_shared.text_or_empty()).alias("mark"), _shared.text_or_empty().alias("text"))
+    before = len(_shared.made())
+    signed = kept.mapInPandas(_shared.frugal(sign), "doc_id long, mark long, n int, nid long, bands array<long>, bits array<long>")
+    signed = _shared.written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    nodes, full = _links.heads(signed, "bands")
+    postings = full.select(F.explode("bands").alias("token"), "nid", "n", F.col("n").alias("r"))
+    labels = _links.linked(kept, nodes, full, postings, width, percent)
+    rows = signed.select("doc_id", "mark", "n", "nid")
+    blank = rows.where("n = 0").select("doc_id", "mark", F.col("doc_id").alias("component_id"))
+    out = blank.union(_shared.left_join(rows.where("n > 0"), _links.components_of(nodes, labels), "nid", "rows").select("doc_id", "mark", "component_id"))
+    done = _shared.made(before)
+    out = _shared.written(out, "components")
+    _shared.drop(done)
+    return out
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
