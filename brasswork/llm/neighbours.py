@@ -1,6 +1,7 @@
 """Approximate nearest neighbours (operator 10): sharded, robust-pruned directed graphs with beam search.
 
 Vectors are dealt to shards of about `SHARD` rows by a hash of their id, so equal vectors spread over all shards.
+Vectors of different lengths have no distance: each length has shards of its own, and a query searches those of its own.
 Each shard builds one graph over its distinct vectors: batches of vectors search the graph so far greedily from the
 medoid, the visited nodes are pruned by relaxed distance (a neighbour stays only if no kept one is `ALPHA` times
 nearer to it than the vector is), and reverse edges are pruned likewise. A second pass repeats that on the full graph.
@@ -10,8 +11,8 @@ from the original vectors. A node answers with all ids of its vector, so copies
 The graph of a shard is one row of a written table: a lost executor rebuilds or rereads single shards. Queries reach
 the shards as rows beside them, never as a broadcast.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
-no part, nor do null ids; rows with the same id and vector count once; ties go to the smaller id; an empty table gives
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids; a
+vector alone of its length finds nothing; rows with the same id and vector count once; ties go to the smaller id; an empty table gives
 no rows; other columns don't matter.
 """
 
@@ -161,24 +162,26 @@ def _reverse(own: np.ndarray, edges: np.ndarray, points: np.ndarray, degree: int
             edges[nodes[at]] = _prune(nodes[at], both[at], d, points, degree, alpha)
 
 
-def usable(vectors: DataFrame, dims: int | None = None) -> DataFrame:
+def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, vector array<double>) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where("vec_id is not null and vector is not null")
-    kept = kept.where(F.forall("vector", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)) & ~F.coalesce(F.isnan(c), F.lit(True))) & F.exists("vector", lambda c: c != 0))
-    if dims is None:
-        usual = kept.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
-        dims = usual["n"] if usual else 0
-    return kept.where(F.size("vector") == dims)
+    return kept.where(F.forall("vector", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)) & ~F.coalesce(F.isnan(c), F.lit(True))) & F.exists("vector", lambda c: c != 0))
 
 
-INDEX = "shard int, entry int, nodes int, edges binary, vectors binary, ids binary, first binary"
+INDEX = "shard int, dims int, entry int, nodes int, edges binary, vectors binary, ids binary, first binary"
 
 
 def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
     """One row per shard over all usable vectors: its graph, distinct vectors and their ids; written, so built once."""
-    rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard))
+    rows = usable(vectors).withColumn("dims", F.size("vector"))
+    sizes = rows.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()  # a row a length
+    first, shards = F.lit(0), 0
+    many = F.lit(1)
+    for r in sizes:
+        number = -(-r["n"] // shard)
+        first, many = F.when(F.col("dims") == r["dims"], F.lit(shards)).otherwise(first), F.when(F.col("dims") == r["dims"], F.lit(number)).otherwise(many)
+        shards += number
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vec_id", kind="stable")
@@ -188,10 +191,11 @@ def build_index(vectors: DataFrame, shard: int = SHARD, degree: int = DEGREE, be
         first = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
         points = distinct.astype(np.float32)
         edges, entry = build_graph(points, degree, beam, alpha)
-        return pd.DataFrame({"shard": [key[0]], "entry": [entry], "nodes": [len(distinct)], "edges": [edges.astype("<i4").tobytes()], "vectors": [distinct.tobytes()], "ids": [pairs[:, 1].astype("<i8").tobytes()], "first": [first.astype("<i8").tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "dims": [own.shape[1]], "entry": [entry], "nodes": [len(distinct)], "edges": [edges.astype("<i4").tobytes()], "vectors": [distinct.tobytes()], "ids": [pairs[:, 1].astype("<i8").tobytes()], "first": [first.astype("<i8").tobytes()]})
 
     _shared.ship(vectors.sparkSession)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", (first + F.pmod(F.xxhash64("vec_id"), many)).cast("int")).drop("dims")
+    dealt = dealt.repartition(max(1, shards), "shard")  # a number: graphs of small shards take long, too, and stay spread
     return _shared.written(dealt.groupBy("shard").applyInPandas(build, INDEX), "annindex")
 
 
@@ -218,12 +222,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = WIDE,
 
     _shared.ship(index.sparkSession)
     heads = index.select(F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("vector"), *names)
-    # Each shard gets every query: the work that the method asks for. One row a query and shard, in blocks of 512.
-    shards = index.agg(F.sort_array(F.collect_list("shard")).alias("shards")).first()["shards"] or []
-    asked = queries.select(F.lit(1).alias("kind"), F.col("vec_id").alias("query_id"), "vector", F.explode(F.lit(shards).cast("array<int>") if shards else F.array().cast("array<int>")).alias("shard"))
-    for name, kind in (c.split() for c in INDEX.split(", ")[1:]):
+    # Each shard gets every query of its length: the work that the method asks for. One row a query and shard, in blocks of 512.
+    places, shards = index.select("shard", "dims"), index.count()
+    asked = _shared.with_small(queries.select(F.lit(1).alias("kind"), F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dims")), places, ["dims"])
+    for name, kind in (c.split() for c in INDEX.split(", ")[2:]):
         asked = asked.withColumn(name, F.lit(None).cast(kind))
-    both = heads.unionByName(asked).repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "kind", "query_id")
+    both = heads.unionByName(asked).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "kind", "query_id")
     found = both.select("kind", "query_id", "vector", *names).mapInPandas(run, FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

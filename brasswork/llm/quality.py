@@ -171,13 +171,44 @@ def traced(docs: DataFrame) -> DataFrame:
 
     _shared.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), _shared.text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
-    return rows.mapInPandas(run, "doc_id long, mark long, traits array<float>, meta array<float>")
+    return rows.mapInPandas(_shared.frugal(run), "doc_id long, mark long, traits array<float>, meta array<float>")
 
 
 def _mark():
     return F.xxhash64("text", "lang", "source", "n_chars")
 
 
+def _surest(found: DataFrame) -> DataFrame:
+    """A few hundred rows with the `ADDED` surest of each view and class among them, however many tasks have left rows.
+
+    Counts by steps of the odds, ever finer, find where the last of them is; what ties there goes by `tie`.
+    """
+    groups = {(v, sign): [0.0, 64.0, ADDED, 0] for v in (0, 1) for sign in (1, -1)}  # from, width, rows still needed, rows there
+    mine = [(F.col("view") == v) & (F.col("sign") == sign) for v, sign in groups]
+    open_ = set(groups)
+    for _ in range(4):
+        step = F.lit(None).cast("long")
+        for own, (key, (low, width, _, _)) in zip(mine, groups.items()):
+            if key in open_:
+                step = F.when(own & (F.col("odds") >= low) & (F.col("odds") < low + width), F.floor((F.col("odds") - low) / (width / 1024))).otherwise(step)
+        counts = found.withColumn("step", step).where("step is not null").groupBy("view", "sign", "step").count().collect()  # at most 1024 rows a group
+        for key in list(open_):
+            low, width, need, _ = groups[key]
+            for r in sorted((r for r in counts if (r["view"], r["sign"]) == key), key=lambda r: -r["step"]):
+                groups[key] = [low + r["step"] * width / 1024, width / 1024, need, r["count"]]
+                if r["count"] >= need:
+                    break
+                need -= r["count"]
+            if groups[key][3] <= 4 * groups[key][2] + 40:
+                open_.discard(key)
+    kept = F.lit(False)
+    for own, (key, (low, _, need, there)) in zip(mine, groups.items()):
+        edge = F.col("odds") >= low + groups[key][1]
+        share = min(1.0, (4 * need + 40) / max(1, there))
+        kept = kept | (own & (edge | ((F.col("odds") >= low) & (F.pmod("tie", F.lit(1 << 31)) <= F.lit(int(share * (1 << 31)))))))
+    return found.where(kept)
+
+
 def confident(pool: DataFrame) -> Callable[[list[Logistic]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """For `Views.fit`: scores all rows of `pool` (row, tie, traits, meta) and takes each row once."""
     taken: set[int] = set()
@@ -203,9 +234,8 @@ def confident(pool: DataFrame) -> Callable[[list[Logistic]], list[tuple[np.ndarr
             if best:
                 yield best[0][["view", "sign", "odds", "tie", "row", "traits", "meta"]]
 
-        found = _shared.written(pool.mapInPandas(run, "view int, sign int, odds double, tie long, row long, traits array<float>, meta array<float>"), "sure")
-        tops = [found.where((F.col("view") == v) & (F.col("sign") == sign)).orderBy(F.desc("odds"), "tie", "row").limit(ADDED) for v in (0, 1) for sign in (1, -1)]
-        picks = tops[0].union(tops[1]).union(tops[2]).union(tops[3]).toPandas()  # at most 4 * ADDED short rows
+        found = _shared.written(pool.mapInPandas(_shared.frugal(run), "view int, sign int, odds double, tie long, row long, traits array<float>, meta array<float>"), "sure")
+        picks = _surest(found).toPandas().sort_values(order, ascending=[False, True, True]).groupby(["view", "sign"]).head(ADDED)
         taken.update(picks["row"].tolist())
         return [(*_matrix(own), (own["sign"] > 0).to_numpy(dtype=float)) for own in (picks[picks["view"] == v] for v in (0, 1))]
 
@@ -217,7 +247,11 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     rows = _shared.written(traced(docs).withColumn("row", F.monotonically_increasing_id()), "traits")
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).alias("y"))
     order = [F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "mark"]
-    labelled = rows.join(known, "doc_id").orderBy(*order).limit(sample).select("y", "traits", "meta").toPandas()  # at most `sample` rows of short vectors
+    some = rows.join(known, "doc_id")
+    share = (1.2 * sample + 100) / max(1, some.count())
+    if share < 1:  # by the same hash as the order, so that little more than `sample` rows leave the tasks
+        some = some.where(F.pmod(order[0], F.lit(1 << 31)) <= F.lit(int(share * (1 << 31))))
+    labelled = some.orderBy(*order).limit(sample).select("y", "traits", "meta").toPandas()  # at most `sample` rows of short vectors
     if labelled["y"].nunique() < 2:
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "mark", none.alias("text_score"), none.alias("meta_score"), none.alias("score"), F.lit(True).alias("keep"))
@@ -232,7 +266,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
                 t, m, s = views.score(_matrix(b))
                 yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "mark": b["mark"], "text_score": t, "meta_score": m, "score": s, "keep": s >= cut})
 
-    return rows.mapInPandas(run, "doc_id long, mark long, text_score double, meta_score double, score double, keep boolean")
+    return rows.mapInPandas(_shared.frugal(run), "doc_id long, mark long, text_score double, meta_score double, score double, keep boolean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

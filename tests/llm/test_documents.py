@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brasswork.llm import _tokens, arrowfile, fingerprint, jaccardjoin, mixing, packing, quality, surrogates
 from brasswork.llm._shingles import shingles
@@ -102,27 +103,31 @@ def test_shingles_are_the_sets(awkward):
 
 def test_fingerprints(awkward, nothing):
     got = fingerprint.fingerprints(awkward, parts=4).toPandas()
-    rows = sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "") for r in awkward.collect())
+    marked = awkward.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text")).collect()
+    marked = sorted(marked, key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.mark))
+    rows = [(-1 if r.doc_id is None else r.doc_id, r.text) for r in marked]
+    linked = {(a if a is not None else -1): c for a, _, c in brute([(r.doc_id, r.text) for r in marked if r.doc_id is not None], 5, 80)}
     assert len(got) == len(rows)
-    seen = sorted(zip(got["doc_id"].fillna(-1).astype(int), got["n_chars"], got["edited_sha256"]))
-    expected, errors = [], []
+    alike = lambda a, b: sum(a[i : i + 8] == b[i : i + 8] for i in range(0, len(a), 8)) / (len(a) // 8)
+    one = lambda t: fingerprint.signatures([t])[0].astype(">u4").tobytes().hex()
+    expected = []
     for i, (doc_id, text) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
         k = len(text) // 4
         new = text[: len(text) - k] + after[:k]
-        expected.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest()))
-    assert seen == sorted(expected)
-    by = {t: f for t, f in zip([r[1] for r in rows], [None] * len(rows))}
-    prints = defaultdict(set)
-    texts = {r.doc_id: r.text or "" for r in awkward.collect()}
-    for doc_id, f in zip(got["doc_id"], got["fingerprint"]):
-        if doc_id in texts:
-            prints[texts[doc_id]].add(f)
-    assert by and all(len(v) == 1 for v in prints.values())
-    sig = fingerprint.signatures([rows[-1][1], rows[-2][1]])
+        prints = one(text), one(new), one(after)
+        expected.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), prints[0], prints[1], alike(prints[0], prints[1]), alike(prints[0], prints[2])))
+    columns = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert sorted(zip(got["doc_id"].fillna(-1).astype(int), *[got[c] for c in columns])) == sorted(expected)
+    known = got.dropna(subset=["doc_id"])
+    assert all(linked[d] == c for d, c in zip(known["doc_id"].astype(int), known["component_id"].astype(int)))
     a, b = shingle_set(rows[-1][1], 5), shingle_set(rows[-2][1], 5)
-    errors.append(abs(float(fingerprint.likeness(sig[0], sig[1])) - len(a & b) / len(a | b)))
-    assert max(errors) < 0.2
+    assert abs(alike(one(rows[-1][1]), one(rows[-2][1])) - len(a & b) / len(a | b)) < 0.2
+    # The minima themselves, by a plain loop over the shingles' hashes.
+    hashes, starts = shingles([rows[5][1]], 5)
+    first, second = (p.tolist() for p in fingerprint._parameters(fingerprint.PERMUTATIONS))
+    plain = [min(((int(h) * x + y) % 2**64) >> 32 for h in hashes) for x, y in zip(first, second)]
+    assert plain == fingerprint.signatures([rows[5][1]])[0].tolist()
     assert fingerprint.fingerprints(nothing).count() == 0
 
 
@@ -213,8 +218,6 @@ def test_surrogates(spark, awkward, nothing):
     card = [int(c) for c in re.search(r"or ([\d ]{19})", got[1])[1] if c != " "]
     assert sum(x if i % 2 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(card)) % 10 == 0
     for n in (1, 2, 3, 7):  # permutations: no two numbers share a surrogate
-        from pyspark.sql import functions as F
-
         size = min(10**n, 3000)
         made = spark.range(size).select(F.lpad(F.col("id").cast("string"), n, "0").alias("x")).select(surrogates._permuted_digits(F.lit("k"), F.col("x"), "t").alias("y"))
         assert made.distinct().count() == size and made.where(F.length("y") != n).count() == 0

@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brasswork.llm import chat, neighbours, urlfilter
 
@@ -50,7 +51,7 @@ def test_chat(spark):
 
 def test_urls(spark):
     urls = ["https://A.Example.net/en/1?x#y", "http://x.example.net/de/", "http://example.com/de/a", "http://a.org/fr/z", "http://net", "no url", None, "x://", "ftp://Host?q", "http://notexample.net/en/"]
-    urls += [f"https://blog{i % 7}.river.example.org/en/{i}" for i in range(80)] + [f"http://www.casino-win{i % 3}.example.org/en/{i}" for i in range(12)]
+    urls += [f"https://blog{i % 7}.river.example.org/en/{i}" for i in range(80)] + [f"http://www.casino-win{i % 3}.example.org/en/{i}" for i in range(60)]
     pages = spark.createDataFrame([(i, u, "", "x") for i, u in enumerate(urls)], "page_id long, url string, html string, host string")
     got = {r.page_id: r for r in urlfilter.judge(pages).collect()}
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(10)] == [
@@ -58,20 +59,22 @@ def test_urls(spark):
         ("", "", None), ("", "", None), ("", "", None), ("host", "", None), ("notexample.net", "/en/", "net/"),
     ]
     assert [got[i].verdict for i in (0, 1, 2, 3, 5, 6)] == ["allow", "block", "block", "allow", "allow", "allow"]
-    assert all(got[10 + i].verdict == "allow" for i in range(80)) and all(got[90 + i].verdict == "block" for i in range(12))
-    # The score against a plain model.
-    counts = [defaultdict(int), defaultdict(int)]
+    assert all(got[10 + i].verdict == "allow" for i in range(80)) and sum(got[90 + i].verdict == "block" for i in range(60)) >= 54
+    # The score against a plain model of the other folds.
     texts = [(got[i].host + got[i].path, got[i].rejected) for i in got]
+    made = spark.createDataFrame([(t,) for t, _ in texts], "text string").select("text", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(urlfilter.FOLDS)).alias("fold")).distinct().collect()
+    fold = {r.text: r.fold for r in made}
     pad = lambda t: "\x02" * urlfilter.ORDER + t.lower() + "\x03"
-    for t, rejected in texts:
-        if t:
-            s = pad(t)
-            for i in range(urlfilter.ORDER, len(s)):
-                for k in range(urlfilter.ORDER + 1):
-                    counts[rejected][("n", s[i - k : i + 1])] += 1
-                    counts[rejected][("c", k, s[i - k : i])] += 1
 
     def score(t):
+        counts = [defaultdict(int), defaultdict(int)]
+        for other, rejected in texts:
+            if other and fold[other] != fold[t]:
+                s = pad(other)
+                for i in range(urlfilter.ORDER, len(s)):
+                    for k in range(urlfilter.ORDER + 1):
+                        counts[rejected][("n", s[i - k : i + 1])] += 1
+                        counts[rejected][("c", k, s[i - k : i])] += 1
         s, total = pad(t), 0.0
         for i in range(urlfilter.ORDER, len(s)):
             logs = []
@@ -83,7 +86,12 @@ def test_urls(spark):
             total += logs[0] - logs[1]
         return total / (len(s) - urlfilter.ORDER)
 
-    assert max(abs(score(got[i].host + got[i].path) - got[i].score) for i in got if got[i].score is not None) < 1e-9
+    assert max(abs(score(got[i].host + got[i].path) - got[i].score) for i in [*range(10), *range(10, len(urls), 7)] if got[i].score is not None) < 1e-9
+    # A verdict beyond the list: no part of the host is a seed word, but the model knows the letters.
+    more = spark.createDataFrame([(1000, "http://www.casinowin1.example.org/en/7", "", "x"), (1001, None, "", "x"), (None, "http://blog1.river.example.org/en/3", "", "x"), (1002, "http://blog1.river.example.org/en/" + "9" * 30_000, "", "x")], pages.schema)
+    beyond = {r.page_id: r for r in urlfilter.judge(pages.union(more).union(more)).collect()}
+    assert beyond[1000].verdict == "block" and not beyond[1000].rejected
+    assert beyond[1001].verdict == beyond[None].verdict == beyond[1002].verdict == "allow"
     assert urlfilter.judge(pages.where("false")).count() == 0
 
 
@@ -92,7 +100,7 @@ def test_neighbours(spark):
     centres = rng.normal(size=(20, 16))
     vectors = [(i, (centres[i % 20] + 0.4 * rng.normal(size=16)).tolist()) for i in range(1500)]
     vectors += [(2000 + i, [1.0] * 16) for i in range(400)]  # copies
-    vectors += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3004, [1.0]), (None, [1.0] * 16), (0, vectors[0][1])]
+    vectors += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [None] * 16), (3004, [1.0]), (3005, [2.0]), (None, [1.0] * 16), (0, vectors[0][1])]
     rows = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, rank int")
     own = {i: np.array(v) for i, v in vectors[:1900]}
     index = neighbours.build_index(rows, shard=700)
@@ -108,6 +116,8 @@ def test_neighbours(spark):
         hits += len({i for _, i in found} & {i for _, i in exact})
         total += 10
     assert hits / total >= 0.95
+    short = [(r.query_id, r.vec_id, r.score) for r in neighbours.search(index, neighbours.usable(rows).where("vec_id >= 3000")).collect()]
+    assert sorted(short) == [(3004, 3005, 1.0), (3005, 3004, 1.0)]  # lengths don't mix
     assert [i for _, i in got[2000]] == list(range(2001, 2011))  # ties go to the smaller ids
     assert neighbours.search(neighbours.build_index(rows.where("false")), asked.where("false")).count() == 0
 
