@@ -87,10 +87,10 @@ def test_urls(spark):
         return total / (len(s) - urlfilter.ORDER)
 
     assert max(abs(score(got[i].host + got[i].path) - got[i].score) for i in [*range(10), *range(10, len(urls), 29)] if got[i].score is not None) < 1e-9
-    # A verdict beyond the list: no part of the host is a seed word, but the model knows the letters.
-    more = spark.createDataFrame([(1000, "http://www.casinowin1.example.org/en/7", "", "x"), (1001, None, "", "x"), (None, "http://blog1.river.example.org/en/3", "", "x"), (1002, "http://blog1.river.example.org/en/" + "9" * 30_000, "", "x")], pages.schema)
+    # A verdict that differs from the list: the host has a seed word, but the model finds the rest like accepted URLs.
+    more = spark.createDataFrame([(1000, "https://win.blog1.river.example.org/en/3", "", "x"), (1001, None, "", "x"), (None, "http://blog1.river.example.org/en/3", "", "x"), (1002, "http://blog1.river.example.org/en/" + "9" * 30_000, "", "x")], pages.schema)
     beyond = {r.page_id: r for r in urlfilter.judge(pages.union(more).union(more)).collect()}
-    assert beyond[1000].verdict == "block" and not beyond[1000].rejected
+    assert beyond[1000].verdict == "allow" and beyond[1000].rejected
     assert beyond[1001].verdict == beyond[None].verdict == beyond[1002].verdict == "allow"
     assert urlfilter.judge(pages.where("false")).count() == 0
 
