@@ -146,6 +146,9 @@ class Spark(Dialect):
     def collect(self, x: str, order: str, where: str = "true") -> str:
         return f"transform(array_sort(collect_list(CASE WHEN {where} THEN struct({order} AS o, {x} AS v) END)), p -> p.v)"
 
+    def distinct(self, x: str, where: str = "true") -> str:
+        return f"collect_set(CASE WHEN {where} THEN {x} END)"
+
     def median(self, x: str) -> str:
         return f"percentile({x}, 0.5)"
 
@@ -248,5 +251,8 @@ class Duck(Dialect):
     def collect(self, x: str, order: str, where: str = "true") -> str:
         return f"coalesce(list({x} ORDER BY {order}) FILTER (WHERE {where}), [])"
 
+    def distinct(self, x: str, where: str = "true") -> str:
+        return f"coalesce(list(DISTINCT {x}) FILTER (WHERE ({where}) AND {x} IS NOT NULL), [])"
+
     def median(self, x: str) -> str:
         return f"median({x})"

@@ -52,11 +52,54 @@ SEVERITIES, INCIDENT_STATUSES = ("Critical", "High", "Low", "Medium"), ("open",
 PAYLOAD_KEYS = ("document_id", "source_file", "document_type", "routing_label", "extracted_fields", "parsed_text_excerpt", "provenance")
 PROVENANCE_KEYS = ("ingested_at", "pipeline_run_id", "extraction_model", "classification_model", "classification_confidence", "schema_version")
 
-# Evaluation targets (metric, comparison that warns, target).
-BRONZE_TARGETS = (("parse_success_rate", "<", 0.95), ("parse_failure_rate", ">", 0.05), ("median_char_count", "<", 500), ("p10_char_count", "<", 100), ("zero_char_count_rate", ">", 0.0))
-SILVER_TARGETS = (("schema_validity_rate", "<", 0.80), ("invalid_rate", ">", 0.10), ("mean_field_coverage_pct", "<", 0.75), ("p25_field_coverage_pct", "<", 0.50), ("required_field_null_rate", ">", 0.05))
-GOLD_TARGETS = (("classification_success_rate", "<", 0.85), ("unknown_label_rate", ">", 0.15), ("quarantine_rate", ">", 0.15), ("export_ready_rate", "<", 0.70), ("mean_classification_confidence", "<", 0.75), ("low_confidence_rate", ">", 0.20), ("confidence_null_rate", ">", 0.0))
-TRACE_TARGETS = (("gold_to_silver_link_rate", "<", 1.0), ("silver_to_bronze_link_rate", "<", 1.0), ("orphaned_silver_count", ">", 0), ("orphaned_gold_count", ">", 0))
+# Evaluation targets (metric, comparison that warns, target, text of the warning; {} is the metric).
+BRONZE_TARGETS = (
+    ("parse_success_rate", "<", 0.95, "parse_success_rate {:.2%} is below target 95.00%"),
+    ("parse_failure_rate", ">", 0.05, "parse_failure_rate {:.2%} exceeds target 5.00% — review batch for format issues or path errors"),
+    ("median_char_count", "<", 500, "median_char_count {} is below target 500 — possible PDF parsing issue (scanned or image-only documents)"),
+    ("p10_char_count", "<", 100, "p10_char_count {} is below target 100 — near-empty parses detected at the 10th percentile"),
+    ("zero_char_count_rate", ">", 0.0, "zero_char_count_rate is {:.2%} — investigate ai_parse_document call immediately"),
+)
+SILVER_TARGETS = (
+    ("schema_validity_rate", "<", 0.80, "schema_validity_rate {:.2%} is below target 80.00% — review extraction prompt or rule logic for the failing document class"),
+    ("invalid_rate", ">", 0.10, "invalid_rate {:.2%} exceeds target 10.00% — review prompt template and required field extraction coverage"),
+    ("mean_field_coverage_pct", "<", 0.75, "mean_field_coverage_pct {:.2%} is below target 75.00%"),
+    ("p25_field_coverage_pct", "<", 0.50, "p25_field_coverage_pct {:.2%} is below target 50.00% — bottom quartile of records have low coverage"),
+    ("required_field_null_rate", ">", 0.05, "required_field_null_rate {:.2%} exceeds target 5.00% — specific required fields may not exist in this document domain; check schema or extraction logic"),
+)
+GOLD_TARGETS = (
+    ("classification_success_rate", "<", 0.85, "classification_success_rate {:.2%} is below target 85.00% — taxonomy may need expansion or classifier logic may need review"),
+    ("unknown_label_rate", ">", 0.15, "unknown_label_rate {:.2%} exceeds target 15.00% — review document class hints or classifier signal thresholds"),
+    ("quarantine_rate", ">", 0.15, "quarantine_rate {:.2%} exceeds target 15.00% — systematic quality issue upstream (extraction or classification)"),
+    ("export_ready_rate", "<", 0.70, "export_ready_rate {:.2%} is below target 70.00% — review Silver coverage or classification confidence thresholds"),
+    ("mean_classification_confidence", "<", 0.75, "mean_classification_confidence {:.2%} is below target 75.00% — classifier is uncertain; review rule logic or label taxonomy"),
+    ("low_confidence_rate", ">", 0.20, "low_confidence_rate {:.2%} exceeds target 20.00%"),
+    ("confidence_null_rate", ">", 0.0, "confidence_null_rate={:.2%}: classification_confidence is null for {:.0%} of records. Confidence-based thresholds not evaluated for those records. See observations for context (likely bootstrap SQL path)."),
+)
+TRACE_TARGETS = (
+    ("gold_to_silver_link_rate", "<", 1.0, "gold_to_silver_link_rate={:.4f}: {orphaned_gold_count} Gold record(s) have no matching Silver extraction_id — pipeline defect"),
+    ("silver_to_bronze_link_rate", "<", 1.0, "silver_to_bronze_link_rate={:.4f}: {orphaned_silver_count} Silver record(s) have no matching Bronze bronze_record_id — pipeline defect"),
+    ("pipeline_run_id_coverage", "<", 1.0, "pipeline_run_id_coverage={:.4f}: some records have null pipeline_run_id — traceability to pipeline batch is broken"),
+    ("schema_version_coverage", "<", 1.0, "schema_version_coverage={:.4f}: some records have null schema_version — contract drift detection may fail"),
+    ("orphaned_silver_count", ">", 0, "orphaned_silver_count={}: these Silver records cannot be traced to Bronze — treat as pipeline defect requiring investigation"),
+    ("orphaned_gold_count", ">", 0, "orphaned_gold_count={}: these Gold records cannot be traced to Silver — treat as pipeline defect requiring investigation"),
+)
+
+# Texts of observations and review reasons ({name} is a column).
+NULL_CONFIDENCE = "confidence_null_rate={confidence_null_rate:.2%}: {null_confidences} of {total_records} records have null classification_confidence. This is expected for records produced by the A-3B Databricks bootstrap SQL path (ai_classify variant does not expose a scalar confidence score). Confidence-based metrics are computed only over records with non-null confidence values."
+PLACEHOLDERS = "{placeholders} record(s) carry pipeline_run_id='bootstrap_sql_v1' (placeholder, not a real MLflow run ID). These records originated from the A-3B bootstrap SQL execution, not from a tracked MLflow pipeline run."
+REVIEW_TEXTS = {
+    "quarantined": "Record quarantined during pipeline classification. document_type='{document_type_label}', routing='{routing_label}'. Causes include: unknown document type, low classification confidence, low Silver field coverage, or invalid Silver extraction.",
+    "contract_blocked": "Record failed Bedrock contract validation (B-1). Export payload was not written.{errors_summary} Review the Gold artifact and correct the extraction or contract fields.",
+    "extraction_failed": "Record could not be classified due to a pipeline classification error. The document was processed but produced an 'unknown' type result. Review the Silver artifact and consider re-extraction.",
+}
+REVIEW_TEXT = "Review required. reason_category='{review_reason_category}'."
+
+# What a handoff unit may carry, and what delivery events may say.
+HANDOFF_TYPES = (LETTER, ADVISORY, INCIDENT, *PLANNED_DOMAINS)
+HANDOFF_ROUTES = ("regulatory_review", "security_ops", "incident_management", "quality_management", "knowledge_base")
+OPTIONAL_PAYLOAD_KEYS = ("page_count", "char_count", "extraction_prompt_id")
+MECHANISM, DELIVERY_STATUSES = "delta_sharing", ("prepared", "failed")
 SHORT_PARSE, LOW_SILVER_COVERAGE, VERY_LOW_CONFIDENCE = 100, 0.40, 0.50
 PLACEHOLDER_RUNS = ("bootstrap_sql_v1",)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
+from .evaluate import filled
 
 
 def report(d: Dialect) -> dict[str, str]:
@@ -37,18 +38,12 @@ def review(d: Dialect) -> dict[str, str]:
 
 
 def review_text(d: Dialect) -> dict[str, str]:
+    """Why a record waits, in words: the first three contract errors, and how many more there are."""
     first = d.join(d.head("contract_errors", 3), "; ")
     more = f"CASE WHEN {d.size('contract_errors')} > 3 THEN concat(' (and ', CAST({d.size('contract_errors')} - 3 AS STRING), ' more)') ELSE '' END"
     errors = f"CASE WHEN {d.size('contract_errors')} > 0 THEN concat(' Validation errors: ', {first}, {more}) ELSE '' END"
-    q = d.text("'")
-    return {
-        "review_reason": d.ladder(
-            ("review_reason_category = 'quarantined'", f"concat('Quarantined: document_type=', {q}, document_type_label, {q}, ', routing=', {q}, routing_label, {q}, '.')"),
-            ("review_reason_category = 'contract_blocked'", f"concat('Blocked by the export contract.', {errors})"),
-            ("review_reason_category = 'extraction_failed'", "'Not classified; review the extraction.'"),
-            other=f"concat('Review required. reason_category=', {q}, coalesce(review_reason_category, ''), {q}, '.')",
-        )
-    }
+    texts = {k: filled(d, t).replace("CAST(errors_summary AS STRING)", errors) for k, t in V.REVIEW_TEXTS.items()}
+    return {"review_reason": d.ladder(*[(f"review_reason_category = '{k}'", t) for k, t in texts.items()], other=filled(d, V.REVIEW_TEXT))}
 
 
 def queue_counts(d: Dialect) -> dict[str, str]:
@@ -57,7 +52,7 @@ def queue_counts(d: Dialect) -> dict[str, str]:
 
 def delivery_event(d: Dialect) -> dict[str, str]:
     """Counts, and the routing labels of exported records as a sorted list."""
-    labels = d.sorted(d.collect("routing_label", "routing_label", "outcome_category = 'exported'"))
+    labels = d.sorted(d.distinct("routing_label", "outcome_category = 'exported'"))
     counts = {"record_count_total": "count(*)", **{f"record_count_{o}": d.count_if(f"outcome_category = '{o}'") for o in V.OUTCOMES}}
     return {**counts, "routing_labels": d.join(labels, ","), "status": "max('prepared')", "schema_version": f"max('{V.SCHEMA_VERSION_DELIVERY}')"}
 
@@ -84,6 +79,7 @@ def manifest_counts(d: Dialect) -> dict[str, str]:
     listed = " + ".join(f"listed_{o}" for o in V.OUTCOMES)
     cases = [("declared_total <> declared_eligible + declared_ineligible", "total_processed"), (f"declared_eligible <> {listed}", "eligible_sum")]
     cases += [(f"declared_{o} <> listed_{o}", f"{o}_count") for o in V.OUTCOMES]
+    cases += [(" OR ".join(f"coalesce(distribution_{o}, 0) <> listed_{o}" for o in V.OUTCOMES), "outcome_distribution")]
     return {"failed_checks": d.compact(*[(c, f"'{n}'") for c, n in cases])}
 
 
@@ -94,6 +90,53 @@ def missing_paths(references, listing):
     return gold.union(exports).join(listing, "anti", ("path",))
 
 
+def bundle_repeats(d: Dialect) -> dict[str, str]:
+    """How many references of a manifest repeat an id that isn't empty."""
+    return {f"no_duplicate_{k}s": f"count(nullif({k}, '')) - count(DISTINCT nullif({k}, ''))" for k in ("document_id", "gold_record_id")}
+
+
+def bundle_failures(d: Dialect) -> dict[str, str]:
+    """Names of the reference checks with failures."""
+    return {"failed_refs": d.compact(*[(f"{k} > 0", f"'{k}'") for k in (*bundle_checks(d), *bundle_repeats(d))])}
+
+
+def bundle_structure(d: Dialect) -> dict[str, str]:
+    """Names of the structural checks that a manifest fails: its version, and its batch's id against the run's."""
+    return {"failed_structure": d.compact((f"coalesce(manifest_version, '') <> '{V.SCHEMA_VERSION}'", "'manifest_version_known'"), ("coalesce(batch_id, '') <> coalesce(pipeline_run_id, '')", "'batch_id_pipeline_run_id_consistent'"))}
+
+
+def bundle_result(d: Dialect) -> dict[str, str]:
+    """A bundle's result from its failed checks: one that doesn't parse has that check alone, others 19."""
+    failed = f"CASE WHEN parses THEN {d.size('failed')} ELSE 1 END"
+    return {"checks_run": "CASE WHEN parses THEN 19 ELSE 1 END", "checks_failed": failed, "checks_passed": f"CASE WHEN parses THEN 19 - {d.size('failed')} ELSE 0 END", "bundle_valid": f"({failed}) = 0"}
+
+
+def delivery_checks(d: Dialect) -> dict[str, str]:
+    """Names of the delivery checks that fail, in their order.
+
+    Columns: event_exists, event_parses, manifest_exists, manifest_parses, bundle_exists (booleans), the event's fields, the
+    share manifest's status, setup_sql and number of queries. What can't be read fails all checks that need it.
+    """
+    event, share = "(event_exists AND event_parses)", "(manifest_exists AND manifest_parses)"
+    cases = [
+        ("NOT event_exists", "delivery_event_exists"),
+        (f"NOT {event}", "delivery_event_parseable"),
+        (f"NOT {event} OR schema_version <> '{V.SCHEMA_VERSION_DELIVERY}'", "delivery_event_schema_version"),
+        (f"NOT {event} OR NOT {d.isin('status', V.DELIVERY_STATUSES)}", "delivery_event_status_known"),
+        (f"NOT {event} OR delivery_mechanism <> '{V.MECHANISM}'", "delivery_mechanism_known"),
+        (f"NOT {event} OR batch_id <> pipeline_run_id", "cross_id_consistency"),
+        (f"NOT {event} OR coalesce(bundle_path, '') = ''", "bundle_path_referenced"),
+        (f"NOT {event} OR coalesce(bundle_path, '') = '' OR NOT bundle_exists", "bundle_path_exists"),
+        (f"NOT {event} OR (exported > 0 AND n_labels = 0)", "routing_labels_present"),
+        ("NOT manifest_exists", "share_manifest_exists"),
+        (f"NOT {share}", "share_manifest_parseable"),
+        (f"NOT {share} OR trim(coalesce(setup_sql, '')) = ''", "share_manifest_has_setup_sql"),
+        (f"NOT {share} OR coalesce(n_queries, 0) = 0", "share_manifest_has_c2_queries"),
+        (f"NOT {share} OR NOT {d.isin("coalesce(manifest_status, '')", ('designed', 'provisioned'))}", "share_provisioning_acknowledged"),
+    ]
+    return {"failed": d.compact(*[(c, f"'{n}'") for c, n in cases])}
+
+
 CRITICAL_CHECKS = ("delivery_event_exists", "delivery_event_parseable", "delivery_event_schema_version", "cross_id_consistency", "share_manifest_has_setup_sql", "share_manifest_has_c2_queries")
 
 

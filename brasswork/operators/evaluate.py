@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
 
@@ -87,13 +89,30 @@ def gold_flags(d: Dialect) -> dict[str, str]:
     }
 
 
+def filled(d: Dialect, template: str, own: str = "") -> str:
+    """A text whose {name:form} parts are columns; {:form} is the column `own`. Forms: .2% and .0%, .4f, none."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w*)(?::\.(\d)([%f]))?\}", template):
+        column, digits, kind = m[1] or own, m[2], m[3]
+        shown = f"CAST({column} AS STRING)" if not kind else d.fixed(f"CAST({column}{' * 100' if kind == '%' else ''} AS DOUBLE)", int(digits))
+        parts += [d.text(template[at : m.start()]), shown, *(["'%'"] if kind == "%" else [])]
+        at = m.end()
+    return f"concat({', '.join([*parts, d.text(template[at:])])})"
+
+
 def warnings(d: Dialect, targets) -> dict[str, str]:
     """A text for each metric that misses its target; null metrics don't warn."""
-    cases = []
-    for name, sign, target in targets:
-        word = "is below target" if sign == "<" else "exceeds target"
-        cases.append((f"{name} {sign} {target}", f"concat('{name} ', {d.fixed(f'CAST({name} AS DOUBLE)', 4)}, ' {word} {target}')"))
-    return {"threshold_warnings": d.compact(*cases)}
+    return {"threshold_warnings": d.compact(*[(f"{name} {sign} {target}", filled(d, text, name)) for name, sign, target, text in targets])}
+
+
+def observations(d: Dialect) -> dict[str, str]:
+    """Notes on records without confidence, and on records of placeholder runs."""
+    return {"observations": d.compact(("confidence_null_rate > 0", filled(d, V.NULL_CONFIDENCE)), ("placeholders > 0", filled(d, V.PLACEHOLDERS)))}
+
+
+def ranked(relation, key: str):
+    """Counts of a column's values, their share of all, and their place: the most frequent first, ties by value."""
+    return relation.agg((key,), lambda d: {"n": "count(*)"}).add(lambda d: {"rate": "round(n / CAST(sum(n) OVER () AS DOUBLE), 4)", "place": f"row_number() OVER (ORDER BY n DESC, {key})"})
 
 
 def flagged(relation, flags):

@@ -185,8 +185,71 @@ def _manifest() -> Relation:
     c = "c_custkey"
     listed = {f"listed_{o}": f"{c} % {5 + i}" for i, o in enumerate(V.OUTCOMES)}
     declared = {f"declared_{o}": f"{c} % {5 + i} + CASE WHEN {c} % {17 + i} = 0 THEN 1 ELSE 0 END" for i, o in enumerate(V.OUTCOMES)}
+    shown = {f"distribution_{o}": f"CASE WHEN {c} % {19 + i} = 0 THEN NULL ELSE {c} % {5 + i} END" for i, o in enumerate(V.OUTCOMES)}
     total = " + ".join(listed.values())
-    return Relation("customer").select(lambda d: {"batch_id": c, **listed, **declared, "declared_eligible": f"{total} + CASE WHEN {c} % 31 = 0 THEN 2 ELSE 0 END", "declared_ineligible": f"{c} % 3", "declared_total": f"{total} + {c} % 3"})
+    return Relation("customer").select(lambda d: {"batch_id": c, **listed, **declared, **shown, "declared_eligible": f"{total} + CASE WHEN {c} % 31 = 0 THEN 2 ELSE 0 END", "declared_ineligible": f"{c} % 3", "declared_total": f"{total} + {c} % 3"})
+
+
+def _bundles() -> Relation:
+    """Manifests by customer with their versions and ids, some wrong, and the names of all the checks that they fail."""
+    c = "c_custkey"
+    ids = Relation("customer").select(lambda d: {"key": c, "manifest_version": f"CASE {c} % 13 WHEN 0 THEN 'v9' WHEN 1 THEN NULL ELSE '{V.SCHEMA_VERSION}' END", "batch_id": f"concat('run-', CAST({c} AS STRING))", "pipeline_run_id": f"concat('run-', CAST({c} + CASE WHEN {c} % 29 = 0 THEN 1 ELSE 0 END AS STRING))", "parses": f"{c} % 37 <> 0"}).add(B.bundle_structure)
+    counts = _manifest().add(B.manifest_counts).select(lambda d: {"key": "batch_id", "failed_counts": "failed_checks"})
+    # References by batch; a path is left out, a record listed twice or under another id, by the record's number.
+    broken = {"export_artifact_path": "CASE WHEN ord % 101 = 0 THEN NULL ELSE export_artifact_path END", "document_id": "CASE WHEN ord % 89 = 0 THEN 'doc' ELSE document_id END", "gold_record_id": "CASE WHEN ord % 61 = 0 THEN 'gold' ELSE gold_record_id END"}
+    listed = outcomes().add(B.references).select(lambda d: {"key": "ord % 97 + 1", **{k: k for k in ("list_name", "outcome_category", "routing_label")}, **broken})
+    refs = listed.agg(("key",), lambda d: {**B.bundle_checks(d), **B.bundle_repeats(d)}).add(B.bundle_failures).select(lambda d: {"key": "key", "failed_refs": "failed_refs"})
+    whole = ids.join(counts, "inner", ("key",)).join(refs, "left", ("key",))
+    return whole.add(lambda d: {"failed": d.plus("failed_structure", "failed_counts", f"coalesce(failed_refs, {d.empty()})")})
+
+
+def _deliveries() -> Relation:
+    """Delivery events and share manifests by customer, as a validator finds them, with what may be wrong."""
+    c = "c_custkey"
+    return Relation("customer").select(
+        lambda d: {
+            "key": c, "event_exists": f"{c} % 31 <> 0", "event_parses": f"{c} % 17 <> 0", "manifest_exists": f"{c} % 23 <> 0", "manifest_parses": f"{c} % 19 <> 0", "bundle_exists": f"{c} % 7 <> 0",
+            "schema_version": f"CASE WHEN {c} % 11 = 0 THEN 'v0.1.0' ELSE '{V.SCHEMA_VERSION_DELIVERY}' END", "status": f"CASE {c} % 5 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' ELSE 'prepared' END", "delivery_mechanism": f"CASE WHEN {c} % 41 = 0 THEN 'email' ELSE '{V.MECHANISM}' END",
+            "batch_id": f"CAST({c} AS STRING)", "pipeline_run_id": f"CAST({c} + CASE WHEN {c} % 13 = 0 THEN 1 ELSE 0 END AS STRING)", "bundle_path": f"CASE {c} % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'bundle.json' END", "exported": f"{c} % 4", "n_labels": f"{c} % 3",
+            "setup_sql": f"CASE {c} % 8 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'CREATE SHARE s' END", "n_queries": f"CASE WHEN {c} % 6 = 0 THEN NULL ELSE {c} % 5 END", "manifest_status": f"CASE {c} % 4 WHEN 0 THEN NULL WHEN 1 THEN 'provisioned' WHEN 2 THEN 'designed' ELSE 'lost' END",
+        }
+    ).add(B.delivery_checks)
+
+
+def _traced() -> Relation:
+    """One row with the links between the layers, and the shares of records with run and version."""
+    rates = _trace_rates().select(lambda d: {"gold_to_silver_link_rate": "gold_to_silver_rate", "silver_to_bronze_link_rate": "silver_to_bronze_rate", "orphaned_gold_count": "orphaned_gold_count", "orphaned_silver_count": "orphaned_silver_count"})
+    return _beside(rates, _coverage_of_layers().select(lambda d: {"pipeline_run_id_coverage": "run_id_coverage", "schema_version_coverage": "schema_version_coverage", "placeholder_runs": "placeholder_runs"}))
+
+
+def _observed() -> Relation:
+    """Gold metrics of a batch part of which came without confidences and from a placeholder run, with observations."""
+    rows = all_gold().select(lambda d: {k: k for k in GOLD_COLUMNS if k != "classification_confidence"} | {"classification_confidence": "CASE WHEN ord % 3 = 0 THEN classification_confidence END", "pipeline_run_id": "CASE WHEN ord % 10 = 0 THEN 'bootstrap_sql_v1' ELSE 'run-1' END"})
+    found = rows.agg((), lambda d: {**E.gold_metrics(d), "placeholders": d.count_if(d.isin("pipeline_run_id", V.PLACEHOLDER_RUNS))})
+    return found.add(lambda d: {"null_confidences": "CAST(floor(confidence_null_rate * total_records) AS BIGINT)"}).add(E.observations)
+
+
+def _report() -> Relation:
+    """One row: all layers' warnings together, how many records wait for review, whether placeholder runs were met."""
+    layers = {
+        "bronze": (_beside(R.natural().agg((), E.bronze_metrics), _bronze_p()), V.BRONZE_TARGETS, E.flagged(R.natural(), E.bronze_flags)),
+        "silver": (_beside(all_silver().agg((), E.silver_metrics), E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}), _required_nulls()), V.SILVER_TARGETS, E.flagged(all_silver(), E.silver_flags)),
+        "gold": (all_gold().agg((), E.gold_metrics), V.GOLD_TARGETS, E.flagged(outcomes(), E.gold_flags)),
+    }
+    parts = []
+    for name, (whole, targets, flagged) in layers.items():
+        parts.append(whole.add(lambda d, t=targets: E.warnings(d, t)).select(lambda d, n=name: {f"{n}_warnings": "threshold_warnings"}))
+        parts.append(flagged.agg((), lambda d, n=name: {f"{n}_flagged": "count(*)"}))
+    traced = _traced().add(lambda d: E.warnings(d, V.TRACE_TARGETS)).select(lambda d: {"trace_warnings": "threshold_warnings", "bootstrap_path_detected": "placeholder_runs > 0"})
+    whole = _beside(parts[0], *parts[1:], traced)
+    return whole.select(lambda d: {"all_warnings": d.join(d.plus("bronze_warnings", "silver_warnings", "gold_warnings", "trace_warnings"), "; "), "review_queue_size": "bronze_flagged + silver_flagged + gold_flagged", "bootstrap_path_detected": "bootstrap_path_detected"})
+
+
+def _errors() -> Relation:
+    """How often each validation error occurs, for each record, the most frequent first."""
+    by = all_silver().explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)"}).add(lambda d: {"one": "1"})
+    total = all_silver().agg((), lambda d: {"records": "count(*)"}).add(lambda d: {"one": "1"})
+    return by.join(total, "inner", ("one",)).select(lambda d: {"error": "error", "n": "n", "rate": "round(n / CAST(records AS DOUBLE), 4)", "place": "row_number() OVER (ORDER BY n DESC, error)"})
 
 
 def _counts(relation: Relation, *keys: str) -> Relation:
@@ -221,7 +284,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "silver_metrics": lambda: all_silver().agg((), E.silver_metrics),
     "silver_percentiles": lambda: E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}),
     "silver_required_nulls": lambda: silver_of(V.LETTER).agg((), lambda d: E.required_null_rate(d, V.REQUIRED[V.LETTER])),
-    "silver_error_frequency": lambda: all_silver().explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)"}),
+    "silver_error_frequency": _errors,
     "silver_flags": lambda: E.flagged(all_silver(), E.silver_flags).select(_texts(("document_id", "validation_status", "review_reasons"))),
     "silver_thresholds": lambda: _warned(_beside(all_silver().agg((), E.silver_metrics), E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}), _required_nulls()), V.SILVER_TARGETS),
     # Gold
@@ -232,7 +295,8 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "gold_metrics": lambda: all_gold().agg((), E.gold_metrics),
     "gold_null_confidence": lambda: all_gold().select(lambda d: {c: c for c in GOLD_COLUMNS if c != "classification_confidence"} | {"classification_confidence": "CASE WHEN ord % 3 = 0 THEN classification_confidence END"}).agg((), E.gold_metrics),
     "gold_thresholds": lambda: all_gold().agg((), E.gold_metrics).add(lambda d: E.warnings(d, V.GOLD_TARGETS)).select(lambda d: {"threshold_warnings": d.join("threshold_warnings", "; ")}),
-    "label_distribution": lambda: _counts(all_gold(), "document_type_label"),
+    "label_distribution": lambda: E.ranked(all_gold().select(lambda d: {"document_type_label": f"CASE WHEN ord % 21 = 0 THEN '{V.UNKNOWN}' ELSE coalesce(document_type_label, '{V.UNKNOWN}') END"}), "document_type_label"),
+    "gold_observations": lambda: _observed().select(lambda d: {"observations": d.join("observations", " | ")}),
     "gold_flags": lambda: E.flagged(outcomes(), E.gold_flags).select(_texts(("gold_record_id", "document_type_label", "review_reasons"))),
     # Contract and batch
     "contract_errors": lambda: validated(payloads()).select(lambda d: {"document_id": "document_id", "errors": d.join("contract_found", "; ")}),
@@ -253,6 +317,8 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "trace_coverage": _coverage_of_layers,
     "trace_orphan_gold": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"gold_record_id": "gold_record_id", "extraction_id": "extraction_id"}),
     "trace_orphan_silver": lambda: E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"extraction_id": "extraction_id", "bronze_record_id": "bronze_record_id"}),
+    "trace_thresholds": lambda: _warned(_traced(), V.TRACE_TARGETS),
+    "evaluation_report": _report,
     "lineage_trace_sql": _lineage,
     "lineage_summary_sql": lambda: _lineage().agg((), lambda d: {"total_documents": "count(*)", "silver_count": d.count_if("silver_exists"), "gold_export_ready_count": d.count_if("coalesce(export_ready, false)"), "quarantine_count": d.count_if("coalesce(routing_label, '') = 'quarantine'"), "full_lineage_count": d.count_if("full_lineage = 'complete'")}),
     "governance_flags": lambda: _governance().select(lambda d: {"flags": d.join("flags", ",")}),
@@ -261,6 +327,9 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "metric_drift": _run_metrics,
     "orphan_flags": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"layer": "'gold'", "issue": "'orphaned_gold'", "record_id": "gold_record_id"}).union(E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"layer": "'silver'", "issue": "'orphaned_silver'", "record_id": "extraction_id"})),
     "manifest_count_checks": lambda: _manifest().add(B.manifest_counts).select(lambda d: {"batch_id": "batch_id", "failed_checks": d.join("failed_checks", ",")}),
+    "bundle_structure": lambda: _bundles().select(lambda d: {"key": "key", "failed": d.join("failed_structure", ",")}),
+    "bundle_results": lambda: _bundles().add(B.bundle_result).select(lambda d: {k: k for k in ("key", "checks_run", "checks_passed", "checks_failed", "bundle_valid")} | {"failed": d.join("failed", ",")}),
+    "delivery_checks": lambda: _deliveries().select(lambda d: {"key": "key", "failed": d.join("failed", ","), "passed": f"14 - {d.size('failed')}"}),
     "missing_paths": lambda: B.missing_paths(outcomes().add(B.references), outcomes().where(lambda d: "ord % 13 <> 0").add(B.references).select(lambda d: {"path": "gold_artifact_path"}).union(outcomes().where(lambda d: "ord % 11 <> 0").add(B.references).select(lambda d: {"path": "coalesce(export_artifact_path, '')"})).agg(("path",), lambda d: {"k": "count(*)"}).select(lambda d: {"path": "path"})),
     "latest_delivery_events": lambda: Relation("events").select(lambda d: {"delivery_event_id": "CAST(event_id AS STRING)", "generated_at": "ts", "event_id": "event_id"}).top("generated_at DESC, event_id DESC", 5).select(lambda d: {"delivery_event_id": "delivery_event_id"}),
     "export_ready_sample": lambda: outcomes().where(lambda d: "export_ready").select(lambda d: {"document_id": "document_id", "routing_label": "routing_label"}).top("document_id", 10),

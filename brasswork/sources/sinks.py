@@ -83,3 +83,32 @@ def load_artifact(text: str, required: tuple[str, ...]) -> dict:
     if missing:
         raise ValueError(f"missing keys: {', '.join(missing)}")
     return found
+
+
+def share_manifest(share: str, recipient: str, tables: list[str], gold: str, events: str, provisioned: bool = False) -> tuple[str, str]:
+    """File name and JSON text of a share's preparation manifest."""
+    found = {
+        "manifest_version": "v0.2.0",
+        "status": "provisioned" if provisioned else "designed",
+        "setup_sql": ";\n".join(share_statements(share, recipient, tables)),
+        "delivery_events_ddl": delivery_events_ddl(events),
+        "c2_validation_queries": list(validation_statements(gold, events).values()),
+    }
+    return "delta_share_preparation_manifest.json", json.dumps(found, indent=2)
+
+
+def write_report(report: DataFrame, kind: str, run_id: str, folder: str) -> DataFrame:
+    """Write a one-row report's JSON and text, a file each, into `folder`; gives (name, content) back."""
+    pair = report_pair(report, kind, run_id)
+
+    def write(rows: Iterator[Row]) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for r in rows:
+            with store.open_output_stream(f"{root}/{r['name']}") as f:
+                f.write(r["content"].encode())
+
+    pair.foreachPartition(write)
+    return pair
