@@ -10,10 +10,10 @@ BAD = "_bad_json"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", False)
+    reader = spark.read.option("recursiveFileLookup", False)
     if not path.endswith(".json"):
         reader = reader.option("pathGlobFilter", "*.json")
-    files = reader.text(path).select("value", F.try_parse_json("value").isNull().alias(BAD), F.input_file_name().alias("source_file"))
+    files = reader.text(path, wholetext=True).select("value", F.try_parse_json("value").isNull().alias(BAD), F.input_file_name().alias("source_file"))
     return files.withColumn("v", F.from_json("value", schema)).select("v.*", "source_file", BAD)
 
 
