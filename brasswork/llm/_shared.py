@@ -64,6 +64,7 @@ def made(since: int = 0) -> list[tuple[SparkSession, str]]:
 
 def drop(paths: list[tuple[SparkSession, str]]) -> None:
     """Remove tables that nothing reads any more."""
+    release()
     for entry in paths:
         if entry in _written:
             _written.remove(entry)
@@ -96,16 +97,21 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = target
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """`run`, which gives freed memory back to the system at its end: workers are used again by other tasks."""
 
     @functools.wraps(run)
     def frugally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return frugally
 
