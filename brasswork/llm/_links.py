@@ -114,8 +114,11 @@ def _starred(percent: int):
     return run
 
 
-def _crossed(percent: int):
-    """Pairs within a bucket (or a pair of its blocks) whose components differ and that size, position and bitmaps let through."""
+def _crossed(percent: int, nearest: bool = False):
+    """Pairs within a bucket (or a pair of its blocks) whose components differ and that size, position and bitmaps let through.
+
+    With `nearest`, each set names one of its later mates at most: where there are bitmaps, that with the fewest bits apart.
+    """
     names, key = ("token", "low", "high", "block", "nid", "n", "r", "label", "bits"), ("token", "low", "high")
 
     def fits(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -142,7 +145,14 @@ def _crossed(percent: int):
                 n, m = c["n"][i], c["n"][j]
                 far = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 50_000)])
                 ok = far <= n + m - 2 * _need(percent, n, m)
-                i, j = i[ok], j[ok]
+                i, j, share = i[ok], j[ok], (far / (n + m))[ok]
+            else:
+                share = np.zeros(len(i))
+            if nearest:
+                order = np.lexsort((share, i))
+                i, j = i[order], j[order]
+                first = np.diff(i, prepend=-1) != 0
+                i, j = i[first], j[first]
             yield from named(c, i, j)
 
     def groups(c: dict[str, np.ndarray], starts: np.ndarray, end: int) -> Iterator[pd.DataFrame]:
@@ -155,9 +165,13 @@ def _crossed(percent: int):
             yield from large({k: v[starts[g] : starts[g] + size[g]] for k, v in c.items()})
         own = mixed_ & (size <= 32) & (c["low"][starts] == c["high"][starts])
         number = np.repeat(np.where(own, np.arange(len(starts)), -1), size)
+        free = number >= 0  # rows that may still name a mate
         for d in range(1, int(size[own].max(initial=0))):
-            i = np.flatnonzero((number[:-d] >= 0) & (number[:-d] == number[d:]))
-            yield from named(c, i[ok := fits(c, i, i + d)], i[ok] + d)
+            i = np.flatnonzero(free[:-d] & (number[:-d] == number[d:]))
+            i = i[fits(c, i, i + d)]
+            if nearest:
+                free[i] = False
+            yield from named(c, i, i + d)
         for g in np.flatnonzero(mixed_ & (size <= 32) & ~own):
             if c["low"][starts[g]] != c["high"][starts[g]]:
                 yield from large({k: v[starts[g] : starts[g] + size[g]] for k, v in c.items()})
@@ -257,16 +271,20 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
 
     # Buckets whose sets are in different components.
     hot = _shared.written(shared.where("nid is null").select("token", F.col("n").alias("k")), "hot")
-    mates = _shared.with_small(shared.where("nid is not null").select("token", "nid", "n", "r"), labels.withColumnRenamed("node", "nid"), ["nid"], how="left").withColumn("label", F.coalesce("label", "nid"))
-    mates = _shared.with_small(mates, hot, ["token"], how="left")
     none = F.lit(None).cast("array<long>").alias("bits")
-    cold = mates.where("k is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    dealt = mates.where("k is not null").withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    warm = dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits")
-    every = cold.union(warm) if hot.limit(1).count() else cold
-    in_order = every.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    crossed = near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent)), "x long, y long").distinct(), "crossed"))
+    some_hot = hot.limit(1).count()
+
+    def crossed_pairs(labels: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (x, y, apart) of sets that share a bucket and are in different components; `nearest`: one a posting at most."""
+        mates = _shared.with_small(shared.where("nid is not null").select("token", "nid", "n", "r"), labels.withColumnRenamed("node", "nid"), ["nid"], how="left").withColumn("label", F.coalesce("label", "nid"))
+        mates = _shared.with_small(mates, hot, ["token"], how="left")
+        cold = mates.where("k is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
+        dealt = mates.where("k is not null").withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        warm = dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits")
+        every = cold.union(warm) if some_hot else cold
+        in_order = every.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+        return near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent, nearest)), "x long, y long").distinct(), "crossed"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets are in different components, with both labels."""
@@ -275,12 +293,21 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
             pairs = _shared.with_small(pairs, own, [end], how="left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
         return pairs.where("label_x <> label_y")
 
-    if crossed.limit(1).count():
-        each = apart(crossed).select(F.explode(F.array("label_x", "label_y")).alias("label"), "x", "y", "apart")
-        tried = _shared.written(each.groupBy("label").agg(F.min(nearest).alias("best")).select("best.x", "best.y").distinct(), "tried")
+    def nearest_of(pairs: DataFrame) -> DataFrame:
+        """Each component's nearest pair (x, y) of those between components."""
+        each = apart(pairs).select(F.explode(F.array("label_x", "label_y")).alias("label"), "x", "y", "apart")
+        return _shared.written(each.groupBy("label").agg(F.min(nearest).alias("best")).select("best.x", "best.y").distinct(), "tried")
+
+    # Nearest mates join what belongs together, a row a posting at most; what stays apart is then paired whole.
+    tried = nearest_of(crossed_pairs(labels, True))
+    links = links.union(verified(tried))
+    labels = _components.components(links)
+    rest = _shared.written(crossed_pairs(labels, False).join(tried, ["x", "y"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        tried = nearest_of(rest)
         links = links.union(verified(tried))
         labels = _components.components(links)
-        rest = _shared.written(apart(crossed).select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
+        rest = _shared.written(apart(rest).select("x", "y").join(tried, ["x", "y"], "left_anti"), "rest")
         if rest.limit(1).count():
             links = links.union(verified(rest))
             labels = _components.components(links)

@@ -11,10 +11,12 @@ power of two, `BITS` at least); the longer one of a pair is folded to the other'
 Groups of near copies never expand into all pairs (`_links`). In a bucket, each set names the first of the bucket's `PIVOTS`
 smallest numbers that the positional filter lets through (if the shared token is the first common one, the overlap is
 at most what either set has left from it on, `r`); numbers are hashes, so a group's buckets mostly name the same one,
-and each set is compared with the nearest that it names, by the bitmaps. Verified links join sets into components. Only
-sets of a bucket that are still in different components are then paired with one another, all of those that the
-positional filter and the bitmaps let through: first each component's nearest pair, then, of what still joins different
-components, every pair. So no link between components is missed, and links inside a component change nothing. In a
+and each set is compared with the nearest that it names, by the bitmaps. Verified links join sets into components. Then
+each set names, in each bucket, at most one mate of another component (the nearest, where the bucket carries bitmaps),
+and each component's nearest of these pairs is verified. Only sets of a bucket that are still in different components are
+then paired with one another, all of those that the positional filter and the bitmaps let through: first each component's
+nearest pair, then, of what still joins different components, every pair. So no link between components is missed, and links
+inside a component change nothing. In a
 bucket with more than `HOT` sets, bitmaps are compared before pairs are made, and with more than `BLOCK` it is split
 into blocks, whose pairs of blocks go to different tasks.
 
