@@ -43,6 +43,11 @@ class Dialect:
         """Long text ends at its last blank within `most` characters, with an ellipsis."""
         return f"CASE WHEN length({x}) > {most} THEN concat({self.last_word_off(f'left({x}, {most})')}, '...') ELSE {x} END"
 
+    def made_id(self, *parts: str) -> str:
+        """An identifier made of texts, the same for the same texts, in the usual five groups."""
+        h = self.digest(f"concat_ws(chr(31), {', '.join(parts)})")
+        return f"concat_ws('-', {', '.join(f'substr({h}, {a}, {n})' for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))})"
+
     def compact(self, *cases: tuple[str, str]) -> str:
         """An array of the texts whose condition holds."""
         return self.nonnull([f"CASE WHEN {c} THEN {v} END" for c, v in cases])
@@ -137,6 +142,16 @@ class Spark(Dialect):
 
     json_part = json_text
 
+    def json_object(self, names) -> str:
+        """A JSON text of columns, nulls kept."""
+        return f"to_json(named_struct({', '.join(f"'{n}', {n}" for n in names)}), map('ignoreNullFields', 'false'))"
+
+    def variant_text(self, j: str, path: str) -> str:
+        return f"try_variant_get(try_parse_json({j}), '$.{path}', 'string')"
+
+    def octets(self, x: str) -> str:
+        return f"octet_length({x})"
+
     def json_size(self, j: str, key: str) -> str:
         return f"json_array_length(get_json_object({j}, '$.{key}'))"
 
@@ -242,6 +257,15 @@ class Duck(Dialect):
     def json_part(self, j: str, key: str) -> str:
         return f"json_extract({j}, '$.{key}')"
 
+    def json_object(self, names) -> str:
+        return f"CAST(json_object({', '.join(f"'{n}', {n}" for n in names)}) AS VARCHAR)"
+
+    def variant_text(self, j: str, path: str) -> str:
+        return f"json_extract_string({j}, '$.{path}')"
+
+    def octets(self, x: str) -> str:
+        return f"strlen({x})"
+
     def json_size(self, j: str, key: str) -> str:
         return f"json_array_length({j}, '$.{key}')"
 

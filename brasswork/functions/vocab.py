@@ -45,7 +45,8 @@ EXCERPT = 2000
 OUTCOMES = ("exported", "quarantined", "contract_blocked", "skipped_not_export_ready")
 REASONS = ("none", "routing_quarantine", "contract_validation_failed", "export_not_attempted")
 REVIEW_REASONS = ("quarantined", "contract_blocked", "extraction_failed")
-DECISIONS = ("approve_for_export", "reject", "request_reprocessing", "escalate")
+DECISIONS = ("approve_for_export", "confirm_quarantine", "request_reprocessing", "reject_unresolved")
+ACTIONABLE, TERMINAL, REPROCESS = ("approve_for_export", "request_reprocessing"), ("confirm_quarantine", "reject_unresolved"), "request_reprocessing"
 SEVERITIES, INCIDENT_STATUSES = ("Critical", "High", "Low", "Medium"), ("open", "resolved", "under_review")
 
 # The export contract.
@@ -103,6 +104,70 @@ MECHANISM, DELIVERY_STATUSES = "delta_sharing", ("prepared", "failed")
 SHORT_PARSE, LOW_SILVER_COVERAGE, VERY_LOW_CONFIDENCE = 100, 0.40, 0.50
 PLACEHOLDER_RUNS = ("bootstrap_sql_v1",)
 
+# Notes of manifests, review queues and governance reports (when a note is given, its text; {name} is a column).
+MANIFEST_NOTES = (
+    ("true", "Batch processed {total_records_processed} record(s): {total_eligible} eligible, {total_ineligible_skipped} ineligible/skipped before classification."),
+    ("true", "Export outcomes: {total_exported} exported, {total_quarantined} quarantined, {total_contract_blocked} contract-blocked, {total_skipped_not_export_ready} skipped."),
+    ("total_exported > 0", "{total_exported} record(s) successfully written as Bedrock handoff artifact(s). Export paths are in exported_records[].export_artifact_path."),
+    ("total_quarantined > 0", "{total_quarantined} record(s) routed to quarantine (governance path). No export file was written for quarantined records. Gold artifact paths are in quarantined_records[].gold_artifact_path."),
+    ("total_contract_blocked > 0", "{total_contract_blocked} record(s) were export-ready but failed B-1 contract validation. No export file was written for blocked records. Review contract_blocked_records and the corresponding Gold artifacts for field-level contract violation detail."),
+    ("total_skipped_not_export_ready > 0", "{total_skipped_not_export_ready} record(s) were not export-ready and not quarantined. No export was attempted. Gold artifact paths are in skipped_records[]."),
+    ("report_attached", "B-4 HandoffBatchReport is attached via report_artifacts. The report provides outcome counts, reason code distributions, and a human-readable batch summary."),
+    ("NOT report_attached", "B-4 HandoffBatchReport was not generated for this bundle. Rerun with --report-dir to produce a structured outcome report alongside this bundle."),
+    ("true", "Export artifact path pattern: <export_dir>/<routing_label>/<document_id>.json ({path_source})."),
+    ("true", "Manifest schema version: {manifest_version}. Authoritative contract: {contract_source}."),
+)
+QUEUE_NOTES = (
+    ("true", "Review queue generated for {total_records_reviewed} eligible pipeline records. {total_entries} record(s) added to the review queue."),
+    ("entries_quarantined > 0", "{entries_quarantined} record(s) quarantined during pipeline classification. Review the Gold artifact for classification context and routing reason."),
+    ("entries_contract_blocked > 0", "{entries_contract_blocked} record(s) blocked by B-1 Bedrock contract validation. Review the Gold artifact and contract_validation_errors for field-level detail."),
+    ("entries_extraction_failed > 0", "{entries_extraction_failed} record(s) produced an 'unknown' document type during classification. Review the Silver artifact and consider re-extraction with a corrected class hint."),
+    ("total_entries = 0", "No records required human review in this batch. All eligible records were exported successfully."),
+    ("coalesce(bundle_path, '') <> ''", "B-5 batch manifest referenced at: {bundle_path}. The manifest contains full per-record artifact paths for this batch."),
+    ("coalesce(report_path, '') <> ''", "B-4 handoff batch report referenced at: {report_path}. The report contains outcome counts and reason code distributions."),
+    ("true", "Review decisions should be recorded using the ReviewDecision schema ({decision_source}). For records requiring reprocessing, a ReprocessingRequest artifact should be produced alongside the decision."),
+    ("true", "This is an upstream review queue artifact. Human review workflows, case management tooling, and downstream decisioning are outside this repo's boundary."),
+)
+GOVERNANCE_INPUTS = (("has_evaluation", "evaluation report (A-4)"), ("has_handoff", "handoff batch report (B-4)"), ("has_bundle", "handoff bundle manifest (B-5)"), ("has_queue", "review queue artifact (E-0)"))
+GOVERNANCE_NOTES = (
+    ("true", "Governance report generated for environment: '{environment}'. Overall health status: {health}."),
+    ("inputs <> ''", "Input artifacts consumed: {inputs}."),
+    ("inputs = ''", "No input artifacts provided. Governance report is empty — run evaluation, handoff, and review queue pipelines first."),
+    ("true", "{n_flags} governance flag(s) derived: {n_critical} critical, {n_warning} warning, {n_info} info."),
+    ("true", "This governance report is an upstream-only artifact. It summarizes pipeline quality and operational state derived from existing structured outputs. It does not represent a dashboard, cross-case analytics product, or downstream Bedrock runtime monitoring layer."),
+    ("true", "Governance signals are derived deterministically from evaluation, handoff, review queue, and environment artifacts. No live Databricks workspace or external credentials are required to produce this report."),
+)
+
+# Lines of the texts of handoff reports, manifests and review queues ({name} is a column).
+REPORT_LINES = (
+    "=== Handoff Batch Report (B-4) ===", "Pipeline Run ID    : {pipeline_run_id}", "Batch Processed At : {processed_at}", "",
+    "--- Record Counts ---", "Total Processed         : {total_records_processed}", "Ineligible Skipped      : {total_ineligible_skipped}", "Eligible for Export     : {total_eligible}", "Export Attempts         : {total_export_attempts}", "",
+    "--- Outcome Counts ---", "Exported                : {total_exported}", "Quarantined             : {total_quarantined}", "Contract Blocked        : {total_contract_blocked}", "Skipped (not ready)     : {total_skipped_not_export_ready}", "",
+    "--- Outcome Distribution ---", *[f"  {o}: {{total_{o}}}" for o in OUTCOMES], "",
+    "--- Reason Code Distribution ---", *[f"  {r}: {{reason_{r}}}" for r in REASONS],
+)
+REPORT_LISTS = (("contract_blocked", "--- Contract Blocked Document IDs ---"), ("quarantined", "--- Quarantined Document IDs ---"))
+BUNDLE_LINES = (
+    "=== Handoff Batch Review Bundle (B-5) ===", "Manifest Version   : {manifest_version}", "Batch ID           : {pipeline_run_id}", "Pipeline Run ID    : {pipeline_run_id}", "Generated At       : {processed_at}", "",
+    "--- Record Counts ---", "Total Processed    : {total_records_processed}", "Ineligible Skipped : {total_ineligible_skipped}", "Eligible           : {total_eligible}", "",
+    "--- Outcome Counts ---", "Exported           : {total_exported}", "Quarantined        : {total_quarantined}", "Contract Blocked   : {total_contract_blocked}", "Skipped (not ready): {total_skipped_not_export_ready}",
+)
+BUNDLE_LISTS = (("exported", "Exported Records"), ("quarantined", "Quarantined Records"), ("contract_blocked", "Contract Blocked Records"), ("skipped_not_export_ready", "Skipped Records"))
+QUEUE_LINES = (
+    "=== Human Review Queue (E-0) ===", "Review Queue ID    : {review_queue_id}", "Pipeline Run ID    : {pipeline_run_id}", "Generated At       : {processed_at}", "Schema Version     : {schema_version}", "",
+    "--- Queue Counts ---", "Total Records Reviewed : {total_records_reviewed}", "Total Queue Entries    : {total_entries}", "",
+    "--- Entries by Reason ---", *[f"  {r}: {{entries_{r}}}" for r in REVIEW_REASONS],
+)
+
+# What stored artifacts must have, and columns whose values are closed.
+ARTIFACT_KEYS = {
+    "delivery_event": ("delivery_event_id", "pipeline_run_id", "batch_id", "generated_at", "status", "schema_version"),
+    "validation_result": ("batch_id", "validation_status", "checks"),
+    "review_queue": ("review_queue_id", "pipeline_run_id", "queue_entries"),
+    "handoff_bundle": ("manifest_version", "batch_id", "pipeline_run_id"),
+    "governance_report": ("governance_report_id", "environment", "overall_health_status"),
+}
+
 # Governance thresholds.
 GOVERNANCE = {"bronze": 0.90, "silver": 0.80, "gold": 0.70, "link": 1.0, "pressure_warning": 0.20, "pressure_critical": 0.50, "export_rate": 0.50, "routing_anomaly": 0.50}
 ENVIRONMENTS = ("dev", "staging", "prod")

@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.dialect import Dialect
+from ..sources.listing import empty_files
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of the files of a folder (not of folders inside it)."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    """path, modificationTime, length and content of the files of a folder (not of folders inside it), empty ones too."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    empty = empty_files(spark, path)
+    if not empty:
+        return files
+    rows = spark.createDataFrame([(n, t, 0, b"") for n, t in empty], "path string, ms long, length long, content binary")
+    return files.unionByName(rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content"))
 
 
 def _extension(path: Column) -> Column:
@@ -65,15 +72,21 @@ def bronze(files: DataFrame, run_id: str, hint: str | None = None, source_system
     )
 
 
+def constraints(d: Dialect) -> dict[str, str]:
+    """Names of the rules that a Bronze record breaks."""
+    cases = [
+        (f"NOT {d.isin("coalesce(lower(file_extension), '')", V.EXTENSIONS)}", "'extension'"),
+        (f"NOT coalesce({d.has('lower(file_hash)', '^[0-9a-f]{64}$', '')}, false)", "'file_hash'"),
+        (f"NOT {d.isin("coalesce(parse_status, '')", V.PARSE_STATUSES)}", "'parse_status'"),
+        ("parse_status = 'failed' AND (parse_failure_reason IS NULL OR parsed_text IS NOT NULL)", "'failed_shape'"),
+        ("parse_status IN ('success', 'partial') AND char_count IS NULL", "'char_count'"),
+        ("coalesce(file_size_bytes <= 0, true)", "'file_size_bytes'"),
+    ]
+    return {"constraint_violations": d.compact(*cases)}
+
+
 def violations(rows: DataFrame) -> DataFrame:
-    """Adds constraint_violations: names of the Bronze rules that a row breaks."""
-    status, text = F.col("parse_status"), F.col("parsed_text")
-    cases = {
-        "extension": ~F.coalesce(F.lower("file_extension").isin(*V.EXTENSIONS), F.lit(False)),
-        "file_hash": ~F.coalesce(F.lower("file_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)),
-        "parse_status": ~F.coalesce(status.isin(*V.PARSE_STATUSES), F.lit(False)),
-        "failed_shape": (status == "failed") & (F.col("parse_failure_reason").isNull() | text.isNotNull()),
-        "char_count": status.isin("success", "partial") & F.col("char_count").isNull(),
-        "file_size_bytes": F.coalesce(F.col("file_size_bytes") <= 0, F.lit(True)),
-    }
-    return rows.withColumn("constraint_violations", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()])))
+    """`constraints` of a DataFrame."""
+    from ..plans.relation import Relation
+
+    return Relation().add(constraints).on(rows)

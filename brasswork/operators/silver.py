@@ -62,6 +62,17 @@ def extracted(relation, domain: str, cut: bool = False):
     return out.select(lambda d: {k: k for k in kept}) if cut else out
 
 
+def constraints(d: Dialect) -> dict[str, str]:
+    """Names of the rules that a Silver record breaks (has_fields says whether it has any extracted fields)."""
+    cases = [
+        (f"NOT {d.isin("coalesce(validation_status, '')", V.VALIDATION_STATUSES)}", "'validation_status'"),
+        ("validation_status = 'valid' AND NOT coalesce(has_fields, false)", "'valid_without_fields'"),
+        ("coalesce(field_coverage_pct < 0.0 OR field_coverage_pct > 1.0, true)", "'field_coverage_pct'"),
+        *[(f"{c} IS NULL", f"'{c}'") for c in ("document_id", "bronze_record_id", "extraction_id", "pipeline_run_id")],
+    ]
+    return {"constraint_violations": d.compact(*cases)}
+
+
 def silver(bronze: DataFrame, run_id: str) -> DataFrame:
     """Silver records of Bronze records: each domain by its own rules, one struct per domain (the others null).
 

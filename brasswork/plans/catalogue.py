@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
 from ..operators import batch as B
+from ..operators import bronze, notes, review, silver
 from ..operators import evaluate as E
 from ..operators.contract import gated, quarantine_errors, validated
 from ..operators.extract import iso_date
 from ..operators.gold import graded, outcome, signals
 from ..operators.silver import extracted
 from ..sources import rendered as R
+from . import bootstrap
 from .relation import Relation
 
 
@@ -245,6 +247,83 @@ def _report() -> Relation:
     return whole.select(lambda d: {"all_warnings": d.join(d.plus("bronze_warnings", "silver_warnings", "gold_warnings", "trace_warnings"), "; "), "review_queue_size": "bronze_flagged + silver_flagged + gold_flagged", "bootstrap_path_detected": "bootstrap_path_detected"})
 
 
+def _silver_rows() -> Relation:
+    """Silver records some of which break a rule, by their number."""
+    kept = {k: k for k in ("document_id", "bronze_record_id", "domain", "extraction_id")}
+    broken = {
+        "pipeline_run_id": "CASE WHEN ord % 71 = 0 THEN NULL ELSE pipeline_run_id END",
+        "validation_status": "CASE WHEN ord % 41 = 0 THEN 'lost' WHEN ord % 43 = 0 THEN NULL ELSE validation_status END",
+        "field_coverage_pct": "CASE WHEN ord % 47 = 0 THEN 1.5e0 WHEN ord % 53 = 0 THEN NULL ELSE field_coverage_pct END",
+        "has_fields": "ord % 6 <> 0",
+    }
+    return all_silver().select(lambda d: kept | broken)
+
+
+def _bronze_rows() -> Relation:
+    """Bronze records some of which break a rule, by their number."""
+    known = ("document_id", "parsed_text", "char_count")
+    return R.natural().select(
+        lambda d: {k: k for k in known}
+        | {
+            "file_extension": f"CASE WHEN ord % 61 = 0 THEN '.xls' ELSE {d.extract('file_name', '([.][^./]+)$', '')} END",
+            "file_hash": "CASE WHEN ord % 67 = 0 THEN left(file_hash, 63) ELSE upper(file_hash) END",
+            "parse_status": "CASE WHEN ord % 71 = 0 THEN NULL ELSE parse_status END",
+            "parse_failure_reason": "CASE WHEN ord % 2 = 0 THEN parse_error END",
+            "file_size_bytes": "char_count",
+        }
+    ).add(bronze.constraints)
+
+
+def _batch() -> Relation:
+    """One row: the batch's report with what came before the gate, and the run's name."""
+    made = all_silver().agg((), lambda d: {"total_records_processed": "count(*)", "total_ineligible_skipped": d.count_if("validation_status = 'invalid'")})
+    named = {"pipeline_run_id": "'run-1'", "processed_at": "'2024-01-01T00:00:00+00:00'", "manifest_version": f"'{V.SCHEMA_VERSION}'", "schema_version": f"'{V.SCHEMA_VERSION}'", "report_attached": "true", "path_source": "'path rule'", "contract_source": "'contract'"}
+    return _beside(outcomes().agg((), B.report), made).add(lambda d: named).add(notes.manifest_notes)
+
+
+def _queue() -> Relation:
+    """One row: the review queue's counts and notes."""
+    named = {"pipeline_run_id": "'run-1'", "review_queue_id": "'queue-1'", "processed_at": "'2024-01-01T00:00:00+00:00'", "schema_version": f"'{V.SCHEMA_VERSION}'", "bundle_path": "'bundle_run-1.json'", "report_path": "CAST(NULL AS STRING)", "decision_source": "'decisions'"}
+    return outcomes().add(B.review).agg((), B.queue_counts).add(lambda d: named).add(notes.queue_notes)
+
+
+def _entries() -> Relation:
+    """The review queue's entries, with an id of their own, paths and errors."""
+    rows = outcomes().add(B.review).where(lambda d: "review_reason_category IS NOT NULL").add(B.review_text).add(B.references)
+    kept = ("document_id", "gold_record_id", "pipeline_run_id", "document_type_label", "routing_label", "review_reason", "review_reason_category", "gold_artifact_path", "export_artifact_path", "contract_errors")
+    return rows.select(lambda d: {"queue_entry_id": d.made_id("'queue'", "pipeline_run_id", "gold_record_id")} | {k: k for k in kept} | {"bundle_path": "'bundle_run-1.json'", "report_path": "CAST(NULL AS STRING)"})
+
+
+def _decisions() -> Relation:
+    """Decisions on orders, with missing columns and unknown decisions by the order's number."""
+    o = "o_orderkey"
+    some = lambda n, x: f"CASE WHEN {o} % {n} = 0 THEN '' WHEN {o} % {n} = 1 THEN NULL ELSE {x} END"
+    named = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(V.DECISIONS))
+    return Relation("orders").select(
+        lambda d: {
+            "decision_id": some(31, f"concat('d', CAST({o} AS STRING))"), "queue_entry_id": some(37, f"concat('q', CAST({o} % 5000 AS STRING))"), "document_id": some(41, f"CAST({o} AS STRING)"), "pipeline_run_id": some(43, "'run-1'"),
+            "decided_at": some(47, "'2024-01-01'"), "decision_rationale": some(5, "'seen'"), "decision": f"CASE {o} % 6 {named} WHEN 4 THEN 'escalate' END", "reprocessing_request_id": some(7, f"concat('r', CAST({o} AS STRING))"),
+        }
+    )
+
+
+def _requests() -> Relation:
+    queue = Relation("customer").where(lambda d: "c_custkey < 5000").select(lambda d: {"queue_entry_id": "concat('q', CAST(c_custkey AS STRING))", "gold_record_id": "concat('g', CAST(c_custkey AS STRING))", "review_reason_category": "'quarantined'"})
+    return review.requested(_decisions(), queue)
+
+
+def _files() -> Relation:
+    """Letters as files: path, length, content."""
+    rows = R.letters().select(lambda d: {"path": "concat('/raw/letters/', document_id, '.txt')", "content": "parsed_text", "parsed_text": "parsed_text"})
+    return rows.add(lambda d: {"length": d.octets("content")}).select(bootstrap.bronze_projection)
+
+
+def _governed() -> Relation:
+    """Governance with its notes; one artifact is missing."""
+    given = {"environment": "'dev'", "has_evaluation": "true", "has_handoff": "true", "has_bundle": "false", "has_queue": "true"}
+    return _governance().add(lambda d: given).add(notes.governance_inputs).add(notes.governance_notes)
+
+
 def _errors() -> Relation:
     """How often each validation error occurs, for each record, the most frequent first."""
     by = all_silver().explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)"}).add(lambda d: {"one": "1"})
@@ -264,7 +343,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     # Bronze
     "bronze_parse_status": lambda: R.natural().select(lambda d: {k: k for k in ("document_id", "parse_status", "char_count", "parse_model")}),
     "bronze_file_hash": lambda: R.natural().select(lambda d: {"document_id": "document_id", "file_hash": "file_hash"}),
-    "bronze_constraints": lambda: R.natural().select(lambda d: {"document_id": "document_id", "violations": d.join(d.compact((f"NOT {d.isin(d.coalesce(f'lower({d.extract("file_name", "([.][^./]+)$", "")})', "''"), V.EXTENSIONS)}", "'extension'"), (f"NOT {d.has('file_hash', '^[0-9a-f]{64}$', '')}", "'file_hash'"), ("parse_status = 'failed' AND (parse_error IS NULL OR parsed_text IS NOT NULL)", "'failed_shape'"), ("parse_status <> 'failed' AND char_count IS NULL", "'char_count'")), ",")}),
+    "bronze_constraints": lambda: _bronze_rows().select(lambda d: {"document_id": "document_id", "violations": d.join("constraint_violations", ",")}),
     "bronze_metrics": lambda: R.natural().agg((), E.bronze_metrics),
     "bronze_percentiles": _bronze_p,
     "bronze_flags": lambda: E.flagged(R.natural(), E.bronze_flags).select(_texts(("document_id", "parse_status", "char_count", "review_reasons"))),
@@ -280,6 +359,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "norm_dates": lambda: Relation("orders").select(lambda d: {"key": "o_orderkey", "raw": f"CASE o_orderkey % 4 WHEN 0 THEN {R._long_date('o_orderdate')} WHEN 1 THEN concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING)) WHEN 2 THEN '14 March 2025' ELSE 'Foo 3, 2020' END"}).select(lambda d: {"key": "key", "with_slashes": iso_date(d, "raw", True), "without": iso_date(d, "raw", False)}),
     "summary_sentences": lambda: Relation("documents").select(lambda d: {"doc_id": "doc_id", "summary": d.sentences("text")}),
     **{f"{n}_validation": (lambda k=k: silver_of(k).select(_texts(("document_id", "field_coverage_pct", "validation_status", "validation_errors")))) for n, k in (("fda", V.LETTER), ("cisa", V.ADVISORY), ("incident", V.INCIDENT))},
+    "silver_constraints": lambda: _silver_rows().add(silver.constraints).select(lambda d: {"document_id": "document_id", "violations": d.join("constraint_violations", ",")}),
     "silver_coverage": lambda: all_silver().agg(("domain", "field_coverage_pct"), lambda d: {"n": "count(*)"}),
     "silver_metrics": lambda: all_silver().agg((), E.silver_metrics),
     "silver_percentiles": lambda: E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}),
@@ -304,10 +384,19 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "quarantine_shape": lambda: payloads().add(lambda d: {"export_path": "CASE WHEN ord % 4 = 0 THEN 'a/b.json' END"}).add(quarantine_errors).select(lambda d: {"document_id": "document_id", "errors": d.join("quarantine_errors", "; ")}),
     "outcomes": lambda: _counts(outcomes(), "outcome_category", "outcome_reason", "routing_label"),
     "handoff_report": lambda: outcomes().agg((), B.report),
-    "handoff_manifest_refs": lambda: outcomes().add(B.references).select(lambda d: {k: k for k in ("document_id", "gold_record_id", "list_name", "gold_artifact_path", "export_artifact_path")}),
+    "handoff_manifest_refs": lambda: outcomes().add(B.references).select(lambda d: {k: k for k in ("document_id", "gold_record_id", "routing_label", "outcome_category", "outcome_reason", "list_name", "gold_artifact_path", "export_artifact_path")}),
     "review_queue": lambda: outcomes().add(B.review).where(lambda d: "review_reason_category IS NOT NULL").select(lambda d: {k: k for k in ("document_id", "gold_record_id", "review_reason_category")}),
     "review_queue_counts": lambda: outcomes().add(B.review).agg((), B.queue_counts),
     "review_reason_text": lambda: outcomes().add(B.review).add(B.review_text).where(lambda d: "review_reason_category IS NOT NULL").select(lambda d: {"document_id": "document_id", "review_reason": "review_reason"}),
+    "review_queue_entries": lambda: _entries().select(lambda d: flat(d, ("queue_entry_id", "document_id", "gold_record_id", "pipeline_run_id", "document_type_label", "routing_label", "review_reason", "review_reason_category", "gold_artifact_path", "export_artifact_path", "bundle_path", "report_path", "contract_errors"))),
+    "review_queue_notes": lambda: _queue().select(lambda d: {"review_notes": d.join("review_notes", " | ")}),
+    "review_queue_text": lambda: notes.queue_lines(_queue(), _entries()),
+    "review_decisions": lambda: _decisions().add(review.decision_checks).select(lambda d: {k: k for k in ("decision_id", "decision", "is_actionable", "is_terminal")} | {"decision_errors": d.join("decision_errors", " ")}),
+    "reprocessing_requests": lambda: _requests(),
+    "reprocessing_checks": lambda: _requests().select(lambda d: {k: k for k in ("reprocessing_request_id", "document_id", "original_pipeline_run_id", "linked_queue_entry_id", "linked_decision_id")} | {"requested_at": "CASE WHEN linked_queue_entry_id LIKE '%7' THEN '' ELSE requested_at END", "reprocessing_reason": "CASE WHEN linked_decision_id LIKE '%3' THEN NULL ELSE reprocessing_reason END"}).add(review.request_checks).select(lambda d: {"linked_decision_id": "linked_decision_id", "request_errors": d.join("request_errors", " ")}),
+    "manifest_notes": lambda: _batch().select(lambda d: {"review_notes": d.join("review_notes", " | ")}),
+    "handoff_report_text": lambda: notes.report_lines(_batch(), outcomes()),
+    "manifest_text": lambda: notes.bundle_lines(_batch(), outcomes().add(B.references)),
     "delivery_event": lambda: outcomes().agg((), B.delivery_event),
     "bundle_checks": lambda: outcomes().add(B.references).add(lambda d: {"broken": "CASE WHEN ord % 101 = 0 THEN NULL ELSE export_artifact_path END"}).select(lambda d: {k: k for k in ("list_name", "outcome_category", "routing_label")} | {"export_artifact_path": "broken"}).agg((), B.bundle_checks),
     "bundle_duplicates": lambda: B.duplicates(outcomes().select(lambda d: {"document_id": "concat('d', CAST(ord % 5000 AS STRING))"}), "document_id"),
@@ -323,6 +412,10 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "lineage_summary_sql": lambda: _lineage().agg((), lambda d: {"total_documents": "count(*)", "silver_count": d.count_if("silver_exists"), "gold_export_ready_count": d.count_if("coalesce(export_ready, false)"), "quarantine_count": d.count_if("coalesce(routing_label, '') = 'quarantine'"), "full_lineage_count": d.count_if("full_lineage = 'complete'")}),
     "governance_flags": lambda: _governance().select(lambda d: {"flags": d.join("flags", ",")}),
     "governance_health": lambda: _governance().select(lambda d: {k: k for k in ("overall_health", "export_rate", "quarantine_share", "queue_pressure")}),
+    "governance_notes": lambda: _governed().select(lambda d: {"governance_notes": d.join("governance_notes", " | ")}),
+    "bootstrap_bronze": lambda: _files().select(lambda d: {k: k for k in ("document_id", "source_path", "file_name", "file_size_bytes", "file_hash", "parse_status", "pipeline_run_id", "schema_version")}),
+    "bootstrap_silver": lambda: bootstrap.silver_projection(_files()).select(lambda d: {"document_id": "document_id", "file_name": "file_name", "extraction_prompt_id": "extraction_prompt_id", **{n: d.json_text("extraction_result", n) for n in bootstrap.FIELDS}}),
+    "bootstrap_gold": lambda: bootstrap.gold_projection(bootstrap.silver_projection(_files())).select(lambda d: {k: k for k in ("document_id", "document_type_label", "routing_label", "classification_confidence", "export_ready", "pipeline_run_id", "schema_version")}),
     "routing_distinct": lambda: outcomes().agg(("routing_label",), lambda d: {"n": "count(*)"}).select(lambda d: {"routing_label": "routing_label"}),
     "metric_drift": _run_metrics,
     "orphan_flags": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"layer": "'gold'", "issue": "'orphaned_gold'", "record_id": "gold_record_id"}).union(E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"layer": "'silver'", "issue": "'orphaned_silver'", "record_id": "extraction_id"})),

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str, str], str] = {}
 _sessions: dict[str, SparkSession] = {}
 
 
@@ -25,15 +25,22 @@ def folder(spark: SparkSession) -> str:
     return own
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input's tables: a layer of another state isn't used again."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*.parquet")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return repr(sorted((s.getPath().getName(), files.getContentSummary(s.getPath()).getLength(), s.getModificationTime()) for s in files.globStatus(place) or []))
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
-    path = _stored.get((spark.sparkContext.applicationId, sf_dir, name))
+    path = _stored.get((spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir)))
     return None if path is None else spark.read.parquet(path)
 
 
 def store(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
     """Write a layer and read it back: regular expressions run once, and later filters work on plain columns."""
     spark = df.sparkSession
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     path = f"{folder(spark)}/brasswork-layer-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stored[key], _sessions[key[0]] = path, spark
@@ -42,7 +49,7 @@ def store(df: DataFrame, sf_dir: str, name: str) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
-    for (app, _, _), path in _stored.items():
+    for (app, *_), path in _stored.items():
         try:
             context = _sessions[app].sparkContext
             place = context._jvm.org.apache.hadoop.fs.Path(path)

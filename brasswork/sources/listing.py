@@ -1,0 +1,23 @@
+"""Files that Spark's readers pass over: they leave empty ones out without a word."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import SparkSession
+
+_EMPTY = re.compile(r"\{path=([^\n]*?); isDirectory=false; length=0; .*?modification_time=(\d+)")
+
+
+def empty_files(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[str, int]]:
+    """Name and time (milliseconds) of the empty files of a folder (not of folders inside it), or of a file itself.
+
+    One listing, given to the driver as one text; only the empty files are kept. Hidden names (. or _ first) aren't files.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    shown = spark.sparkContext._jvm.org.apache.commons.lang3.ArrayUtils.toString(store.listStatus(place))
+    found = [(name, int(time)) for name, time in _EMPTY.findall(shown)]
+    return sorted((n, t) for n, t in found if n.endswith(suffix) and n.rsplit("/", 1)[-1][0] not in "._")

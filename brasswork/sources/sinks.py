@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..functions import vocab as V
+
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
     """Append records to a layer's table."""
@@ -85,6 +87,16 @@ def load_artifact(text: str, required: tuple[str, ...]) -> dict:
     return found
 
 
+def reload(text: str, kind: str) -> dict:
+    """A stored artifact of a kind; its keys must be there, and a delivery event's status and version be known ones."""
+    found = load_artifact(text, V.ARTIFACT_KEYS[kind])
+    closed = {"status": V.DELIVERY_STATUSES, "schema_version": (V.SCHEMA_VERSION_DELIVERY,)} if kind == "delivery_event" else {}
+    wrong = [f"{k}={found[k]!r}" for k, known in closed.items() if found[k] not in known]
+    if wrong:
+        raise ValueError(f"unknown values: {', '.join(wrong)}")
+    return found
+
+
 def share_manifest(share: str, recipient: str, tables: list[str], gold: str, events: str, provisioned: bool = False) -> tuple[str, str]:
     """File name and JSON text of a share's preparation manifest."""
     found = {
