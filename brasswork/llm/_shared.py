@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: dict[str, str] = {}
@@ -105,17 +107,37 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def frugal(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run`, which gives freed memory back to the system at its end: workers are used again by other tasks."""
 
     @functools.wraps(run)
-    def frugally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def frugally(batches: Iterator) -> Iterator:
         yield from run(batches)
         release()
 
     return frugally
 
 
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """A batch as pandas, whose long columns with nulls are of pandas' own Int64: as floats they would lose bits."""
+    out = batch.to_pandas()
+    for name, column in zip(batch.schema.names, batch.columns):
+        if column.null_count and pa.types.is_int64(column.type):
+            out[name] = column.to_pandas(types_mapper=lambda _: pd.Int64Dtype())
+    return out
+
+
+def in_pandas(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """`mapInPandas` that keeps all 64 bits of a long beside nulls, in what `run` gets and in what it gives."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(_frame(b) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+    return df.mapInArrow(frugal(exactly), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, sha
     _shared.ship(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
     dealt = kept.repartitionByRange(shards, "doc_id") if shards else kept.repartitionByRange("doc_id")
-    manifest = _shared.written(dealt.sortWithinPartitions("doc_id", "text").mapInPandas(write, MANIFEST), "manifest")
+    manifest = _shared.written(_shared.in_pandas(dealt.sortWithinPartitions("doc_id", "text"), write, MANIFEST), "manifest")
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one short row per shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -163,14 +163,15 @@ def read_documents(manifest: DataFrame, length: int = LENGTH, batch: int = BATCH
                 with store.open_input_file(path) as f:
                     index = pa.ipc.open_file(f)
                     for k in range(index.num_record_batches):
-                        part = index.get_batch(k).to_pandas()
-                        sums = [zlib.crc32(shard.span(s, n).astype("<u4").tobytes()) for s, n in zip(part["start"], part["n_tokens"])]
-                        yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "start": part["start"] + int(base), "n_tokens": part["n_tokens"], "ids_crc32": sums})
+                        part = index.get_batch(k)
+                        ids, starts, sizes = (part.column(c).to_pandas(types_mapper=lambda _: pd.Int64Dtype()) for c in ("doc_id", "start", "n_tokens"))
+                        sums = [zlib.crc32(shard.span(s, n).astype("<u4").tobytes()) for s, n in zip(starts, sizes)]
+                        yield pd.DataFrame({"doc_id": ids, "start": starts + int(base), "n_tokens": sizes, "ids_crc32": sums})
                 shard.close()
 
     _shared.ship(manifest.sparkSession)
     spread = manifest.select("uri", "base").repartition(max(1, manifest.count()), "uri")  # a number: small rows stay spread
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _shared.in_pandas(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_arrowfile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,16 +141,22 @@ def windows(turns: DataFrame, tokenizer: str | None = None, budget: int = BUDGET
 
     _shared.ship(turns.sparkSession)
     kept = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _shared.text_or_empty("role").alias("role"), _shared.text_or_empty().alias("text"))
-    return kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, WINDOW)
+    return _shared.in_pandas(kept.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, WINDOW)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["conv_id"] = out["conv_id"].astype("Int64")
+    out = _table(rows, names)
     out["loss"] = [[{"start": a, "end": e} for a, e in x] for x in out["loss"]]
     return out
 
 
+def _table(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows that begin with a conv_id, or null, as pandas: the ids apart, which floats would round."""
+    out = pd.DataFrame([r[1:] for r in rows], columns=names[1:])
+    out.insert(0, names[0], pd.array([r[0] for r in rows], dtype="Int64"))
+    return out
+
+
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE) + "\n", re.S)
 
 DIGEST = "conv_id long, n_turns int, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -180,11 +186,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[4].update(said.encode("utf-8", "surrogatepass"))
                 state[5] += len(text)
             if rows:
-                yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+                yield _table(rows, names)
         if started:
-            yield pd.DataFrame([_digest(state)], columns=names).astype({"conv_id": "Int64"})
+            yield _table([_digest(state)], names)
 
-    return formatted.select("conv_id", "window_no", "first_new", "text", "loss").mapInPandas(run, DIGEST)
+    return _shared.in_pandas(formatted.select("conv_id", "window_no", "first_new", "text", "loss"), run, DIGEST)
 
 
 def _digest(state: list) -> tuple:

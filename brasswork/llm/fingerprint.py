@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None, width: int = SHINGLE
         for b in batches:
             yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=[zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in b["text"]])
 
-    rows = rows.mapInPandas(_shared.frugal(squeezed), "part int, kind int, doc_id long, mark long, text binary").withColumn("component_id", F.lit(None).cast("long"))
+    rows = _shared.in_pandas(rows, squeezed, "part int, kind int, doc_id long, mark long, text binary").withColumn("component_id", F.lit(None).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, parts: int | None = None, width: int = SHINGLE
                     size += len(text)
 
     in_order = rows.unionByName(told).repartition(parts, "part").sortWithinPartitions("part", F.col("kind") == 3, "doc_id", "kind", "mark")
-    return in_order.mapInPandas(_shared.frugal(run), RESULT)
+    return _shared.in_pandas(in_order, run, RESULT)
 
 
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS
                 dealt = dict(zip(at.tolist(), bands(signatures([texts[i] for i in at], width, n))))
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "doc_id": part["doc_id"].array,
                         "mark": part["mark"].to_numpy(),
                         "n": [len(s) for s in own],
                         "nid": nids,
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_shared.text_or_empty()).alias("mark"), _shared.text_or_empty().alias("text"))
     before = len(_shared.made())
-    signed = kept.mapInPandas(_shared.frugal(sign), "doc_id long, mark long, n int, nid long, bands array<long>, bits array<long>")
+    signed = _shared.in_pandas(kept, sign, "doc_id long, mark long, n int, nid long, bands array<long>, bits array<long>")
     signed = _shared.written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes, full = _links.heads(signed, "bands")
     postings = full.select(F.explode("bands").alias("token"), "nid", "n", F.col("n").alias("r"))

@@ -122,11 +122,11 @@ def _linked(docs: DataFrame, width: int, percent: int, marked: bool = False) ->
                 made["second"] = [_prefix(s, classes, SEEDS[1], percent).astype(np.int32) if h else None for s, h in zip(sets, heads)]
                 made["third"] = [_prefix(s, None, SEEDS[2], percent).astype(np.int32) if h else None for s, h in zip(sets, heads)]
                 made["bits"] = [_links.bitmap(s) if h else None for s, h in zip(sets, heads)]
-                own = {"doc_id": part["doc_id"].astype("Int64").to_numpy()} | ({"mark": part["mark"].to_numpy()} if marked else {})
+                own = {"doc_id": part["doc_id"].array} | ({"mark": part["mark"].to_numpy()} if marked else {})
                 yield pd.DataFrame(own | made)
 
     schema = f"doc_id long, {'mark long, ' if marked else ''}n int, nid long, first array<long>, second array<int>, third array<int>, bits array<long>"
-    signed = _shared.written(kept.mapInPandas(_shared.frugal(prefixes), schema).withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = _shared.written(_shared.in_pandas(kept, prefixes, schema).withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes, full = _links.heads(signed, "first")
     postings = full.select("nid", "n", F.posexplode("first").alias("pos", "token")).select("token", "nid", "n", (F.col("n") - F.col("pos")).cast("int").alias("r"))
     labels = _links.linked(kept, nodes, full, postings, width, percent, ("second", "third"))

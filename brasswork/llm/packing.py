@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            rows = []
+            rows, owners = [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = np.frombuffer(enc.encode(text), dtype=enc.dtype)
                 ids = np.append(ids.astype("<u4"), np.array([end_id], dtype="<u4"))
@@ -49,14 +49,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int
                     cls = -(-length // grain)
                     rank = seen.get(cls, 0)
                     seen[cls] = rank + 1
-                    rows.append((doc_id, start, length, zlib.crc32(own), len(ids), cls, task, rank, own if with_ids else None))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    owners.append(doc_id)
+                    rows.append((start, length, zlib.crc32(own), len(ids), cls, task, rank, own if with_ids else None))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")][1:])
+            yield out.assign(doc_id=pd.array(owners, dtype="Int64"))
 
     _shared.ship(docs.sparkSession)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _shared.text_or_empty().alias("text"))
-    return kept.mapInPandas(_shared.frugal(cut), PIECES)
+    return _shared.in_pandas(kept, cut, PIECES)
 
 
 def _best_pattern(value: np.ndarray, weights: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -204,7 +204,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
             yield batch.drop(columns=["cls", "task", "rank", "first"]).assign(sequence_id=sequence, slot=slot)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, slot long"
-    placed = _shared.with_small(cut, first, ["task", "cls"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "cls", "task", "rank", "first").mapInPandas(place, schema)
+    ranked = _shared.with_small(cut, first, ["task", "cls"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "cls", "task", "rank", "first")
+    placed = _shared.in_pandas(ranked, place, schema)
     run = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(run), F.lit(0)).cast("long"))
 

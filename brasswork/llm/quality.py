@@ -171,7 +171,7 @@ def traced(docs: DataFrame) -> DataFrame:
 
     _shared.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), _shared.text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
-    return rows.mapInPandas(_shared.frugal(run), "doc_id long, mark long, traits array<float>, meta array<float>")
+    return _shared.in_pandas(rows, run, "doc_id long, mark long, traits array<float>, meta array<float>")
 
 
 def _mark():
@@ -266,7 +266,7 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
                 t, m, s = views.score(_matrix(b))
                 yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "mark": b["mark"], "text_score": t, "meta_score": m, "score": s, "keep": s >= cut})
 
-    return rows.mapInPandas(_shared.frugal(run), "doc_id long, mark long, text_score double, meta_score double, score double, keep boolean")
+    return _shared.in_pandas(rows, run, "doc_id long, mark long, text_score double, meta_score double, score double, keep boolean")
 
 
 def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
