@@ -129,6 +129,29 @@ class Spark(Dialect):
     def fixed(self, x: str, digits: int = 2) -> str:
         return f"format_string('%.{digits}f', {x})"
 
+    def parsed(self, j: str) -> str:
+        """A JSON text as a value, parsed once; null if it isn't JSON. `part`, `type_of`, `said` and `items` look into it."""
+        return f"try_parse_json({j})"
+
+    def part(self, v: str, key: str) -> str:
+        return f"variant_get({v}, '$.{key}')"
+
+    def type_of(self, v: str, key: str) -> str:
+        """The engine's own name for a member's type, which `kind_of` explains; null where the key is missing."""
+        return f"schema_of_variant(variant_get({v}, '$.{key}'))"
+
+    def kind_of(self, t: str) -> str:
+        """string, null, object, array, boolean, number of a type name; null of null."""
+        return self.ladder((f"{t} = 'STRING'", "'string'"), (f"{t} = 'VOID'", "'null'"), (f"{t} LIKE 'OBJECT%'", "'object'"), (f"{t} LIKE 'ARRAY%'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
+
+    def said(self, v: str, key: str) -> str:
+        """A member as text."""
+        return f"try_variant_get({v}, '$.{key}', 'string')"
+
+    def items(self, v: str, key: str) -> str:
+        """A list of texts; null if the member isn't a list, with nulls for members that aren't texts."""
+        return f"transform(try_variant_get({v}, '$.{key}', 'array<variant>'), x -> CASE WHEN schema_of_variant(x) = 'STRING' THEN cast(x AS string) END)"
+
     def json_has(self, j: str, key: str) -> str:
         return f"coalesce(array_contains(json_object_keys({j}), '{key}'), false)"
 
@@ -244,6 +267,24 @@ class Duck(Dialect):
     def fixed(self, x: str, digits: int = 2) -> str:
         return f"printf('%.{digits}f', {x})"
 
+    def parsed(self, j: str) -> str:
+        return f"CASE WHEN json_valid({j}) THEN CAST({j} AS JSON) END"
+
+    def part(self, v: str, key: str) -> str:
+        return f"json_extract({v}, '$.{key}')"
+
+    def type_of(self, v: str, key: str) -> str:
+        return f"json_type({v}, '$.{key}')"
+
+    def kind_of(self, t: str) -> str:
+        return self.ladder((f"{t} = 'VARCHAR'", "'string'"), (f"{t} = 'NULL'", "'null'"), (f"{t} = 'OBJECT'", "'object'"), (f"{t} = 'ARRAY'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
+
+    def said(self, v: str, key: str) -> str:
+        return f"json_extract_string({v}, '$.{key}')"
+
+    def items(self, v: str, key: str) -> str:
+        return f"CASE WHEN json_type({v}, '$.{key}') = 'ARRAY' THEN list_transform(CAST(json_extract({v}, '$.{key}') AS JSON[]), lambda x: CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') END) END"
+
     def json_has(self, j: str, key: str) -> str:
         return f"coalesce(json_exists({j}, '$.{key}'), false)"
 

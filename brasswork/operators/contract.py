@@ -12,46 +12,51 @@ QUARANTINED = "'routing_label' is 'quarantine' — quarantine records must not b
 DOMAIN_NAMES = {V.LETTER: "FDA warning letter", V.ADVISORY: "CISA advisory", V.INCIDENT: "incident report"}
 
 
+#: Members of a payload whose type is looked at, and of its two parts.
+TOP = ("extracted_fields", "provenance", "parsed_text_excerpt", "document_id", "source_file", "document_type", "routing_label")
+FIELDS = tuple(dict.fromkeys(n for k in V.DOMAINS for n in V.REQUIRED[k]))
+
+
+def _kind(d: Dialect, name: str) -> str:
+    return f"coalesce({d.kind_of(f't_{name}')}, '')"
+
+
 def _blank(d: Dialect, key: str) -> str:
-    return f"(coalesce({d.json_kind('export_payload', key)}, '') <> 'string' OR {d.strip(d.json_text('export_payload', key))} = '')"
+    return f"({_kind(d, key)} <> 'string' OR {d.strip(f's_{key}')} = '')"
 
 
 def _top(d: Dialect) -> str:
-    kind, route = d.json_text("export_payload", "document_type"), d.json_text("export_payload", "routing_label")
     cases = [(_blank(d, k), d.text(f"'{k}' must be a non-empty string")) for k in ("document_id", "source_file")]
-    cases += [(_blank(d, "document_type"), d.text("'document_type' must be a non-empty string")), (f"{kind} = 'unknown'", d.text(UNKNOWN_TYPE))]
-    cases += [(_blank(d, "routing_label"), d.text("'routing_label' must be a non-empty string")), (f"{route} = 'quarantine'", d.text(QUARANTINED))]
+    cases += [(_blank(d, "document_type"), d.text("'document_type' must be a non-empty string")), ("s_document_type = 'unknown'", d.text(UNKNOWN_TYPE))]
+    cases += [(_blank(d, "routing_label"), d.text("'routing_label' must be a non-empty string")), ("s_routing_label = 'quarantine'", d.text(QUARANTINED))]
     return d.compact(*cases)
 
 
 def _domain(d: Dialect, domain: str) -> str:
-    """Errors of a domain's required fields within payload_fields."""
+    """Errors of a domain's required fields."""
     cases = []
     for name in V.REQUIRED[domain]:
-        kind = f"coalesce({d.json_kind('payload_fields', name)}, '')"
-        value = d.json_text("payload_fields", name)
-        cases.append((f"NOT {d.json_has('payload_fields', name)}", d.text(f"Missing required {DOMAIN_NAMES[domain]} extracted_field: '{name}'")))
+        kind = _kind(d, name)
+        cases.append((f"t_{name} IS NULL", d.text(f"Missing required {DOMAIN_NAMES[domain]} extracted_field: '{name}'")))
         cases.append((f"{kind} = 'null'", d.text(f"Required {DOMAIN_NAMES[domain]} extracted_field '{name}' is null")))
         here = f"{kind} NOT IN ('', 'null')"
         if name == "violation_type":
-            cases.append((f"{here} AND ({kind} <> 'array' OR coalesce({d.json_size('payload_fields', name)}, 0) = 0)", d.text("'violation_type' must be a non-empty array of violation category strings")))
+            cases.append((f"{here} AND ({kind} <> 'array' OR n_violation_type = 0)", d.text("'violation_type' must be a non-empty array of violation category strings")))
         elif name in V.BOOLEANS:
             cases.append((f"{here} AND {kind} <> 'boolean'", d.text(f"'{name}' must be a boolean")))
-        elif name == "severity_level":
-            cases.append((f"{here} AND NOT {d.isin(value, V.SEVERITIES)}", f"concat({d.text(f"'severity_level' must be one of {sorted(V.SEVERITIES)}; got '")}, {value}, {d.text(chr(39))})"))
-        elif name == "status":
-            cases.append((f"{here} AND NOT {d.isin(value, V.INCIDENT_STATUSES)}", f"concat({d.text(f"'status' must be one of {sorted(V.INCIDENT_STATUSES)}; got '")}, {value}, {d.text(chr(39))})"))
+        elif name in ("severity_level", "status"):
+            known = V.SEVERITIES if name == "severity_level" else V.INCIDENT_STATUSES
+            cases.append((f"{here} AND NOT {d.isin(f's_{name}', known)}", f"concat({d.text(f"'{name}' must be one of {sorted(known)}; got '")}, s_{name}, {d.text(chr(39))})"))
     return d.compact(*cases)
 
 
 def _provenance(d: Dialect) -> str:
     cases = []
     for key in V.PROVENANCE_KEYS:
-        cases.append((f"NOT {d.json_has('payload_provenance', key)}", d.text(f"Missing required provenance field: '{key}'")))
+        cases.append((f"t_{key} IS NULL", d.text(f"Missing required provenance field: '{key}'")))
         if key != "classification_confidence":
-            cases.append((f"coalesce({d.json_kind('payload_provenance', key)}, '') = 'null'", d.text(f"Required provenance field '{key}' is null. All provenance fields except classification_confidence must be non-null.")))
-    kind = f"coalesce({d.json_kind('payload_provenance', 'classification_confidence')}, '')"
-    value = d.json_text("payload_provenance", "classification_confidence")
+            cases.append((f"{_kind(d, key)} = 'null'", d.text(f"Required provenance field '{key}' is null. All provenance fields except classification_confidence must be non-null.")))
+    kind, value = _kind(d, "classification_confidence"), "s_classification_confidence"
     number = f"CASE WHEN {kind} = 'boolean' THEN CASE WHEN {value} = 'true' THEN 1e0 ELSE 0e0 END ELSE {d.number(value, 'double')} END"
     cases.append((f"{kind} IN ('string', 'array', 'object')", d.text("provenance.classification_confidence must be a number (0.0–1.0) or null")))
     cases.append((f"{kind} IN ('number', 'boolean') AND NOT ({number} BETWEEN 0 AND 1)", f"concat('provenance.classification_confidence ', {value}, ' out of range [0.0, 1.0]')"))
@@ -59,36 +64,39 @@ def _provenance(d: Dialect) -> str:
 
 
 def validated(relation):
-    """Adds contract_found, the ordered errors of export_payload (JSON text) whether or not it is to be exported."""
+    """Adds contract_found, the ordered errors of export_payload (JSON text) whether or not it is to be exported.
+
+    The payload is parsed once, into a column; its members' types and texts are columns too, of which the rules are made.
+    """
+
+    def members(d: Dialect) -> dict[str, str]:
+        v = "payload_value"
+        types = {f"t_{k}": d.type_of(v, k) for k in TOP}
+        return types | {f"s_{k}": d.said(v, k) for k in ("document_id", "source_file", "document_type", "routing_label")} | {"payload_fields": d.part(v, "extracted_fields"), "payload_provenance": d.part(v, "provenance")}
 
     def parts(d: Dialect) -> dict[str, str]:
-        whole = "export_payload"
-        missing = d.compact(*[(f"NOT {d.json_has(whole, k)}", d.text(f"Missing required field: '{k}'")) for k in V.PAYLOAD_KEYS])
-        fields = f"coalesce({d.json_kind(whole, 'extracted_fields')}, '')"
-        provenance = f"coalesce({d.json_kind(whole, 'provenance')}, '')"
-        return {
-            "payload_missing": missing,
-            "payload_type": d.json_text(whole, "document_type"),
-            "payload_fields": f"CASE WHEN {fields} = 'object' THEN {d.json_part(whole, 'extracted_fields')} END",
-            "payload_provenance": f"CASE WHEN {provenance} = 'object' THEN {d.json_part(whole, 'provenance')} END",
-            "payload_excerpt": f"coalesce({d.json_kind(whole, 'parsed_text_excerpt')}, '')",
-        }
+        f, p = "payload_fields", "payload_provenance"
+        types = {f"t_{k}": d.type_of(f, k) for k in FIELDS} | {f"t_{k}": d.type_of(p, k) for k in V.PROVENANCE_KEYS}
+        texts = {f"s_{k}": d.said(f, k) for k in ("severity_level", "status")} | {"s_classification_confidence": d.said(p, "classification_confidence")}
+        missing = d.compact(*[(f"t_{k} IS NULL", d.text(f"Missing required field: '{k}'")) for k in V.PAYLOAD_KEYS])
+        return types | texts | {"n_violation_type": f"coalesce({d.size(d.items(f, 'violation_type'))}, 0)", "payload_missing": missing}
 
     def checks(d: Dialect) -> dict[str, str]:
-        found = {f"errors_{i}": f"CASE WHEN payload_fields IS NOT NULL AND payload_type = '{k}' THEN {_domain(d, k)} ELSE {d.empty()} END" for i, k in enumerate(V.DOMAINS)}
+        held = f"{_kind(d, 'extracted_fields')} = 'object'"
+        found = {f"errors_{i}": f"CASE WHEN {held} AND s_document_type = '{k}' THEN {_domain(d, k)} ELSE {d.empty()} END" for i, k in enumerate(V.DOMAINS)}
         return {
             "errors_top": _top(d),
-            "errors_fields": d.compact(("payload_fields IS NULL", d.text("'extracted_fields' must be an object"))),
+            "errors_fields": d.compact((f"NOT {held}", d.text("'extracted_fields' must be an object"))),
             **found,
-            "errors_excerpt": d.compact(("payload_excerpt <> 'string'", d.text("'parsed_text_excerpt' must be a string"))),
-            "errors_provenance": f"CASE WHEN payload_provenance IS NULL THEN {d.compact(('true', d.text(f"'provenance' must be an object")))} ELSE {_provenance(d)} END",
+            "errors_excerpt": d.compact((f"{_kind(d, 'parsed_text_excerpt')} <> 'string'", d.text("'parsed_text_excerpt' must be a string"))),
+            "errors_provenance": f"CASE WHEN {_kind(d, 'provenance')} <> 'object' THEN {d.compact(('true', d.text("'provenance' must be an object")))} ELSE {_provenance(d)} END",
         }
 
     def whole(d: Dialect) -> dict[str, str]:
         order = ["errors_top", "errors_fields", *[f"errors_{i}" for i in range(len(V.DOMAINS))], "errors_excerpt", "errors_provenance"]
         return {"contract_found": f"CASE WHEN {d.size('payload_missing')} > 0 THEN payload_missing ELSE {d.plus(*order)} END"}
 
-    return relation.add(parts).add(checks).add(whole)
+    return relation.add(lambda d: {"payload_value": d.parsed("export_payload")}).add(members).add(parts).add(checks).add(whole)
 
 
 def gated(relation):
