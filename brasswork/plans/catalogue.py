@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
 from ..operators import batch as B
-from ..operators import bronze, notes, review, silver
+from ..operators import bronze, notes, review, silver, typed
 from ..operators import evaluate as E
 from ..operators.contract import gated, quarantine_errors, validated
 from ..operators.extract import iso_date
@@ -97,6 +97,25 @@ def payloads() -> Relation:
     )
 
 
+def answers(domain: str) -> Relation:
+    """Raw answers of an extractor as JSON texts, from orders: members left out, nulls, wrong types, texts that aren't JSON."""
+    o = "o_orderkey"
+
+    def member(name: str, k: int) -> str:
+        good = "'[\"a\",\"b\"]'" if name in V.LISTS else f"CASE {o} % 6 WHEN 0 THEN 'false' WHEN 1 THEN '1' WHEN 2 THEN '\"Yes\"' ELSE 'true' END" if name in V.BOOLEANS else f"CASE {o} % 4 WHEN 0 THEN '15' WHEN 1 THEN '15.0' WHEN 2 THEN '\" 7 \"' ELSE 'true' END" if name in V.NUMBERS else f"concat('\"', o_orderpriority, ' {k}\"')"
+        wrong = f"CASE {o} % 5 WHEN 0 THEN '5.5' WHEN 1 THEN '\"maybe\"' WHEN 2 THEN '{{\"x\":[1]}}' WHEN 3 THEN '[\"a\",null]' ELSE '[1]' END"
+        return f"CASE WHEN ({o} + {k}) % 13 = 0 THEN '' WHEN ({o} + {k}) % 17 = 0 THEN '\"{name}\":null,' WHEN ({o} + {k}) % 43 = 0 THEN concat('\"{name}\":', {wrong}, ',') ELSE concat('\"{name}\":', {good}, ',') END"
+
+    whole = ", ".join(member(n, k) for k, n in enumerate(typed.names_of(domain)))
+    text = f"CASE WHEN {o} % 53 = 0 THEN NULL WHEN {o} % 59 = 0 THEN 'no JSON {{' WHEN {o} % 61 = 0 THEN '[1]' ELSE concat('{{', {whole}, '\"more\":1}}') END"
+    return Relation("orders").select(lambda d: {"document_id": f"concat('{domain}-', CAST({o} AS STRING))", "raw": text})
+
+
+def _typed(domain: str) -> Relation:
+    kept = {"document_id": "document_id", "has_fields": "has_fields", "field_coverage_pct": "coverage_or_none", "validation_status": "status_or_invalid"}
+    return typed.built(answers(domain), domain).select(lambda d: kept | {"errors": d.join("errors_or_one", " | ")} | {n: d.join(n, "|") if n in V.LISTS else f"CAST({n} AS INT)" if n in V.NUMBERS else n for n in typed.names_of(domain)})
+
+
 def trace() -> tuple[Relation, Relation, Relation]:
     """Bronze, Silver and Gold of events, with broken links by the event's number."""
     base = Relation("events").where(lambda d: "event_type = 'error'")
@@ -379,6 +398,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "gold_observations": lambda: _observed().select(lambda d: {"observations": d.join("observations", " | ")}),
     "gold_flags": lambda: E.flagged(outcomes(), E.gold_flags).select(_texts(("gold_record_id", "document_type_label", "review_reasons"))),
     # Contract and batch
+    **{f"{name}_typed": (lambda domain=domain: _typed(domain)) for name, domain in (("fda", V.LETTER), ("cisa", V.ADVISORY), ("incident", V.INCIDENT))},
     "contract_errors": lambda: validated(payloads()).select(lambda d: {"document_id": "document_id", "errors": d.join("contract_found", "; ")}),
     "export_gate": lambda: gated(payloads()).select(lambda d: {"document_id": "document_id", "was_ready": "was_ready", "exported": "exported", "n_errors": d.size("contract_errors")}),
     "quarantine_shape": lambda: payloads().add(lambda d: {"export_path": "CASE WHEN ord % 4 = 0 THEN 'a/b.json' END"}).add(quarantine_errors).select(lambda d: {"document_id": "document_id", "errors": d.join("quarantine_errors", "; ")}),
