@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
-from ..sources.listing import empty_files
+from ..sources.files import listing
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """path, modificationTime, length and content of the files of a folder (not of folders inside it), empty ones too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    empty = empty_files(spark, path)
-    if not empty:
-        return files
-    rows = spark.createDataFrame([(n, t, 0, b"") for n, t in empty], "path string, ms long, length long, content binary")
-    return files.unionByName(rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content"))
+    empty = listing(spark, path).where("length = 0")  # Spark's readers leave these out
+    return files.unionByName(empty.withColumn("content", F.lit(b"")))
 
 
 def _extension(path: Column) -> Column:

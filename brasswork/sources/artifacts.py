@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .listing import empty_files
+from .files import listing
 
 BAD = "_bad_json"
 
@@ -16,9 +16,8 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not path.endswith(".json"):
         reader = reader.option("pathGlobFilter", "*.json")
     files = reader.text(path, wholetext=True).select("value", F.try_parse_json("value").isNull().alias(BAD), F.input_file_name().alias("source_file"))
-    empty = empty_files(spark, path, ".json")
-    if empty:  # no JSON either
-        files = files.unionByName(spark.createDataFrame([("", True, n) for n, _ in empty], files.schema))
+    empty = listing(spark, path, ".json").where("length = 0")  # Spark's readers leave these out; they are no JSON either
+    files = files.unionByName(empty.select(F.lit("").alias("value"), F.lit(True).alias(BAD), F.col("path").alias("source_file")))
     return files.withColumn("v", F.from_json("value", schema)).select("v.*", "source_file", BAD)
 
 

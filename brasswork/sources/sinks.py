@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from . import files
 
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -24,18 +24,9 @@ def export_table(gold: DataFrame, path: str) -> None:
 
 
 def export_files(gold: DataFrame, base: str) -> None:
-    """Exactly one file per exported record: <base>/<routing_label>/<document_id>.json, through any store pyarrow knows."""
-
-    def write(rows: Iterator[Row]) -> None:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
-        for r in rows:
-            store.create_dir(f"{root}/{r['routing_label']}", recursive=True)
-            with store.open_output_stream(f"{root}/{r['routing_label']}/{r['document_id']}.json") as f:
-                f.write(r["export_payload"].encode())
-
-    gold.where("export_ready").select("routing_label", "document_id", "export_payload").foreachPartition(write)
+    """Exactly one file per exported record: <base>/<routing_label>/<document_id>.json, published when all are written."""
+    rows = gold.where("export_ready")
+    files.write(rows.select(F.concat("routing_label", F.lit("/"), "document_id", F.lit(".json")).alias("name"), F.col("export_payload").alias("content")), base)
 
 
 def safe_name(run_id: str, delivery: bool = False) -> str:
@@ -112,15 +103,5 @@ def share_manifest(share: str, recipient: str, tables: list[str], gold: str, eve
 def write_report(report: DataFrame, kind: str, run_id: str, folder: str) -> DataFrame:
     """Write a one-row report's JSON and text, a file each, into `folder`; gives (name, content) back."""
     pair = report_pair(report, kind, run_id)
-
-    def write(rows: Iterator[Row]) -> None:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        store.create_dir(root, recursive=True)
-        for r in rows:
-            with store.open_output_stream(f"{root}/{r['name']}") as f:
-                f.write(r["content"].encode())
-
-    pair.foreachPartition(write)
+    files.write(pair, folder)
     return pair
