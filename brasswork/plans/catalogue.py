@@ -16,7 +16,7 @@ from ..operators.extract import iso_date
 from ..operators.gold import graded, outcome, signals
 from ..operators.silver import extracted
 from ..sources import rendered as R
-from . import bootstrap
+from . import bootstrap, documents
 from .relation import Relation
 
 
@@ -451,6 +451,6 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "review_rates": lambda: outcomes().add(B.review).agg((), B.queue_counts).select(lambda d: {"review_queue_rate": "round(total_entries / CAST(nullif(total_records_reviewed, 0) AS DOUBLE), 4)", "entries": "total_entries"}),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()} | documents.QUERIES
 
-ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()}
+ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()} | documents.ORACLE_SQL
