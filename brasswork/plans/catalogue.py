@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
@@ -16,7 +17,8 @@ from ..operators.extract import iso_date
 from ..operators.gold import graded, outcome, signals
 from ..operators.silver import extracted
 from ..sources import rendered as R
-from . import bootstrap, documents
+from ..sources import sinks
+from . import bootstrap, documents, evaluation
 from .relation import Relation
 
 
@@ -436,7 +438,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "bootstrap_bronze": lambda: _files().select(lambda d: {k: k for k in ("document_id", "source_path", "file_name", "file_size_bytes", "file_hash", "parse_status", "pipeline_run_id", "schema_version")}),
     "bootstrap_silver": lambda: bootstrap.silver_projection(_files()).select(lambda d: {"document_id": "document_id", "file_name": "file_name", "extraction_prompt_id": "extraction_prompt_id", **{n: d.json_text("extraction_result", n) for n in bootstrap.FIELDS}}),
     "bootstrap_gold": lambda: bootstrap.gold_projection(bootstrap.silver_projection(_files())).select(lambda d: {k: k for k in ("document_id", "document_type_label", "routing_label", "classification_confidence", "export_ready", "pipeline_run_id", "schema_version")}),
-    "routing_distinct": lambda: outcomes().agg(("routing_label",), lambda d: {"n": "count(*)"}).select(lambda d: {"routing_label": "routing_label"}),
+    "routing_distinct": lambda: outcomes().where(lambda d: "export_ready").agg(("routing_label",), lambda d: {"n": "count(*)"}).select(lambda d: {"routing_label": "routing_label"}),
     "metric_drift": _run_metrics,
     "orphan_flags": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"layer": "'gold'", "issue": "'orphaned_gold'", "record_id": "gold_record_id"}).union(E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"layer": "'silver'", "issue": "'orphaned_silver'", "record_id": "extraction_id"})),
     "manifest_count_checks": lambda: _manifest().add(B.manifest_counts).select(lambda d: {"batch_id": "batch_id", "failed_checks": d.join("failed_checks", ",")}),
@@ -445,12 +447,42 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "delivery_checks": lambda: _deliveries().select(lambda d: {"key": "key", "failed": d.join("failed", ","), "passed": f"14 - {d.size('failed')}"}),
     "missing_paths": lambda: B.missing_paths(outcomes().add(B.references), outcomes().where(lambda d: "ord % 13 <> 0").add(B.references).select(lambda d: {"path": "gold_artifact_path"}).union(outcomes().where(lambda d: "ord % 11 <> 0").add(B.references).select(lambda d: {"path": "coalesce(export_artifact_path, '')"})).agg(("path",), lambda d: {"k": "count(*)"}).select(lambda d: {"path": "path"})),
     "latest_delivery_events": lambda: Relation("events").select(lambda d: {"delivery_event_id": "CAST(event_id AS STRING)", "generated_at": "ts", "event_id": "event_id"}).top("generated_at DESC, event_id DESC", 5).select(lambda d: {"delivery_event_id": "delivery_event_id"}),
-    "export_ready_sample": lambda: outcomes().where(lambda d: "export_ready").select(lambda d: {"document_id": "document_id", "routing_label": "routing_label"}).top("document_id", 10),
+    "export_ready_sample": lambda: _shared_gold().where(lambda d: f"export_ready AND schema_version = '{V.SCHEMA_VERSION_DELIVERY}'").select(lambda d: {k: k for k in ("document_id", "routing_label", "schema_version")}).top("document_id", 10),
     "metric_rows": lambda: all_gold().agg((), E.gold_metrics).select(lambda d: {"pairs": d.nonnull([f"concat('{k}=', {d.fixed(f'CAST({k} AS DOUBLE)', 4)})" for k in ("classification_success_rate", "quarantine_rate", "export_ready_rate", "mean_classification_confidence")])}).explode("pairs", "pair").select(lambda d: {"pair": "pair"}),
     "bronze_source_links": lambda: E.link_rate(trace()[0].select(lambda d: {"document_id": "document_id"}), Relation("events").where(lambda d: "event_type = 'error' AND event_id % 4 <> 0").select(lambda d: {"document_id": "CAST(event_id AS STRING)"}), "document_id", "bronze_to_source").select(lambda d: {"bronze_to_source_rate": "bronze_to_source_rate", "unlinked": "orphaned_bronze_count"}),
     "review_rates": lambda: outcomes().add(B.review).agg((), B.queue_counts).select(lambda d: {"review_queue_rate": "round(total_entries / CAST(nullif(total_records_reviewed, 0) AS DOUBLE), 4)", "entries": "total_entries"}),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()} | documents.QUERIES
+def _shared_gold() -> Relation:
+    """Gold rows as a share shows them, two thirds of them of batches that were delivered and carry the delivery's version."""
+    return outcomes().add(lambda d: {"schema_version": f"CASE WHEN ord % 3 = 0 THEN '{V.SCHEMA_VERSION}' ELSE '{V.SCHEMA_VERSION_DELIVERY}' END"})
 
-ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()} | documents.ORACLE_SQL
+
+def evaluation_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation run where Silver isn't there: Bronze and Gold are measured, Silver and lineage are null."""
+    result, _ = evaluation.run(spark, {"bronze": R.natural().frame(spark, sf_dir), "silver": None, "gold": outcomes().frame(spark, sf_dir)})
+    return result.select("layer", "present", "total_records", "flagged_record_count", F.array_join("threshold_warnings", "; ").alias("warnings"), F.array_join("observations", "; ").alias("observations"))
+
+
+def tracked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold's metrics as the tracker's rows."""
+    return sinks.metric_rows(evaluation.gold(outcomes()).frame(spark, sf_dir).select(*evaluation.SHOWN["gold"]), "gold", "run-1")
+
+
+def _evaluation_sql() -> str:
+    parts = []
+    for layer, table in (("bronze", R.natural()), ("gold", outcomes())):
+        one, flags = evaluation.measured(layer, table).sql(), evaluation.flagged(layer, table).sql()
+        parts.append(f"SELECT '{layer}' AS layer, true AS present, CAST(total_records AS BIGINT) AS total_records, (SELECT count(*) FROM ({flags})) AS flagged_record_count, array_to_string(threshold_warnings, '; ') AS warnings, array_to_string(observations, '; ') AS observations FROM ({one})")
+    parts += [f"SELECT '{layer}', false, NULL, NULL, NULL, NULL" for layer in ("silver", "traceability")]
+    return " UNION ALL ".join(parts)
+
+
+def _tracked_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT 'gold' AS experiment, 'run-1' AS run, '{k}' AS key, CAST({k} AS DOUBLE) AS value FROM m" for k in evaluation.SHOWN["gold"])
+    return f"WITH m AS ({evaluation.gold(outcomes()).sql()}) SELECT * FROM ({rows}) WHERE value IS NOT NULL"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()} | documents.QUERIES | {"evaluation_partial": evaluation_partial, "tracked_metrics": tracked_metrics}
+
+ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()} | documents.ORACLE_SQL | {"evaluation_partial": _evaluation_sql(), "tracked_metrics": _tracked_sql()}

@@ -49,24 +49,66 @@ def metric_rows(metrics: DataFrame, experiment: str, run_id: str) -> DataFrame:
     return metrics.select(F.lit(experiment).alias("experiment"), F.lit(run_id).alias("run"), pairs.alias("p")).select("experiment", "run", "p.key", "p.value").where("value is not null")
 
 
+def track(metrics: DataFrame, run_id: str, base: str) -> None:
+    """Append (layer, key, value) metrics of a run, a file for each metric: what the run has there already stays, and nulls aren't there."""
+    told = metrics.where("value is not null").select(F.concat("layer", F.lit(f"/{safe_name(run_id)}/"), "key", F.lit(".json")).alias("name"), F.to_json(F.struct(F.col("layer").alias("experiment"), F.lit(run_id).alias("run"), "key", "value")).alias("content"))
+    files.write(told, base, keep=True)
+
+
+def tracked(spark, base: str) -> DataFrame:
+    """(experiment, run, key, value) of all metrics that `track` wrote."""
+    return spark.read.schema("experiment string, run string, key string, value double").option("recursiveFileLookup", "true").json(base)
+
+
 def delivery_events_ddl(table: str) -> str:
     """Statement for the table of delivery events."""
     columns = ["delivery_event_id STRING NOT NULL", "pipeline_run_id STRING NOT NULL", "batch_id STRING NOT NULL", "delivery_mechanism STRING NOT NULL", "status STRING NOT NULL", "schema_version STRING NOT NULL", "generated_at TIMESTAMP NOT NULL", *[f"record_count_{k} BIGINT" for k in ("total", "exported", "quarantined", "contract_blocked", "skipped_not_export_ready")], "routing_labels ARRAY<STRING>", "share_name STRING", "shared_object_name STRING", "bundle_artifact_path STRING", "report_artifact_path STRING", "notes STRING"]
     return f"CREATE TABLE IF NOT EXISTS {table} (\n  " + ",\n  ".join(columns) + "\n) USING parquet"
 
 
-def share_statements(share: str, recipient: str, tables: list[str]) -> list[str]:
+def share_statements(share: str, recipient: str, gold: str, events: str, shared_as: str, version: str = V.SCHEMA_VERSION_DELIVERY) -> list[str]:
     """Statements that would set up a share; text only, never run here."""
-    return [f"CREATE SHARE IF NOT EXISTS {share}", *[f"ALTER SHARE {share} ADD TABLE {t}" for t in tables], f"CREATE RECIPIENT IF NOT EXISTS {recipient}", f"GRANT SELECT ON SHARE {share} TO RECIPIENT {recipient}"]
-
 
-def validation_statements(gold: str, events: str) -> dict[str, str]:
-    """Queries by which a receiver checks what was shared."""
-    return {
-        "ready_records": f"SELECT document_id, routing_label, schema_version FROM {gold} WHERE export_ready = true LIMIT 10",
-        "latest_events": f"SELECT * FROM {events} ORDER BY generated_at DESC LIMIT 5",
-        "routing_labels": f"SELECT DISTINCT routing_label FROM {gold}",
-    }
+    def text(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    return [
+        f"CREATE SHARE IF NOT EXISTS {share}\n  COMMENT {text(f'Gold table share. Schema version: {version}. Delivery mechanism: delta_sharing.')}",
+        f"ALTER SHARE {share}\n  ADD TABLE {gold}\n  AS {shared_as}\n  COMMENT {text(f'Gold-tier classified AI-ready assets. Export-ready records only. schema_version: {version}.')}",
+        f"ALTER SHARE {share}\n  ADD TABLE {events}\n  AS delivery_events\n  COMMENT {text('Per-batch delivery event log. One row per pipeline run.')}",
+        f"CREATE RECIPIENT IF NOT EXISTS {recipient}\n  COMMENT {text('Recipient of the share. Its activation link is delivered out-of-band.')}",
+        f"GRANT SELECT ON SHARE {share} TO RECIPIENT {recipient}",
+    ]
+
+
+def verification_statements(share: str) -> list[str]:
+    """Statements by which the sender confirms the share and its grants."""
+    return [f"SHOW ALL IN SHARE {share}", f"SHOW GRANTS ON SHARE {share}"]
+
+
+def validation_statements(share: str, shared_as: str, events: str, version: str = V.SCHEMA_VERSION_DELIVERY) -> list[dict[str, str]]:
+    """Queries by which a receiver checks what was shared: name, description, statement, what it should give."""
+    return [
+        {"name": "confirm_share_exists", "description": "Confirm the share exists in Unity Catalog.", "sql": f"SHOW ALL IN SHARE {share};", "expected": f"Table '{shared_as}' visible in share."},
+        {
+            "name": "query_export_ready_records",
+            "description": "Query the shared Gold table for export-ready records from a V2 batch.",
+            "sql": f"SELECT document_id, routing_label, schema_version FROM {share}.{shared_as} WHERE export_ready = true AND schema_version = '{version}' LIMIT 10;",
+            "expected": "Rows present with schema_version = 'v0.2.0'.",
+        },
+        {
+            "name": "query_delivery_events",
+            "description": "Confirm at least one delivery event row is present.",
+            "sql": f"SELECT delivery_event_id, batch_id, status, exported_record_count FROM {events} ORDER BY generated_at DESC LIMIT 5;",
+            "expected": "Rows present with status = 'prepared'.",
+        },
+        {
+            "name": "verify_routing_label_transparency",
+            "description": "Confirm routing labels are visible in the shared table.",
+            "sql": f"SELECT DISTINCT routing_label FROM {share}.{shared_as} WHERE export_ready = true;",
+            "expected": "At least 'regulatory_review' visible (V1 FDA domain).",
+        },
+    ]
 
 
 def load_artifact(text: str, required: tuple[str, ...]) -> dict:
@@ -88,14 +130,18 @@ def reload(text: str, kind: str) -> dict:
     return found
 
 
-def share_manifest(share: str, recipient: str, tables: list[str], gold: str, events: str, provisioned: bool = False) -> tuple[str, str]:
+def share_manifest(share: str, recipient: str, gold: str, events: str, shared_as: str, provisioned: bool = False) -> tuple[str, str]:
     """File name and JSON text of a share's preparation manifest."""
     found = {
-        "manifest_version": "v0.2.0",
+        "manifest_version": "v0.1.0",
         "status": "provisioned" if provisioned else "designed",
-        "setup_sql": ";\n".join(share_statements(share, recipient, tables)),
+        "share_name": share,
+        "shared_as": shared_as,
+        "recipient_name": recipient,
+        "setup_sql": ";\n\n".join(share_statements(share, recipient, gold, events, shared_as)) + ";",
+        "verification_sql": verification_statements(share),
         "delivery_events_ddl": delivery_events_ddl(events),
-        "c2_validation_queries": list(validation_statements(gold, events).values()),
+        "c2_validation_queries": validation_statements(share, shared_as, events),
     }
     return "delta_share_preparation_manifest.json", json.dumps(found, indent=2)
 

@@ -100,5 +100,17 @@ def test_reports_and_share_manifest(spark, tmp_path):
     sinks.write_report(report, "handoff", "run/1 a:b", str(tmp_path / "out"))
     assert json.loads((tmp_path / "out" / "handoff_run_1_a_b.json").read_text()) == {"total": 3, "rate": None}
     assert (tmp_path / "out" / "handoff_run_1_a_b.txt").read_text() == "handoff\ntotal: 3\nrate: n/a"
-    name, text = sinks.share_manifest("s", "r", ["t"], "gold", "events")
-    assert name == "delta_share_preparation_manifest.json" and json.loads(text)["status"] == "designed" and len(json.loads(text)["c2_validation_queries"]) == 3
+    name, text = sinks.share_manifest("s", "r", "c.gold.t", "c.gold.e", "assets")
+    found = json.loads(text)
+    assert name == "delta_share_preparation_manifest.json" and found["status"] == "designed" and [q["name"] for q in found["c2_validation_queries"]] == ["confirm_share_exists", "query_export_ready_records", "query_delivery_events", "verify_routing_label_transparency"]
+    assert "ALTER SHARE s\n  ADD TABLE c.gold.t\n  AS assets\n  COMMENT 'Gold-tier" in found["setup_sql"] and found["setup_sql"].endswith("GRANT SELECT ON SHARE s TO RECIPIENT r;")
+
+
+def test_a_receiver_reads_only_what_is_ready(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS shared")
+    rows = [("a", "regulatory_review", "v0.2.0", True), ("b", "quarantine", "v0.2.0", False), ("c", "security_ops", "v0.1.0", True)]
+    spark.createDataFrame(rows, "document_id string, routing_label string, schema_version string, export_ready boolean").write.mode("overwrite").saveAsTable("shared.assets")
+    told = {q["name"]: q["sql"].rstrip(";") for q in sinks.validation_statements("shared", "assets", "shared.events")}
+    assert [tuple(r) for r in spark.sql(told["query_export_ready_records"]).collect()] == [("a", "regulatory_review", "v0.2.0")]
+    assert {r.routing_label for r in spark.sql(told["verify_routing_label_transparency"]).collect()} == {"regulatory_review", "security_ops"}
+    spark.sql("DROP TABLE shared.assets")
