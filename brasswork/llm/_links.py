@@ -277,16 +277,18 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
 
     def crossed_pairs(labels: DataFrame, nearest: bool) -> DataFrame:
         """Pairs (x, y, apart) of sets that share a bucket and are in different components; `nearest`: one a posting at most."""
-        mates = _shared.with_small(shared.where("nid is not null").select("token", "nid", "n", "r"), labels.withColumnRenamed("node", "nid"), ["nid"], how="left").withColumn("label", F.coalesce("label", "nid"))
-        mates = _shared.with_small(mates, hot, ["token"], how="left")
-        cold = mates.where("k is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
-        dealt = mates.where("k is not null")
+        postings = _shared.with_small(shared.where("nid is not null").select("token", "nid", "n", "r"), hot, ["token"], how="left")
+
+        def labelled(some: DataFrame) -> DataFrame:
+            return _shared.with_small(some, labels.withColumnRenamed("node", "nid"), ["nid"], how="left").withColumn("label", F.coalesce("label", "nid"))
+
+        every = labelled(postings.where("k is null")).select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
         if some_hot:  # buckets whose sets are all in one component have nothing to pair, and aren't dealt
+            dealt = _shared.written(labelled(postings.where("k is not null")), "hotly")
             apart_still = dealt.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
             dealt = _shared.with_small(dealt, _shared.written(apart_still, "apart"), ["token"], how="left_semi")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        warm = dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits")
-        every = cold.union(warm) if some_hot else cold
+            dealt = dealt.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            every = every.union(dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits"))
         in_order = every.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
         return near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent, nearest)), "x long, y long").distinct(), "crossed"))
 
