@@ -305,7 +305,9 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
         return _shared.written(each.groupBy("label").agg(F.min(nearest).alias("best")).select("best.x", "best.y").distinct(), "tried")
 
     # Nearest mates join what belongs together, a row a posting at most; what stays apart is then paired whole.
+    _shared.release(nodes.sparkSession)  # many small jobs came before, and as many follow
     tried = nearest_of(crossed_pairs(labels, True))
+    _shared.release(nodes.sparkSession)
     links = links.union(verified(tried))
     labels = _components.components(links)
     rest = _shared.written(crossed_pairs(labels, False).join(tried, ["x", "y"], "left_anti"), "rest")

@@ -66,7 +66,7 @@ def made(since: int = 0) -> list[tuple[SparkSession, str]]:
 
 def drop(paths: list[tuple[SparkSession, str]]) -> None:
     """Remove tables that nothing reads any more."""
-    release()
+    release(paths[0][0] if paths else None)
     for entry in paths:
         if entry in _written:
             _written.remove(entry)
@@ -99,9 +99,11 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = target
 
 
-def release() -> None:
-    """Give freed memory back to the system."""
+def release(spark: SparkSession | None = None) -> None:
+    """Give freed memory back to the system; with a session, its JVM's too, which also lets Spark remove shuffle files that nothing reads."""
     gc.collect()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # another C library
         ctypes.CDLL(None).malloc_trim(0)
