@@ -140,6 +140,14 @@ class Spark(Dialect):
         """The engine's own name for a member's type, which `kind_of` explains; null where the key is missing."""
         return f"schema_of_variant(variant_get({v}, '$.{key}'))"
 
+    def whole_type(self, v: str) -> str:
+        """The engine's own name for a value's type; null of null."""
+        return f"schema_of_variant({v})"
+
+    def members(self, v: str, key: str) -> str:
+        """The number of a list's members; null if the member isn't a list."""
+        return f"array_size(try_variant_get({v}, '$.{key}', 'array<variant>'))"
+
     def kind_of(self, t: str) -> str:
         """string, null, object, array, boolean, number of a type name; null of null."""
         return self.ladder((f"{t} = 'STRING'", "'string'"), (f"{t} = 'VOID'", "'null'"), (f"{t} LIKE 'OBJECT%'", "'object'"), (f"{t} LIKE 'ARRAY%'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
@@ -276,6 +284,12 @@ class Duck(Dialect):
     def type_of(self, v: str, key: str) -> str:
         return f"json_type({v}, '$.{key}')"
 
+    def whole_type(self, v: str) -> str:
+        return f"json_type({v})"
+
+    def members(self, v: str, key: str) -> str:
+        return f"CASE WHEN json_type({v}, '$.{key}') = 'ARRAY' THEN json_array_length({v}, '$.{key}') END"
+
     def kind_of(self, t: str) -> str:
         return self.ladder((f"{t} = 'VARCHAR'", "'string'"), (f"{t} = 'NULL'", "'null'"), (f"{t} = 'OBJECT'", "'object'"), (f"{t} = 'ARRAY'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
 

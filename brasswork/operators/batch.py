@@ -137,9 +137,6 @@ def delivery_checks(d: Dialect) -> dict[str, str]:
     return {"failed": d.compact(*[(c, f"'{n}'") for c, n in cases])}
 
 
-CRITICAL_CHECKS = ("delivery_event_exists", "delivery_event_parseable", "delivery_event_schema_version", "cross_id_consistency", "share_manifest_has_setup_sql", "share_manifest_has_c2_queries")
-
-
 def delivery_status(d: Dialect) -> dict[str, str]:
     """Status from failed checks (`critical_failed`, `any_failed`), provisioning and workspace; then the evidence gate."""
     first = d.ladder(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
 from ..operators import batch as B
-from ..operators import bronze, notes, review, silver, typed
+from ..operators import bronze, delivery, notes, review, silver, typed
 from ..operators import evaluate as E
 from ..operators.contract import gated, quarantine_errors, validated
 from ..operators.extract import iso_date
@@ -239,6 +239,32 @@ def _deliveries() -> Relation:
     ).add(B.delivery_checks)
 
 
+def _delivered() -> Relation:
+    """Deliveries by customer with the texts of their two artifacts: lost, cut, without a member, with wrong or unknown values, by the customer's number."""
+    c = "c_custkey"
+
+    def event(d: Dialect) -> str:
+        run = f"concat('run-', CAST({c} AS STRING))"
+        parts = [
+            f"""CASE WHEN {c} % 43 = 0 THEN '{{"a":1' ELSE concat('{{"delivery_event_id":"e', CAST({c} AS STRING), '","pipeline_run_id":"') END""", f"concat({run}, CASE WHEN {c} % 13 = 0 THEN 'x' ELSE '' END)", f"""concat('","batch_id":"', {run}, '","generated_at":"now"')""",
+            f"""CASE {c} % 11 WHEN 0 THEN ',"schema_version":"v0.1.0"' WHEN 1 THEN '' ELSE ',"schema_version":"{V.SCHEMA_VERSION_DELIVERY}"' END""", f"""CASE WHEN {c} % 17 = 0 THEN ',"status":"sent"' WHEN {c} % 17 = 1 THEN ',"status":"failed"' ELSE '' END""",
+            f"""CASE WHEN {c} % 41 = 0 THEN ',"delivery_mechanism":"email"' ELSE ',"delivery_mechanism":"{V.MECHANISM}"' END""", f"""concat(',"eligible_record_count":9,"exported_record_count":', CASE {c} % 7 WHEN 0 THEN '-1' WHEN 1 THEN '"2"' WHEN 2 THEN '3.0' WHEN 3 THEN '0' ELSE '4' END, ',"quarantined_record_count":0')""",
+            f"""CASE WHEN {c} % 37 = 0 THEN '' ELSE ',"contract_blocked_count":0' END""", f"""CASE {c} % 5 WHEN 0 THEN '' WHEN 1 THEN ',"routing_labels":[]' WHEN 2 THEN ',"routing_labels":["a","b"]' WHEN 3 THEN ',"routing_labels":["a"]' ELSE CASE WHEN {c} % 2 = 0 THEN ',"routing_labels":["a",1]' ELSE ',"routing_labels":["c"]' END END""",
+            f"""CASE {c} % 9 WHEN 0 THEN ',"bundle_artifact_path":null' WHEN 1 THEN ',"bundle_artifact_path":""' WHEN 2 THEN '' ELSE ',"bundle_artifact_path":"bundle.json"' END""", "'}'",
+        ]
+        return f"CASE WHEN {c} % 31 = 0 THEN NULL WHEN {c} % 47 = 0 THEN '[1]' ELSE concat({', '.join(parts)}) END"
+
+    def manifest(d: Dialect) -> str:
+        status = f"""CASE {c} % 4 WHEN 0 THEN '' WHEN 1 THEN ',"status":"provisioned"' WHEN 2 THEN ',"status":"designed"' ELSE CASE WHEN {c} % 8 = 3 THEN ',"status":"lost"' ELSE ',"status":"provisioned"' END END"""
+        queries = f"""CASE WHEN {c} % 21 = 0 THEN '' WHEN {c} % 22 = 0 THEN ',"c2_validation_queries":[]' WHEN {c} % 23 = 0 THEN ',"c2_validation_queries":"q"' ELSE ',"c2_validation_queries":[{{"name":"a"}},{{"name":"b"}}]' END"""
+        setup = f"""CASE WHEN {c} % 19 = 0 THEN '"setup_sql":"  "' WHEN {c} % 19 = 1 THEN '"setup_sql":null' ELSE '"setup_sql":"CREATE SHARE s"' END"""
+        return f"""CASE WHEN {c} % 29 = 0 THEN NULL WHEN {c} % 53 = 0 THEN '[2]' WHEN {c} % 59 = 0 THEN 'no JSON' ELSE concat('{{', {setup}, {status}, {queries}, '}}') END"""
+
+    given = {"key": c, "validation_run_id": f"concat('v-', CAST({c} AS STRING))", "validated_at": "'now'", "pipeline_run_id": f"concat('run-', CAST({c} AS STRING))", "expected_event_id": f"CASE {c} % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('e', CAST({c} AS STRING)) ELSE concat('e', CAST({c} + CASE WHEN {c} % 14 = 0 THEN 1 ELSE 0 END AS STRING)) END"}
+    paths = {"workspace_mode": f"CASE WHEN {c} % 3 = 0 THEN 'local_repo_only' ELSE 'personal_databricks' END", "event_path": f"CASE WHEN {c} % 61 <> 0 THEN 'event.json' END", "manifest_path": f"CASE WHEN {c} % 67 <> 0 THEN 'share.json' END", "bundle_exists": f"{c} % 6 <> 0"}
+    return delivery.validated(Relation("customer").select(lambda d: given | paths | {"event_text": event(d), "manifest_text": manifest(d)}))
+
+
 def _traced() -> Relation:
     """One row with the links between the layers, and the shares of records with run and version."""
     rates = _trace_rates().select(lambda d: {"gold_to_silver_link_rate": "gold_to_silver_rate", "silver_to_bronze_link_rate": "silver_to_bronze_rate", "orphaned_gold_count": "orphaned_gold_count", "orphaned_silver_count": "orphaned_silver_count"})
@@ -445,6 +471,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "bundle_structure": lambda: _bundles().select(lambda d: {"key": "key", "failed": d.join("failed_structure", ",")}),
     "bundle_results": lambda: _bundles().add(B.bundle_result).select(lambda d: {k: k for k in ("key", "checks_run", "checks_passed", "checks_failed", "bundle_valid")} | {"failed": d.join("failed", ",")}),
     "delivery_checks": lambda: _deliveries().select(lambda d: {"key": "key", "failed": d.join("failed", ","), "passed": f"14 - {d.size('failed')}"}),
+    "delivery_results": lambda: _delivered().select(lambda d: {k: k for k in ("key", "found_event_id", "validation_status", "validation_reason", "n_all_passed", "n_all_failed")} | {k: d.join(k, " | ") for k in ("checks_passed", "checks_failed", "observations", "artifacts_checked")} | {"details": d.join(d.nonnull([*[f"detail_{n}" for n, *_ in delivery.CHECKS], "evidence"]), " | ")}),
     "missing_paths": lambda: B.missing_paths(outcomes().add(B.references), outcomes().where(lambda d: "ord % 13 <> 0").add(B.references).select(lambda d: {"path": "gold_artifact_path"}).union(outcomes().where(lambda d: "ord % 11 <> 0").add(B.references).select(lambda d: {"path": "coalesce(export_artifact_path, '')"})).agg(("path",), lambda d: {"k": "count(*)"}).select(lambda d: {"path": "path"})),
     "latest_delivery_events": lambda: Relation("events").select(lambda d: {"delivery_event_id": "CAST(event_id AS STRING)", "generated_at": "ts", "event_id": "event_id"}).top("generated_at DESC, event_id DESC", 5).select(lambda d: {"delivery_event_id": "delivery_event_id"}),
     "export_ready_sample": lambda: _shared_gold().where(lambda d: f"export_ready AND schema_version = '{V.SCHEMA_VERSION_DELIVERY}'").select(lambda d: {k: k for k in ("document_id", "routing_label", "schema_version")}).top("document_id", 10),
