@@ -127,7 +127,8 @@ class Spark(Dialect):
         return f"sha2({x}, 256)"
 
     def fixed(self, x: str, digits: int = 2) -> str:
-        return f"format_string('%.{digits}f', {x})"
+        # Not format_string, which rounds the shortest decimal of a number half up, not its exact value.
+        return f"format_number({x}, '{'0.' + '0' * digits if digits else '0'}')"
 
     def parsed(self, j: str) -> str:
         """A JSON text as a value, parsed once; null if it isn't JSON. `part`, `type_of`, `said` and `items` look into it."""
@@ -148,6 +149,14 @@ class Spark(Dialect):
         """The number of a list's members; null if the member isn't a list."""
         return f"array_size(try_variant_get({v}, '$.{key}', 'array<variant>'))"
 
+    def keys(self, v: str, key: str) -> str:
+        """An object's keys; null if the member isn't there."""
+        return f"map_keys(try_variant_get({v}, '$.{key}', 'map<string,string>'))"
+
+    def pairs(self, v: str, key: str) -> str:
+        """An object's members as texts 'key: value', sorted; null if the member isn't there."""
+        return f"array_sort(transform(map_entries(try_variant_get({v}, '$.{key}', 'map<string,string>')), x -> concat(x.key, ': ', coalesce(x.value, 'None'))))"
+
     def kind_of(self, t: str) -> str:
         """string, null, object, array, boolean, number of a type name; null of null."""
         return self.ladder((f"{t} = 'STRING'", "'string'"), (f"{t} = 'VOID'", "'null'"), (f"{t} LIKE 'OBJECT%'", "'object'"), (f"{t} LIKE 'ARRAY%'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
@@ -290,6 +299,12 @@ class Duck(Dialect):
     def members(self, v: str, key: str) -> str:
         return f"CASE WHEN json_type({v}, '$.{key}') = 'ARRAY' THEN json_array_length({v}, '$.{key}') END"
 
+    def keys(self, v: str, key: str) -> str:
+        return f"json_keys({v}, '$.{key}')"
+
+    def pairs(self, v: str, key: str) -> str:
+        return f"list_sort(list_transform(json_keys({v}, '$.{key}'), lambda x: concat(x, ': ', coalesce(json_extract_string({v}, '$.{key}.' || chr(34) || x || chr(34)), 'None'))))"
+
     def kind_of(self, t: str) -> str:
         return self.ladder((f"{t} = 'VARCHAR'", "'string'"), (f"{t} = 'NULL'", "'null'"), (f"{t} = 'OBJECT'", "'object'"), (f"{t} = 'ARRAY'", "'array'"), (f"{t} = 'BOOLEAN'", "'boolean'"), (f"{t} IS NOT NULL", "'number'"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.dialect import Dialect
 from ..operators import batch as B
-from ..operators import bronze, delivery, notes, review, silver, typed
+from ..operators import bronze, delivery, governance, notes, review, silver, typed
 from ..operators import evaluate as E
 from ..operators.contract import gated, quarantine_errors, validated
 from ..operators.extract import iso_date
@@ -265,6 +265,32 @@ def _delivered() -> Relation:
     return delivery.validated(Relation("customer").select(lambda d: given | paths | {"event_text": event(d), "manifest_text": manifest(d)}))
 
 
+def _passes() -> Relation:
+    """Governance passes by customer with the texts of their artifacts, some absent, empty, cut or without a member, by the customer's number."""
+    c = "c_custkey"
+    rate = lambda n, k: f"CAST(CAST(({c} * {n} % 100) / 100.0 AS DECIMAL(4,2)) AS STRING)" if k else f"CASE WHEN {c} % {n} = 0 THEN 'null' ELSE CAST(CAST(({c} % {n}) / {n}.0 AS DECIMAL(6,4)) AS STRING) END"
+    number = lambda x: f"CAST({x} AS STRING)"
+
+    def evaluation_text(d: Dialect) -> str:
+        trace = f"""CASE WHEN {c} % 8 = 0 THEN 'null' ELSE concat('{{"gold_to_silver_link_rate":', CASE WHEN {c} % 3 = 0 THEN '1.0' ELSE {rate(7, True)} END, ',"silver_to_bronze_link_rate":1.0,"pipeline_run_id_coverage":', CASE WHEN {c} % 6 = 0 THEN '0.5' ELSE '1.0' END, ',"orphaned_silver_count":', {number(f'{c} % 4')}, ',"orphaned_gold_count":', {number(f'{c} % 3')}, '}}') END"""
+        notes_ = f"""CASE {c} % 4 WHEN 0 THEN '[]' WHEN 1 THEN '["a","b","c","d","e","f"]' WHEN 2 THEN 'null' ELSE '["x"]' END"""
+        whole = f"""concat('{{"bronze":{{"metrics":{{"parse_success_rate":', {rate(3, True)}, '}}}},"silver":', CASE WHEN {c} % 5 = 0 THEN 'null' ELSE concat('{{"metrics":{{"schema_validity_rate":', {rate(11, False)}, '}}}}') END, ',"gold":{{"metrics":{{"export_ready_rate":', {rate(13, True)}, ',"classification_success_rate":"high"', CASE WHEN {c} % 7 = 0 THEN ',"schema_version_distribution":{{"v0.1.0":3,"v0.2.0":1}}' ELSE '' END, '}}}},"traceability":', {trace}, ',"bootstrap_path_detected":', CASE WHEN {c} % 9 = 0 THEN 'true' ELSE 'false' END, ',"all_observations":', {notes_}, CASE WHEN {c} % 2 = 0 THEN ',"pipeline_run_id_filter":"run-a"' ELSE '' END, '}}')"""
+        return f"CASE WHEN {c} % 10 = 0 THEN NULL WHEN {c} % 23 = 0 THEN ' {{ }} ' WHEN {c} % 29 = 0 THEN '{{cut' WHEN {c} % 31 = 0 THEN '[1]' ELSE {whole} END"
+
+    def handoff_text(d: Dialect) -> str:
+        whole = f"""concat('{{"pipeline_run_id":', CASE {c} % 3 WHEN 0 THEN '"run-a"' WHEN 1 THEN '"run-b"' ELSE 'null' END, ',"total_records_processed":', {number(f'{c} % 50')}, ',"total_eligible":', {number(f'{c} % 20')}, ',"total_exported":', {number(f'{c} % 9')}, ',"total_quarantined":', CASE WHEN {c} % 12 = 0 THEN 'null' ELSE {number(f'{c} % 13')} END, ',"total_contract_blocked":', {number(f'{c} % 3')}, ',"quarantined_document_ids":["q', {number(c)}, '"]}}')"""
+        return f"CASE WHEN {c} % 11 = 0 THEN NULL ELSE {whole} END"
+
+    def queue_text(d: Dialect) -> str:
+        whole = f"""concat('{{"pipeline_run_id":', CASE {c} % 4 WHEN 0 THEN '"run-a"' WHEN 1 THEN '"run-c"' ELSE '""' END, ',"schema_version":"v0.1.0","total_records_reviewed":', {number(f'{c} % 15')}, ',"total_entries":', {number(f'{c} % 6')}, ',"entries_by_reason":{{"quarantined":', {number(f'{c} % 5')}, ',"contract_blocked":1}}}}')"""
+        return f"CASE WHEN {c} % 13 = 0 THEN NULL ELSE {whole} END"
+
+    given = {"key": c, "report_id": f"concat('gov ', CAST({c} AS STRING))", "generated_at": "'then'", "environment": f"CASE {c} % 4 WHEN 0 THEN 'dev' WHEN 1 THEN 'prod' WHEN 2 THEN 'staging' ELSE 'lab' END"}
+    paths = {"evaluation_path": f"CASE WHEN {c} % 10 <> 0 THEN 'report.json' END", "handoff_path": f"CASE WHEN {c} % 11 <> 0 THEN 'handoff.json' END", "bundle_path": f"CASE WHEN {c} % 2 = 0 THEN 'bundle.json' END", "queue_path": f"CASE WHEN {c} % 13 <> 0 THEN 'queue.json' END"}
+    bundle = f"""CASE WHEN {c} % 3 = 0 THEN concat('{{"batch_id":"batch-', CAST({c} AS STRING), '"}}') END"""
+    return governance.governed(Relation("customer").select(lambda d: given | paths | {"evaluation_text": evaluation_text(d), "handoff_text": handoff_text(d), "bundle_text": bundle, "queue_text": queue_text(d)}))
+
+
 def _traced() -> Relation:
     """One row with the links between the layers, and the shares of records with run and version."""
     rates = _trace_rates().select(lambda d: {"gold_to_silver_link_rate": "gold_to_silver_rate", "silver_to_bronze_link_rate": "silver_to_bronze_rate", "orphaned_gold_count": "orphaned_gold_count", "orphaned_silver_count": "orphaned_silver_count"})
@@ -460,6 +486,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "lineage_summary_sql": lambda: _lineage().agg((), lambda d: {"total_documents": "count(*)", "silver_count": d.count_if("silver_exists"), "gold_export_ready_count": d.count_if("coalesce(export_ready, false)"), "quarantine_count": d.count_if("coalesce(routing_label, '') = 'quarantine'"), "full_lineage_count": d.count_if("full_lineage = 'complete'")}),
     "governance_flags": lambda: _governance().select(lambda d: {"flags": d.join("flags", ",")}),
     "governance_health": lambda: _governance().select(lambda d: {k: k for k in ("overall_health", "export_rate", "quarantine_share", "queue_pressure")}),
+    "governance_reports": lambda: _passes().select(lambda d: {k: f"round({k}, 6)" for k in (*governance.RATES, *governance.SHARES, "review_queue_pressure_pct")} | {k: k for k in ("key", "overall_health", "bundle_used", *governance.ORPHANS, *governance.TOTALS)} | {k: d.join(k, " | ") for k in ("flags", "governance_notes", "quality_observations", "handoff_observations", "review_queue_observations", "drift_observations", "input_pipeline_run_ids", "schema_versions_detected", "entries_by_reason", "quarantined_document_ids")}),
     "governance_notes": lambda: _governed().select(lambda d: {"governance_notes": d.join("governance_notes", " | ")}),
     "bootstrap_bronze": lambda: _files().select(lambda d: {k: k for k in ("document_id", "source_path", "file_name", "file_size_bytes", "file_hash", "parse_status", "pipeline_run_id", "schema_version")}),
     "bootstrap_silver": lambda: bootstrap.silver_projection(_files()).select(lambda d: {"document_id": "document_id", "file_name": "file_name", "extraction_prompt_id": "extraction_prompt_id", **{n: d.json_text("extraction_result", n) for n in bootstrap.FIELDS}}),

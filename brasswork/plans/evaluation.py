@@ -155,6 +155,16 @@ def report(result: DataFrame, report_id: str, generated_at: str, pipeline_run_id
     return whole.select(F.lit(report_id).alias("report_id"), F.lit(generated_at).alias("generated_at"), F.lit(pipeline_run_id).cast("string").alias("pipeline_run_id_filter"), *whole.columns)
 
 
+def document(whole: dict) -> dict:
+    """A report's row (as a dict) as it is written: metrics as objects, those of lineage beside its other members."""
+    out = dict(whole)
+    for layer in (*LAYERS, "traceability"):
+        if own := whole[layer]:
+            metrics = json.loads(own["metrics"])
+            out[layer] = {k: v for k, v in own.items() if k != "metrics"} | metrics if layer == "traceability" else own | {"metrics": metrics}
+    return out
+
+
 _WIDE, _THIN = "=" * 70, "-" * 60
 
 
@@ -201,7 +211,7 @@ def evaluate(spark: SparkSession, folders: dict[str, str | None], out: str, gene
     held = spark.createDataFrame(rows, RESULT)
     single = held.where("present").select(F.concat(F.lit("eval_"), "layer", F.lit(f"_{run_id}.json")).alias("name"), F.to_json(F.struct(F.lit(run_id).alias("eval_run_id"), F.col("layer").alias("experiment"), F.from_json("metrics", "map<string,double>").alias("metrics"), "threshold_warnings"), {"ignoreNullFields": "false"}).alias("content"))
     row = report(held, run_id, generated_at).first().asDict(recursive=True)
-    pair = spark.createDataFrame([(f"report_{run_id}.json", json.dumps(row, indent=2, ensure_ascii=False)), (f"report_{run_id}.txt", text(row))], "name string, content string")
+    pair = spark.createDataFrame([(f"report_{run_id}.json", json.dumps(document(row), indent=2, ensure_ascii=False)), (f"report_{run_id}.txt", text(row))], "name string, content string")
     files.write(single.unionByName(pair), out)
     if track:
         sinks.track(held.where("present").select("layer", F.explode(F.from_json("metrics", "map<string,double>")).alias("key", "value")), run_id, track)

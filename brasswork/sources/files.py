@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StringType, StructField, StructType
 
 LISTED = "path string, modificationTime timestamp, length long"
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -258,3 +259,30 @@ def stream(spark: SparkSession, landing: str, log: str) -> DataFrame:
     """The files of a folder as they come: path, modificationTime, length, content."""
     spark.dataSource.register(landing_files())
     return spark.readStream.format("landing_files").option("landing", landing).option("log", log).load()
+
+
+def texts(rows: DataFrame, column: str, into: str) -> DataFrame:
+    """Adds the text of the file that a column names: read by the row's task, bad bytes replaced, null where there's no name or no such file."""
+    store_of = _store_of()
+    schema = StructType([*rows.schema.fields, StructField(into, StringType())])
+
+    def read(path: str | None) -> str | None:
+        from pyarrow import fs
+
+        if not path:
+            return None
+        store, own, _ = store_of(path)
+        if store.get_file_info(own).type != fs.FileType.File:
+            return None
+        with store.open_input_file(own) as f:
+            return f.read().decode("utf-8", "replace")
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            # Few at a time, so that a batch of long texts stays small.
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                found = pa.array([read(p) for p in part.column(column).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, into])
+
+    return rows.mapInArrow(run, schema)

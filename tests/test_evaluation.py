@@ -44,7 +44,7 @@ def test_all_layers(spark, tmp_path):
     assert len(got["gold"]["observations"]) == 1 and len(got["all_observations"]) == 2
     written = sorted(os.listdir(out))
     assert written == ["eval_bronze_run.json", "eval_gold_run.json", "eval_silver_run.json", "eval_traceability_run.json", "flagged_bronze_run", "flagged_gold_run", "flagged_silver_run", "flagged_traceability_run", "report_run.json", "report_run.txt"]
-    assert json.load(open(f"{out}/report_run.json")) == got and json.load(open(f"{out}/eval_gold_run.json"))["metrics"]["quarantine_rate"] == 0.5
+    assert json.load(open(f"{out}/report_run.json")) == evaluation.document(got) and json.load(open(f"{out}/eval_gold_run.json"))["metrics"]["quarantine_rate"] == 0.5
     lines = open(f"{out}/report_run.txt").read().split("\n")
     assert lines[3:8] == ["  Report ID        : run", "  Generated at     : then", "  Pipeline filter  : all", "  Review queue     : 3 record(s) flagged", "  Bootstrap path   : DETECTED"]
     assert "  Gold→Silver link  : 50.0%" in lines and f"    {'parse_success_rate':<40} 0.9000" in lines and "  [WARN] parse_success_rate 90.00% is below target 95.00%" in lines
