@@ -207,6 +207,14 @@ class Spark(Dialect):
     def median(self, x: str) -> str:
         return f"percentile({x}, 0.5)"
 
+    def place(self, xs: str, x: str) -> str:
+        """Where a list has a value first, from 1."""
+        return f"array_position({xs}, {x})"
+
+    def together(self, *xs: str) -> str:
+        """Values that are compared one after another."""
+        return f"struct({', '.join(xs)})"
+
 
 class Duck(Dialect):
     name = "duck"
@@ -350,3 +358,9 @@ class Duck(Dialect):
 
     def median(self, x: str) -> str:
         return f"median({x})"
+
+    def place(self, xs: str, x: str) -> str:
+        return f"list_position({xs}, {x})"
+
+    def together(self, *xs: str) -> str:
+        return f"row({', '.join(xs)})"

@@ -89,6 +89,7 @@ TRACE_TARGETS = (
 # Texts of observations and review reasons ({name} is a column).
 NULL_CONFIDENCE = "confidence_null_rate={confidence_null_rate:.2%}: {null_confidences} of {total_records} records have null classification_confidence. This is expected for records produced by the A-3B Databricks bootstrap SQL path (ai_classify variant does not expose a scalar confidence score). Confidence-based metrics are computed only over records with non-null confidence values."
 PLACEHOLDERS = "{placeholders} record(s) carry pipeline_run_id='bootstrap_sql_v1' (placeholder, not a real MLflow run ID). These records originated from the A-3B bootstrap SQL execution, not from a tracked MLflow pipeline run."
+PLACEHOLDERS_TRACED = "{placeholders} record(s) carry a placeholder pipeline_run_id ({placeholder_list}). These records originated from the A-3B Databricks bootstrap SQL execution, not from a tracked MLflow pipeline run. This is a documented implementation detail of the bootstrap path. Full lineage via document_id is still intact."
 REVIEW_TEXTS = {
     "quarantined": "Record quarantined during pipeline classification. document_type='{document_type_label}', routing='{routing_label}'. Causes include: unknown document type, low classification confidence, low Silver field coverage, or invalid Silver extraction.",
     "contract_blocked": "Record failed Bedrock contract validation (B-1). Export payload was not written.{errors_summary} Review the Gold artifact and correct the extraction or contract fields.",

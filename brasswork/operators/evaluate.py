@@ -115,6 +115,14 @@ def ranked(relation, key: str):
     return relation.agg((key,), lambda d: {"n": "count(*)"}).add(lambda d: {"rate": "round(n / CAST(sum(n) OVER () AS DOUBLE), 4)", "place": f"row_number() OVER (ORDER BY n DESC, {key})"})
 
 
+def error_frequency(records, domains):
+    """How often each validation error occurs, for each record: the most frequent first, ties by what was seen first (domain, ord, place in the list)."""
+    nth = "CASE domain " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(domains)) + f" ELSE {len(tuple(domains))} END"
+    by = records.explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)", "seen": f"min({d.together(nth, 'ord', d.place('validation_errors', 'error'))})"}).add(lambda d: {"one": "1"})
+    total = records.agg((), lambda d: {"records": "count(*)"}).add(lambda d: {"one": "1"})
+    return by.join(total, "inner", ("one",)).select(lambda d: {"error": "error", "n": "n", "rate": "round(n / CAST(records AS DOUBLE), 4)", "place": "row_number() OVER (ORDER BY n DESC, seen)"})
+
+
 def flagged(relation, flags):
     """Rows that have a reason to be reviewed."""
     return relation.add(flags).where(lambda d: f"{d.size('review_reasons')} > 0")

@@ -397,13 +397,6 @@ def _governed() -> Relation:
     return _governance().add(lambda d: given).add(notes.governance_inputs).add(notes.governance_notes)
 
 
-def _errors() -> Relation:
-    """How often each validation error occurs, for each record, the most frequent first."""
-    by = all_silver().explode("validation_errors", "error").agg(("error",), lambda d: {"n": "count(*)"}).add(lambda d: {"one": "1"})
-    total = all_silver().agg((), lambda d: {"records": "count(*)"}).add(lambda d: {"one": "1"})
-    return by.join(total, "inner", ("one",)).select(lambda d: {"error": "error", "n": "n", "rate": "round(n / CAST(records AS DOUBLE), 4)", "place": "row_number() OVER (ORDER BY n DESC, error)"})
-
-
 def _counts(relation: Relation, *keys: str) -> Relation:
     return relation.agg(keys, lambda d: {"n": "count(*)"})
 
@@ -437,7 +430,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "silver_metrics": lambda: all_silver().agg((), E.silver_metrics),
     "silver_percentiles": lambda: E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}),
     "silver_required_nulls": lambda: silver_of(V.LETTER).agg((), lambda d: E.required_null_rate(d, V.REQUIRED[V.LETTER])),
-    "silver_error_frequency": _errors,
+    "silver_error_frequency": lambda: E.error_frequency(all_silver(), V.DOMAINS),
     "silver_flags": lambda: E.flagged(all_silver(), E.silver_flags).select(_texts(("document_id", "validation_status", "review_reasons"))),
     "silver_thresholds": lambda: _warned(_beside(all_silver().agg((), E.silver_metrics), E.nearest(all_silver(), "field_coverage_pct", {"p25_field_coverage_pct": 25}), _required_nulls()), V.SILVER_TARGETS),
     # Gold
@@ -481,6 +474,7 @@ RELATIONS: dict[str, Callable[[], Relation]] = {
     "trace_orphan_gold": lambda: E.orphans(trace()[2], trace()[1], "extraction_id").select(lambda d: {"gold_record_id": "gold_record_id", "extraction_id": "extraction_id"}),
     "trace_orphan_silver": lambda: E.orphans(trace()[1], trace()[0], "bronze_record_id").select(lambda d: {"extraction_id": "extraction_id", "bronze_record_id": "bronze_record_id"}),
     "trace_thresholds": lambda: _warned(_traced(), V.TRACE_TARGETS),
+    "trace_observations": lambda: evaluation.measured("traceability", *trace()).select(lambda d: {"observations": d.join("observations", " | "), "placeholders": "placeholders", "placeholder_list": "placeholder_list"}),
     "evaluation_report": _report,
     "lineage_trace_sql": _lineage,
     "lineage_summary_sql": lambda: _lineage().agg((), lambda d: {"total_documents": "count(*)", "silver_count": d.count_if("silver_exists"), "gold_export_ready_count": d.count_if("coalesce(export_ready, false)"), "quarantine_count": d.count_if("coalesce(routing_label, '') = 'quarantine'"), "full_lineage_count": d.count_if("full_lineage = 'complete'")}),

@@ -42,6 +42,11 @@ def placeholders(d: Dialect) -> str:
     return d.count_if(f"coalesce({d.isin('pipeline_run_id', V.PLACEHOLDER_RUNS)}, false)")
 
 
+def placeholder_list(d: Dialect) -> str:
+    """Which placeholder runs occur, sorted: at most as many as there are such names."""
+    return d.join(d.sorted(d.distinct("pipeline_run_id", f"coalesce({d.isin('pipeline_run_id', V.PLACEHOLDER_RUNS)}, false)")), ", ")
+
+
 def bronze(table: Relation) -> Relation:
     good = table.where(lambda d: "parse_status IN ('success', 'partial')")
     return _beside(table.agg((), E.bronze_metrics), E.nearest(good, "char_count", {"p10_char_count": 10, "p25_char_count": 25})).add(lambda d: {"total_records": "total_documents"})
@@ -64,7 +69,7 @@ def traceability(b: Relation, s: Relation, g: Relation) -> Relation:
     parts = [r.select(lambda d, k=k: {"layer": f"'{k}'", "pipeline_run_id": "pipeline_run_id", "schema_version": "schema_version"}) for k, r in (("bronze", b), ("silver", s), ("gold", g))]
     whole = parts[0].union(*parts[1:]).agg(
         (),
-        lambda d: {"total_records": "count(*)", **{f"total_{k}": d.count_if(f"layer = '{k}'") for k in LAYERS}, "pipeline_run_id_coverage": E.rate(d, "coalesce(pipeline_run_id, '') <> ''"), "schema_version_coverage": E.rate(d, "coalesce(schema_version, '') <> ''"), "placeholders": placeholders(d)},
+        lambda d: {"total_records": "count(*)", **{f"total_{k}": d.count_if(f"layer = '{k}'") for k in LAYERS}, "pipeline_run_id_coverage": E.rate(d, "coalesce(pipeline_run_id, '') <> ''"), "schema_version_coverage": E.rate(d, "coalesce(schema_version, '') <> ''"), "placeholders": placeholders(d), "placeholder_list": placeholder_list(d)},
     )
     return _beside(whole, one, two)
 
@@ -85,7 +90,7 @@ def measured(layer: str, *tables: Relation) -> Relation:
 
     def noted(d: Dialect) -> dict[str, str]:
         cases = [("confidence_null_rate > 0", E.filled(d, V.NULL_CONFIDENCE))] if layer == "gold" else []
-        cases += [("placeholders > 0", E.filled(d, V.PLACEHOLDERS))] if layer in ("gold", "traceability") else []
+        cases += [("placeholders > 0", E.filled(d, {"gold": V.PLACEHOLDERS, "traceability": V.PLACEHOLDERS_TRACED}[layer]))] if layer in ("gold", "traceability") else []
         return {"observations": d.compact(*cases) if cases else d.empty()}
 
     return whole.add(lambda d: E.warnings(d, TARGETS[layer])).add(noted)

@@ -70,3 +70,20 @@ def test_a_missing_layer_is_null_alone(spark, tmp_path):
     assert {r.layer: r.present for r in result.collect()} == {"bronze": True, "silver": True, "gold": False, "traceability": False}
     nothing = evaluation.report(evaluation.run(spark, {})[0], "r", "then").first()
     assert (nothing.bronze, nothing.all_warnings, nothing.review_queue_size, nothing.bootstrap_path_detected) == (None, [], 0, False)
+
+
+def test_errors_by_first_seen(spark):
+    from brasswork.operators import evaluate as E
+    from brasswork.plans.relation import Relation
+
+    made = [("b", 1, ["q", "z"]), ("a", 9, ["m", "z"]), ("a", 10, ["k"]), ("a", 2, []), ("b", 0, ["k", "m"]), ("b", 3, ["a"]), ("c", 0, ["one", "one", "one"])]
+    table = Relation(table="t")
+    df = spark.createDataFrame(made, "domain string, ord bigint, validation_errors array<string>")
+    got = E.error_frequency(table, ("a", "b")).on(df, lambda r: r.on(df)).orderBy("place").collect()
+    assert [(r.error, r.n) for r in got] == [("one", 3), ("m", 2), ("z", 2), ("k", 2), ("q", 1), ("a", 1)] and got[1].rate == 0.2857
+
+
+def test_placeholder_note(spark, tmp_path):
+    result, _ = evaluation.run(spark, {k: evaluation.found(spark, k, v) for k, v in layers(tmp_path).items()})
+    note = {r.layer: r for r in result.collect()}["traceability"].observations
+    assert len(note) == 1 and note[0].startswith("1 record(s) carry a placeholder pipeline_run_id (bootstrap_sql_v1). These records originated")
