@@ -13,12 +13,12 @@ from ..operators import batch as B
 from ..operators import bronze, delivery, governance, notes, review, silver, typed
 from ..operators import evaluate as E
 from ..operators.contract import gated, quarantine_errors, validated
-from ..operators.extract import iso_date
+from ..operators.extract import iso_date, with_fields
 from ..operators.gold import graded, outcome, signals
 from ..operators.silver import extracted
 from ..sources import rendered as R
 from ..sources import sinks
-from . import bootstrap, documents, evaluation
+from . import bootstrap, documents, evaluation, statements
 from .relation import Relation
 
 
@@ -517,6 +517,18 @@ def tracked_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.metric_rows(evaluation.gold(outcomes()).frame(spark, sf_dir).select(*evaluation.SHOWN["gold"]), "gold", "run-1")
 
 
+def sql_function_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters' fields and labels by the registered SQL functions."""
+    return statements.sql_fields(spark, R.letters().frame(spark, sf_dir))
+
+
+def _sql_function_sql() -> str:
+    names, least = V.SIGNALS[V.LETTER]
+    there = " + ".join(f"CASE WHEN coalesce(CAST({n} AS STRING), '') <> '' THEN 1 ELSE 0 END" for n in names if n in bootstrap.FIELDS)
+    kept = {n: f"CAST({n} AS STRING)" for n in bootstrap.FIELDS}
+    return with_fields(R.letters(), V.LETTER).select(lambda d: {"document_id": "document_id", **kept, "document_type_label": f"CASE WHEN {there} >= {least} THEN '{V.LETTER}' ELSE '{V.UNKNOWN}' END"}).sql()
+
+
 def _evaluation_sql() -> str:
     parts = []
     for layer, table in (("bronze", R.natural()), ("gold", outcomes())):
@@ -531,6 +543,6 @@ def _tracked_sql() -> str:
     return f"WITH m AS ({evaluation.gold(outcomes()).sql()}) SELECT * FROM ({rows}) WHERE value IS NOT NULL"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()} | documents.QUERIES | {"evaluation_partial": evaluation_partial, "tracked_metrics": tracked_metrics}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, sf_dir, make=make: make().frame(spark, sf_dir)) for name, make in RELATIONS.items()} | documents.QUERIES | {"evaluation_partial": evaluation_partial, "tracked_metrics": tracked_metrics, "sql_function_fields": sql_function_fields}
 
-ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()} | documents.ORACLE_SQL | {"evaluation_partial": _evaluation_sql(), "tracked_metrics": _tracked_sql()}
+ORACLE_SQL: dict[str, str] = {name: make().sql() for name, make in RELATIONS.items()} | documents.ORACLE_SQL | {"evaluation_partial": _evaluation_sql(), "tracked_metrics": _tracked_sql(), "sql_function_fields": _sql_function_sql()}
