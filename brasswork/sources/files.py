@@ -51,22 +51,28 @@ def named_files() -> type[DataSource]:
             import uuid
 
             self.base, self.keep, self.attempts = base, keep, f"_attempts-{uuid.uuid4().hex}"
+            store, root, _ = store_of(base)
+            store.create_dir(f"{root}/{self.attempts}", recursive=True)
 
         def write(self, rows: Iterator) -> WriterCommitMessage:
             import uuid
 
             store, root, _ = store_of(self.base)
+            # Each level by itself: a task that outlives its failed job finds the job's folder gone, and makes nothing in its place.
             folder, made = f"{root}/{self.attempts}/{uuid.uuid4().hex}", set()
+            store.create_dir(folder, recursive=False)
             for r in rows:
                 parts = r["name"].split("/")
                 if any(p in ("", ".", "..") for p in parts):
                     raise ValueError(f"not the name of a file: {r['name']!r}")
-                place = "/".join([folder, *parts[:-1]])
-                if place not in made:
-                    store.create_dir(place, recursive=True)
-                    made.add(place)
+                for k in range(1, len(parts)):
+                    place = "/".join([folder, *parts[:k]])
+                    if place not in made:
+                        store.create_dir(place, recursive=False)
+                        made.add(place)
                 content = r["content"]
-                with store.open_output_stream(f"{folder}/{r['name']}") as f:
+                place = "/".join([folder, *parts[:-1]])
+                with store.open_output_stream(f"{place}/{parts[-1]}") as f:
                     f.write(content.encode() if isinstance(content, str) else bytes(content))
             return Written(folder)
 
@@ -98,9 +104,19 @@ def named_files() -> type[DataSource]:
         def _clear(self) -> None:
             from pyarrow import fs
 
+            import time
+
             store, root, _ = store_of(self.base)
-            if store.get_file_info(f"{root}/{self.attempts}").type != fs.FileType.NotFound:
-                store.delete_dir(f"{root}/{self.attempts}")
+            for last in (False,) * 9 + (True,):
+                if store.get_file_info(f"{root}/{self.attempts}").type == fs.FileType.NotFound:
+                    return
+                try:
+                    store.delete_dir(f"{root}/{self.attempts}")
+                except OSError:
+                    # Tasks of a failed job may still write there until they are stopped.
+                    if last:
+                        raise
+                    time.sleep(0.3)
 
     class NamedFiles(DataSource):
         @classmethod
