@@ -62,3 +62,32 @@ def test_registered(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.QUERIES["op11_hardnegatives"](spark, sf).collect())) == plain(rows)
+
+
+def test_scores_stay_in_tasks(spark):
+    """What is written is as long as the rows, not as their pairs."""
+    from brasswork.llm import _shared
+
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(i, i % 4, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)], "id long, label int, vector array<double>").repartition(3)
+    before = len(_shared.made())
+    assert hardnegatives.mine(frame, F.lit(True)).count()
+    files = [f for _, path in _shared.made(before) for f in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").collect()]
+    assert sum(f.length for f in files) < 1500 * 1500  # a byte a pair
+
+
+def test_labels_and_cells(spark, monkeypatch):
+    """Labels of many and of few rows, several cells, products in each kind of numbers, copies with equal scores."""
+    monkeypatch.setattr(hardnegatives, "ANCHORS", 4)
+    monkeypatch.setattr(hardnegatives, "ROWS", 16)
+    monkeypatch.setattr(hardnegatives, "HELD", 2048)
+    monkeypatch.setattr(hardnegatives, "MOST_BLOCKS", 2)
+    monkeypatch.setattr(hardnegatives, "PENDING", 8)
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        scale = rng.choice([1, 1, 1, 300, 3.5e4])
+        rows.append((i * 20, rng.choice([0, 1, 1, 2, 10 + rng.randrange(60)]), [scale * rng.gauss(0.5, 1) for _ in range(40)]))
+    rows += [(10_000 + i, i % 3, [0.25] * 40) for i in range(150)]
+    want = plain(rows)
+    assert want and run(spark, rows) == want
