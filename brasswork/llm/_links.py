@@ -114,10 +114,31 @@ def _starred(percent: int):
     return run
 
 
-def _crossed(percent: int, nearest: bool = False):
+def _bits_apart(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits by which the bitmaps of rows i and j differ: as `_apart`, of many pairs."""
+    out = np.zeros(len(i), dtype=np.int64)
+    length = np.zeros(len(bits), dtype=np.int64)
+    used = np.unique(np.concatenate([i, j]))
+    length[used] = [len(bits[k]) for k in used]
+    least, most = np.minimum(length[i], length[j]), np.maximum(length[i], length[j])
+    for words in np.unique(least):
+        at = np.flatnonzero((least == words) & (most <= 2 * words))
+        if not len(at):
+            continue
+        rows = np.unique(np.concatenate([i[at], j[at]]))
+        held = np.stack([np.bitwise_xor.reduce(np.asarray(bits[k]).view(np.uint64).reshape(-1, words), axis=0) for k in rows])
+        x, y = np.searchsorted(rows, i[at]), np.searchsorted(rows, j[at])
+        step = max(1, 800_000 // int(words))
+        for k in range(0, len(at), step):
+            out[at[k : k + step]] = np.bitwise_count(held[x[k : k + step]] ^ held[y[k : k + step]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _crossed(percent: int, nearest: bool = False, whole: bool = False):
     """Pairs within a bucket (or a pair of its blocks) whose components differ and that size, position and bitmaps let through.
 
     With `nearest`, each set names one of its later mates at most: where there are bitmaps, that with the fewest bits apart.
+    With `whole`, all rows have bitmaps, which are compared at their full lengths; else those of hot buckets are, folded.
     """
     names, key = ("token", "low", "high", "block", "nid", "n", "r", "label", "bits"), ("token", "low", "high")
 
@@ -134,16 +155,16 @@ def _crossed(percent: int, nearest: bool = False):
         low, high = c["low"][0], c["high"][0]
         one, two = np.flatnonzero(c["block"] == low), np.flatnonzero(c["block"] == high)
         bits = None
-        if c["bits"][0] is not None:
+        if c["bits"][0] is not None and not whole:
             bits = np.stack([np.bitwise_xor.reduce(np.asarray(w).view(np.uint64).reshape(-1, BITS // 64), axis=0) for w in c["bits"]])
         for start in range(0, len(one), 256):
             x = one[start : start + 256]
             i, j = np.repeat(x, len(two)), np.tile(two, len(x))
             ok = fits(c, i, j) & ((i < j) if low == high else True)
             i, j = i[ok], j[ok]
-            if bits is not None and len(i):
+            if (whole or bits is not None) and len(i):
                 n, m = c["n"][i], c["n"][j]
-                far = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 50_000)])
+                far = _bits_apart(c["bits"], i, j) if whole else np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 50_000)])
                 ok = far <= n + m - 2 * _need(percent, n, m)
                 i, j, share = i[ok], j[ok], (far / (n + m))[ok]
             else:
@@ -169,6 +190,9 @@ def _crossed(percent: int, nearest: bool = False):
         for d in range(1, int(size[own].max(initial=0))):
             i = np.flatnonzero(free[:-d] & (number[:-d] == number[d:]))
             i = i[fits(c, i, i + d)]
+            if whole and len(i):
+                n, m = c["n"][i], c["n"][i + d]
+                i = i[_bits_apart(c["bits"], i, i + d) <= n + m - 2 * _need(percent, n, m)]
             if nearest:
                 free[i] = False
             yield from named(c, i, i + d)
@@ -213,11 +237,12 @@ def heads(signed: DataFrame, dealt: str) -> tuple[DataFrame, DataFrame]:
     return nodes, _shared.with_small(first, _shared.written(again, "again"), ["row"], how="left_anti")
 
 
-def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFrame, width: int, percent: int, orders: tuple[str, ...] = ()) -> DataFrame:
+def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFrame, width: int, percent: int, orders: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """(node, label) of the sets that are linked with others: label is the least set of a component.
 
     `kept` has the documents (doc_id, text), `nodes` and `full` come from `heads`; `full` has nid, n, bits and prefixes
-    under the named `orders`; `postings` are (token, nid, n, r) rows.
+    under the named `orders`; `postings` are (token, nid, n, r) rows. With `whole`, the bitmaps of all sets go to their buckets
+    and bound pairs there: for buckets that hold many sets that aren't alike enough.
     """
     in_order = postings.repartition("token").sortWithinPartitions("token", "nid")
     shared = _shared.written(in_order.mapInPandas(_shared.frugal(_starred(percent)), "token long, nid long, n int, r int, star long"), "shared")
@@ -272,8 +297,8 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
     # Buckets whose sets are in different components.
     hot = _shared.written(shared.where("nid is null").select("token", F.col("n").alias("k")), "hot")
     none = F.lit(None).cast("array<long>").alias("bits")
-    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    some_hot = hot.limit(1).count()
+    blocks = F.ceil(F.coalesce("k", F.lit(1)) / F.lit(BLOCK)).cast("int")
+    some_hot = whole or hot.limit(1).count()
 
     def crossed_pairs(labels: DataFrame, nearest: bool) -> DataFrame:
         """Pairs (x, y, apart) of sets that share a bucket and are in different components; `nearest`: one a posting at most."""
@@ -284,13 +309,17 @@ def linked(kept: DataFrame, nodes: DataFrame, full: DataFrame, postings: DataFra
 
         every = labelled(postings.where("k is null")).select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("block"), "nid", "n", "r", "label", none)
         if some_hot:  # buckets whose sets are all in one component have nothing to pair, and aren't dealt
-            dealt = _shared.written(labelled(postings.where("k is not null")), "hotly")
+            dealt = _shared.written(labelled(postings if whole else postings.where("k is not null")), "hotly")
             apart_still = dealt.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
             dealt = _shared.with_small(dealt, _shared.written(apart_still, "apart"), ["token"], how="left_semi")
             dealt = dealt.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            every = every.union(dealt.join(full.select("nid", "bits"), "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits"))
+            bits = full.select("nid", "bits")
+            if whole:
+                bits = _shared.with_small(bits, _shared.written(dealt.select("nid").distinct(), "ends"), ["nid"], how="left_semi")
+            dealt = dealt.join(bits, "nid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "nid", "n", "r", "label", "bits")
+            every = dealt if whole else every.union(dealt)
         in_order = every.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-        return near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent, nearest)), "x long, y long").distinct(), "crossed"))
+        return near(_shared.written(in_order.mapInPandas(_shared.frugal(_crossed(percent, nearest, whole)), "x long, y long").distinct(), "crossed"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs whose sets are in different components, with both labels."""

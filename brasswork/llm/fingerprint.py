@@ -6,7 +6,7 @@ over random byte values, prefix sums for all words of a batch at once), and `PER
 (multiply, add, take the high half) are minimised over the shingles. Likeness is the share of equal minima.
 
 `near_duplicates` deals the sets of shingles to the buckets of their signature bands and verifies Jaccard on the sets;
-`_links` says how: buckets are searched whole, and groups of copies never expand into all pairs. A pair of 80 % likeness
+`_links` says how: buckets are searched whole, bitmaps of the sets rule out mates before they make a pair, and groups of copies never expand into all pairs. A pair of 80 % likeness
 shares a band with a probability of 0.998. `fingerprints` takes its result along: component_id is the smallest doc_id
 reachable over links of 80 % (the document's own without any).
 
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, n: int = PERMUTATIONS
     signed = _shared.written(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
     nodes, full = _links.heads(signed, "bands")
     postings = full.select(F.explode("bands").alias("token"), "nid", "n", F.col("n").alias("r"))
-    labels = _links.linked(kept, nodes, full, postings, width, percent)
+    labels = _links.linked(kept, nodes, full, postings, width, percent, whole=True)
     rows = signed.select("doc_id", "mark", "n", "nid")
     blank = rows.where("n = 0").select("doc_id", "mark", F.col("doc_id").alias("component_id"))
     out = blank.union(_shared.left_join(rows.where("n > 0"), _links.components_of(nodes, labels), "nid", "rows").select("doc_id", "mark", "component_id"))
